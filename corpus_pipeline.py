@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import mixing, packing, pii
+from earshot.llm import mixing, packing, pii, simhash, toxicity
 from earshot.llm.common import saved
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network, trained on the labels table, predicts to be toxic go."""
+    scores = toxicity.scored_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scores.filter("predicted = 0").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates by SimHash, the document with the smallest id."""
+    return simhash.survivors(docs)
+
+
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; n_chars follows the text."""
     return pii.redact(docs).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) as n_chars")
@@ -23,7 +34,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs)
 
 
-STAGES = [("pii", redact_personal_data), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", one_of_each_group),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Learned and iterative stages: tested against brute force instead.
 ORACLE_SQL = None
