@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import mixing, packing, pii, simhash, toxicity
+from earshot.llm import brown, forest, mixing, neighbours, packing, pii, simhash, tiff, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,26 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scored(documents(spark, sf_dir))
+
+
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest(documents(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
@@ -33,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op6_simhash, op9_pii, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_brown_classes, op5_projection_forest, op6_simhash, op7_tiff, op8_quality, op9_pii, op10_mixing)}
 
 ORACLE_SQL = {
     "op10_mixing": r"""

@@ -268,6 +268,7 @@ def page_table(media: DataFrame, column: str = "media") -> DataFrame:
     new = [c.split()[0] for c in PAGE.split(", ")]
     others = media.drop(column, *new)
     schema = T.StructType([*others.schema.fields, *T.StructType.fromDDL(PAGE).fields])
+    names = others.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,10 +281,10 @@ def page_table(media: DataFrame, column: str = "media") -> DataFrame:
                     rows.append((i, None, None, None, None, None, None, str(e)))
             columns = list(zip(*rows)) if rows else [()] * 8
             kinds = [pa.int32()] * 5 + [pa.binary(), pa.string()]
-            taken = [batch.column(c).take(pa.array(columns[0], pa.int64())) for c in others.columns]
-            yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(columns[1:], kinds))], names=[*others.columns, *new])
+            taken = [batch.column(c).take(pa.array(columns[0], pa.int64())) for c in names]
+            yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(columns[1:], kinds))], names=[*names, *new])
 
-    return media.select(*others.columns, column).mapInArrow(run, schema)
+    return media.select(*names, column).mapInArrow(run, schema)
 
 
 ROW = 64
