@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import brown, forest, mixing, neighbours, packing, pii, simhash, tiff, toxicity
+from earshot.llm import brown, forest, mixing, neighbours, packing, pii, simhash, suffixes, tiff, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_brown_classes, op5_projection_forest, op6_simhash, op7_tiff, op8_quality, op9_pii, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_toxicity, op4_brown_classes, op5_projection_forest, op6_simhash, op7_tiff, op8_quality, op9_pii, op10_mixing)}
 
 ORACLE_SQL = {
     "op10_mixing": r"""
