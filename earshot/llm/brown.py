@@ -132,7 +132,8 @@ def placement_gain(table: np.ndarray, out_counts: np.ndarray, in_counts: np.ndar
     diagonal = table[k, k]
     gain -= log_part(rows[k, k]) + log_part(cols[k, k]) - 2 * log_part(diagonal)
     gain += log_part(diagonal + out_counts + in_counts + self_count) - log_part(diagonal)
-    left, right = table.sum(axis=1), table.sum(axis=0)
+    # bigrams with the word count among its neighbours' wherever it goes
+    left, right = table.sum(axis=1) + in_counts, table.sum(axis=0) + out_counts
     gain -= log_part(left + out_counts.sum() + self_count) - log_part(left)
     gain -= log_part(right + in_counts.sum() + self_count) - log_part(right)
     return gain
