@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from earshot.functions import scores
 from earshot.functions.scores import COS45, ITEMS, SCALE
 from earshot.operators import aggregates, checks, numbering
+from earshot.plans.base import query
 from earshot.sources import surveys
 from earshot.sources.surveys import FRAMES_SQL, PARTICIPANTS_SQL, PLACES_SQL, STIMULUS_SQL, table
 
-QUERIES, ORACLE_SQL = {}, {}
-
 P_SQL = f"((pleasant - annoying) + {COS45}::DOUBLE * ((calm - chaotic) + (vibrant - monotonous))) / {SCALE}::DOUBLE"
 E_SQL = f"((eventful - uneventful) + {COS45}::DOUBLE * ((chaotic - calm) + (vibrant - monotonous))) / {SCALE}::DOUBLE"
 
@@ -20,16 +19,6 @@ def even(x: str, digits: int) -> str:
     return f"round_even(({x}) * {10**digits}::DOUBLE, 0) / {10**digits}::DOUBLE"
 
 
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 COORDINATES = f"{even(P_SQL, 6)} AS iso_pleasant, {even(E_SQL, 6)} AS iso_eventful"
 
 

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from earshot.plans.registry import ORACLE_SQL, QUERIES
+from earshot.plans import records, registry  # noqa: F401
+from earshot.plans.base import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
