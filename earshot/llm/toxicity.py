@@ -26,7 +26,7 @@ WORD_SLOTS, CHAR_SLOTS = 1 << 15, 1 << 14
 PER_CLASS, MAX_CHARS = {0: 4000, 1: 900}, 10_000
 EPOCHS, BATCH, RATE = 9, 128, 0.01
 EDGES = ".,;:!?\"'()[]{}*#$%&-_|"
-CACHE_WORDS, CHUNK_WINDOWS, CHUNK_WORDS = 600_000, 2048, 500_000
+CACHE_WORDS, CHUNK_WINDOWS, CHUNK_WORDS, CHUNK_GRAMS = 600_000, 2048, 500_000, 20_000
 
 
 class Network:
@@ -54,16 +54,21 @@ class Network:
         n = len(b) - 3
         three = b[:n] * np.uint32(65599) + b[1 : n + 1] * np.uint32(2654435761) + b[2 : n + 2] * np.uint32(40503 * 31)
         four = three * np.uint32(16777619) + b[3 : n + 3] * np.uint32(97)
-        slot = lambda x: ((x ^ (x >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(18)).astype(np.int64) % (CHAR_SLOTS - 1) + 1
+        slot = lambda x: ((x ^ (x >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(18)).astype(np.int32) % (CHAR_SLOTS - 1) + 1
         three, four = np.where(left >= 3, slot(three), 0), np.where(left >= 4, slot(four), 0)
         return slots, three, four, starts, np.maximum(1, np.add.reduceat((three > 0).astype(np.float32) + (four > 0), starts)).astype(np.float32)
 
     def word_inputs(self, known: tuple) -> np.ndarray:
         """Input vectors of the words of grams()."""
         slots, three, four, starts, n = known
-        table = self.p["char"]
-        chars = np.add.reduceat(table.take(three, axis=0) + table.take(four, axis=0), starts) / n[:, None]
-        return np.concatenate([self.p["word"].take(slots, axis=0), chars], axis=1)
+        table, ends = self.p["char"], np.r_[starts[1:], len(three)]
+        out = np.empty((len(slots), WORD_DIM + CHAR_DIM), np.float32)
+        out[:, :WORD_DIM] = self.p["word"].take(slots, axis=0)
+        for a in range(0, len(slots), CHUNK_GRAMS):  # a row for each byte is much larger than one for each word
+            own = slice(a, a + CHUNK_GRAMS)
+            part = slice(starts[a], ends[own][-1])
+            out[own, WORD_DIM:] = np.add.reduceat(table.take(three[part], axis=0) + table.take(four[part], axis=0), starts[own] - starts[a]) / n[own, None]
+        return out
 
     def projected(self, inputs: np.ndarray) -> np.ndarray:
         """Gate inputs of words for both directions; the row before them is the empty word."""
@@ -196,11 +201,11 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> N
     if not len(rows) or labels.min() == labels.max():
         return float(labels.mean()) if len(rows) else 0.0
     net, rng = Network(seed), np.random.default_rng(seed)
-    texts = [split_words(t) for t, _ in rows]
-    names = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    names: dict[str, int] = {}
+    numbered = [np.fromiter((names.setdefault(w, len(names) + 1) for w in split_words(t)), np.int32) for t, _ in rows]  # never all words as text
     known = Network.grams(list(names) or [""])
-    ids = np.fromiter((names[w] for t in texts for w in t), np.int64)
-    spans, n = windows_of(np.array([len(t) for t in texts]))
+    ids = np.concatenate(numbered)
+    spans, n = windows_of(np.array(list(map(len, numbered))))
     begin = np.cumsum(n) - n
     of = np.repeat(np.arange(len(rows)), n)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
