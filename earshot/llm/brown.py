@@ -1,14 +1,17 @@
 """Scores of a Brown class-based bigram language model.
 
 A word's probability is that of its class after the class of the word before, times that of the word in its class.
-Classes come from exchange clustering: the most frequent words move between classes while the likelihood of their
-bigrams grows (a matrix of fixed size), then every other word moves once, by its neighbours' classes, to the class
-that gains most; words seen once share a class with unknown words. Word, class and transition counts are of all
-training documents. Documents meet the vocabulary block by block: each block of texts asks for its distinct words.
+Classes come from exchange clustering over all training bigrams; their number grows with the vocabulary. The most
+frequent words are exchanged first, one by one, which gives each class its first words. Then Spark rounds follow: each
+counts every word's neighbours by their present class (a groupBy over all distinct bigrams), and words move to the
+class that gains most, all others in the first round, a half of all words, by turns, in each later one. An unknown
+word stands where words seen once stand. Documents meet the vocabulary block by block: each block of texts asks for
+its distinct words.
 """
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,12 +23,17 @@ from pyspark.sql import functions as F
 from earshot.llm.common import discard, fold_of, saved, small_batches
 
 FOLDS, HELD_OUT = 7, 2
-#: Classes that exchange fills; two more hold the end of a text and the rare and unknown words.
+#: The least number of classes that exchange fills; two more hold the end of a text and unknown words.
 CLASSES = 48
-END, RARE = CLASSES, CLASSES + 1
 ALL = CLASSES + 2
 #: Words that the first exchange moves one by one, and its rounds over them.
 FREQUENT, ROUNDS = 800, 8
+#: Rounds in which half of all words move, after the one that places those that the first exchange left out.
+MOVES = 4
+#: Words whose classes are broadcast in a round; the classes of all others are joined.
+HEAD = 1 << 17
+#: Entries of words and classes that a task holds against all classes.
+PART_ENTRIES = 20_000
 #: Smoothing: the weight, in tokens, of a class's own share among what follows another.
 BETA = 50.0
 BLOCK_BYTES = 8 << 20
@@ -33,6 +41,11 @@ BLOCK_BYTES = 8 << 20
 STOP = b" "
 
 
+def classes_for(distinct: int) -> int:
+    """Classes for a vocabulary: the cube root of its words, so that their bigrams grow more slowly than it does."""
+    return max(CLASSES, round(distinct ** (1 / 3)))
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -139,68 +152,177 @@ def placement_gain(table: np.ndarray, out_counts: np.ndarray, in_counts: np.ndar
     return gain
 
 
-def neighbours(training: DataFrame, ids: dict[bytes, int], of: np.ndarray) -> DataFrame:
-    """word, ctx and n for words beside frequent ones: ctx is the class after a word, or ALL + the class before."""
-    held = training.sparkSession.sparkContext.broadcast({w: int(of[i]) for w, i in ids.items()})
+def bigrams(training: DataFrame) -> DataFrame:
+    """a, b (words, or the end token) and n: how often b follows a, for all bigrams of training(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
         for batch in batches:
             found: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 words = [STOP, *words_of(text), STOP]
-                at = [known.get(w, -1) for w in words]
-                for i in range(1, len(words) - 1):
-                    if at[i] < 0:
-                        if at[i + 1] >= 0:
-                            found[words[i], at[i + 1]] += 1
-                        if at[i - 1] >= 0:
-                            found[words[i], ALL + at[i - 1]] += 1
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "ctx", "n"])
-
-    return training.select("text").mapInArrow(run, "word binary, ctx int, n long").groupBy("word", "ctx").agg(F.sum("n").alias("n"))
-
-
-def joined_classes(known: DataFrame, table: np.ndarray) -> DataFrame:
-    """word, c and class of known(word, c, fixed, ctx, n): fixed where given, RARE for words seen once, otherwise the
-    class of the frequent words' table that a word of these neighbours gains most in (without any: by a hash)."""
+                found.update(zip(words, words[1:]))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(list(found.values()), pa.int64())], names=["a", "b", "n"])
+
+    return training.select("text").mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def contexts(state: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFrame:
+    """state(word, c, self, own) with ctx and n: the words after each word by class, and size + the class of those
+    before it; a word beside itself and words without a class count for nothing. Words seen least times or more are
+    broadcast, the classes of others are joined."""
+    classed = state.filter("own IS NOT NULL").select("word", "own", "c")
+    head, tail = (classed.filter(F.col("c") >= least).drop("c"), classed.filter(F.col("c") < least).drop("c"))
+
+    def beside(word: str, other: str, base: int) -> DataFrame:
+        apart = pairs.filter("a <> b").select(F.col(word).alias("of"), F.col(other).alias("word"), "n")
+        near = apart.join(F.broadcast(head), "word")
+        far = apart.join(F.broadcast(head), "word", "left_anti").join(tail, "word")
+        return near.unionByName(far).select(F.col("of").alias("word"), (F.col("own") + base).alias("ctx"), "n")
+
+    counts = beside("a", "b", 0).unionByName(beside("b", "a", size)).groupBy("word", "ctx").agg(F.sum("n").alias("n"))
+    lists = counts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("ctx", "n"))).alias("x"))  # at most 2 * size entries
+    return state.join(lists, "word", "left").select("word", "c", "self", "own", F.coalesce("x.ctx", F.array().cast("array<int>")).alias("ctx"), F.coalesce("x.n", F.array().cast("array<long>")).alias("n"))
+
+
+def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, context and count of each entry of a batch of contexts()."""
+    ctx, n = batch.column("ctx"), batch.column("n")
+    return np.repeat(np.arange(batch.num_rows), np.diff(ctx.offsets.to_numpy())), ctx.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy().astype(float)
+
+
+def class_bigrams(known: DataFrame, size: int) -> np.ndarray:
+    """How often each class follows each, from contexts()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size)
+        for batch in batches:
+            row, ctx, n = entries(batch)
+            own = batch.column("own").fill_null(-1).to_numpy().astype(np.int64)
+            after = (ctx < size) & (own[row] >= 0)
+            total += np.bincount(own[row[after]] * size + ctx[after], n[after], size * size)
+            total += np.bincount(own[own >= 0] * (size + 1), batch.column("self").to_numpy()[own >= 0], size * size)
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit].astype(np.int64))], names=["pair", "n"])
+
+    out = np.zeros(size * size)
+    for r in known.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(size, size)
+
+
+def gains(table: np.ndarray, own: np.ndarray, self_count: np.ndarray, row: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each word and class, what the likelihood gains if the word, taken out of its own class (-1: none), joins it.
+
+    The words' entries (row, ctx, n) are those of contexts(); equal to placement_gain() on the table without the word.
+    """
+    size, words = len(table), len(own)
+    has, k = np.flatnonzero(own >= 0), np.arange(size)
+    beside = np.zeros((words, 2 * size))
+    beside[row, ctx] = n
+    out, into = beside[:, :size], beside[:, size:]
+    total = np.zeros((words, size))
+    for cells, mine, other, at in ((table.T, ctx < size, into, 0), (table, ctx >= size, out, size)):
+        r, j, m = row[mine], ctx[mine] - at, n[mine]
+        now = cells[j]  # an entry's cell with each class, without the word
+        e = np.flatnonzero(own[r] >= 0)
+        now[e, own[r[e]]] -= m[e]
+        e = np.flatnonzero(own[r] == j)
+        now[e] -= other[r[e]]
+        now[e, j[e]] -= self_count[r[e]]
+        if len(r):
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            total[r[first]] += np.add.reduceat(log_part(now + m[:, None]) - log_part(now), first)
+    diagonal = np.tile(table[k, k], (words, 1))
+    diagonal[has, own[has]] -= out[has, own[has]] + into[has, own[has]] + self_count[has]
+    total += log_part(diagonal + out + into + self_count[:, None]) + log_part(diagonal) - log_part(diagonal + out) - log_part(diagonal + into)
+    for sums, mine, other in ((table.sum(axis=1), out, into), (table.sum(axis=0), into, out)):
+        more = mine.sum(axis=1) + self_count
+        left = sums + np.where(own < 0, 1, 0)[:, None] * other  # the table has no bigrams of words without a class
+        left[has, own[has]] -= more[has]
+        total -= log_part(left + more[:, None]) - log_part(left)
+    return total
+
+
+def moved(known: DataFrame, table: np.ndarray, turn: int | None) -> DataFrame:
+    """word, c, self and own of contexts() after a round: words without a class get one (without classed neighbours: by
+    a hash); those whose turn it is (a hash's last bit) change theirs where that gains."""
     size = len(table)
+    held = known.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for c, fixed, spare, ctx, n in zip(*(batch.column(k).to_pylist() for k in ("c", "fixed", "spare", "ctx", "n"))):
-                if fixed is not None or c == 1 or not ctx:
-                    out.append(fixed if fixed is not None else RARE if c == 1 else spare)
-                    continue
-                both = np.zeros(2 * ALL)
-                both[ctx] = n
-                gain = placement_gain(table, both[:size], both[ALL : ALL + size], 0.0)
-                gain[CLASSES:] = -np.inf
-                out.append(int(np.argmax(gain)))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(out, pa.int32())], names=["word", "c", "class"])
-
-    return known.mapInArrow(run, "word binary, c long, class int")
-
-
-def classed_vocabulary(vocab: DataFrame, training: DataFrame) -> DataFrame:
-    """word, c and class of every training token."""
-    spark = training.sparkSession
+            own = batch.column("own").fill_null(-1).to_numpy().astype(np.int64)
+            spare = batch.column("spare").to_numpy().astype(np.int64)
+            row, ctx, n = entries(batch)
+            lone = np.bincount(row, minlength=len(own)) == 0
+            go = ((own < 0) | (spare % 2 == turn)) & (own != size - 1) & ~lone if turn is not None else (own < 0) & ~lone
+            to, selves = np.where(own < 0, spare // 2 % (size - 1), own), batch.column("self").to_numpy().astype(float)
+            part = np.bincount(row, minlength=len(own)).cumsum() // PART_ENTRIES  # so that few entries meet all classes at once
+            for p in np.unique(part[go]):
+                here = go & (part == p)
+                pick, place, mine = np.flatnonzero(here), np.cumsum(here) - 1, here[row]
+                gain = gains(held.value, own[pick], selves[pick], place[row[mine]], ctx[mine], n[mine])
+                gain[:, -1] = -np.inf  # the end token's class
+                best, rows = gain.argmax(axis=1), np.arange(len(pick))
+                stays = (own[pick] >= 0) & (gain[rows, best] <= gain[rows, own[pick]] + 1e-9)
+                to[pick] = np.where(stays, own[pick], best)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("self"), pa.array(to, pa.int32())], names=["word", "c", "self", "own"])
+
+    spared = known.withColumn("spare", F.pmod(F.xxhash64("word"), F.lit(1 << 40)))
+    return spared.mapInArrow(run, "word binary, c long, self long, own int")
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What exchange raises: the sum of n log n over class bigrams, less that over class counts on both sides."""
+    return float(log_part(table).sum() - log_part(table.sum(axis=1)).sum() - log_part(table.sum(axis=0)).sum())
+
+
+def release(spark) -> None:
+    """Let Spark delete the shuffle files of steps whose results are saved: else they stay until the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def classed_vocabulary(vocab: DataFrame, training: DataFrame, classes: int, head: int = HEAD, moves: int = MOVES) -> DataFrame:
+    """word, c and class of every training token, the end token's class being the last."""
+    spark, size = training.sparkSession, classes + 1
     top = vocab.filter(F.col("word") != F.lit(STOP)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    ids = {bytes(r["word"]): i for i, r in enumerate(top) if r["c"] > 1}
+    ids = {bytes(r["word"]): i for i, r in enumerate(top)}
     ids[STOP] = len(ids)
-    pairs = pair_counts(training, ids)
-    of = exchange(pairs, ids[STOP])
-    onehot = np.eye(CLASSES + 1)[of]
-    fixed = spark.createDataFrame([(w, int(of[i])) for w, i in ids.items()], "word binary, fixed int")
-    beside = neighbours(training, ids, of).groupBy("word").agg(F.collect_list("ctx").alias("ctx"), F.collect_list("n").alias("n"))  # at most 2 * ALL entries
-    known = vocab.join(F.broadcast(fixed), "word", "left").join(beside, "word", "left")
-    return joined_classes(known.withColumn("spare", F.pmod(F.xxhash64("word"), F.lit(CLASSES)).cast("int")), onehot.T @ pairs @ onehot)
-
-
-def in_blocks(docs: DataFrame, vocab: DataFrame, total: int, distinct: int) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score and the classes (a byte a token) of each text."""
+    of = exchange(pair_counts(training, ids), ids[STOP], classes)
+    first = spark.createDataFrame([(w, int(of[i])) for w, i in ids.items()], "word binary, own int")
+    # the least count at which no more than `head` words are broadcast
+    at, least, seen = vocab.groupBy(F.least("c", F.lit(1000)).alias("c")).count().orderBy(F.desc("c")).collect(), 1001, 0
+    for r in at:
+        seen += r["count"]
+        if seen > head:
+            break
+        least = r["c"]
+    pairs = saved(bigrams(training))
+    alone = pairs.filter("a = b").select(F.col("a").alias("word"), F.col("n").alias("self"))
+    state = saved(vocab.join(F.broadcast(first), "word", "left").join(alone, "word", "left").select("word", "c", F.coalesce("self", F.lit(0)).cast("long").alias("self"), "own"))
+    before, last = None, -np.inf
+    for turn in range(moves + 1):
+        known = saved(contexts(state, pairs, size, least))
+        table = class_bigrams(known, size)
+        if turn > 1 and likelihood(table) < last:  # words that moved at once undid each other's gain
+            state, before = before, state
+            discard(known)
+            break
+        last = likelihood(table) if turn else last
+        discard(before)
+        before, state = state, saved(moved(known, table, turn % 2 if turn else None))
+        discard(known)
+        release(spark)
+    discard(before)
+    discard(pairs)
+    return state.select("word", "c", F.col("own").alias("class"))
+
+
+def in_blocks(docs: DataFrame, vocab: DataFrame, total: int, distinct: int, every: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score and the classes (two bytes a token) of each text; `every` (all
+    classes, the last one for unknown words) is added to those of words seen once."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     blocks = max(size // BLOCK_BYTES + 1, 1)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
@@ -220,13 +342,13 @@ def in_blocks(docs: DataFrame, vocab: DataFrame, total: int, distinct: int) -> D
     low = np.log10(total + distinct + 1) if total + distinct else 0.0
 
     def score(key: tuple, rows: pa.Table, words: pa.Table) -> pa.Table:
-        known = {w: (c, k) for w, c, k in zip(words.column("word").to_pylist(), words.column("c").to_pylist(), words.column("class").to_pylist())}
-        none, out = (0, RARE), []
+        known = {w: (c, k + every * (c == 1)) for w, c, k in zip(words.column("word").to_pylist(), words.column("c").to_pylist(), words.column("class").to_pylist())}
+        none, out = (0, every - 1), []
         for text in rows.column("text").to_pylist():
             found = [known.get(w, none) for w in words_of(text)]
-            found.append((end_count, END))
+            found.append((end_count, every - 2))
             counts = np.fromiter((f[0] for f in found), np.int64, len(found))
-            kinds = np.fromiter((f[1] for f in found), np.uint8, len(found))
+            kinds = np.fromiter((f[1] for f in found), np.uint16, len(found))
             out.append((len(found), int((counts > 0).sum()), float((np.log10(counts + 1.0) - low).sum()), kinds.tobytes()))
         columns = list(zip(*out)) if out else [()] * 4
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary()]
@@ -237,27 +359,36 @@ def in_blocks(docs: DataFrame, vocab: DataFrame, total: int, distinct: int) -> D
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
 
 
-def transition_counts(coded: DataFrame) -> np.ndarray:
-    """How often each class follows each in coded(classes): ALL x ALL."""
+def transition_counts(coded: DataFrame, every: int, unknown: float) -> np.ndarray:
+    """How often each class follows each in coded(classes): every x every. Words seen once count in their class and
+    also stand for the unknown word, which gets `unknown` tokens in their places, and what follows them follows it."""
+    wide = 2 * every
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ALL * ALL, np.int64)
         for batch in batches:
-            for text in batch.column("classes").to_pylist():
-                total += np.bincount(steps(text), minlength=ALL * ALL)
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["pair", "n"])
+            hit, n = np.unique(np.concatenate([steps(x, every, wide) for x in batch.column("classes").to_pylist()] or [np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
 
-    out = np.zeros(ALL * ALL)
+    out = np.zeros(wide * wide)
     for r in coded.select("classes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         out[r["pair"]] = r["n"]
-    return out.reshape(ALL, ALL)
+    parts = out.reshape(2, every, 2, every)  # seen once, class, next seen once, next class
+    counts = parts.sum(axis=(0, 2))
+    before, after, both = parts[:, :, 1].sum(axis=(0, 2)), parts[1].sum(axis=(0, 1)), parts[1, :, 1].sum()
+    if not before.any():
+        before = counts.sum(axis=1)
+    scale = unknown / max(before.sum(), 1)
+    counts[:, -1] += before * scale
+    counts[-1] += after
+    counts[-1, -1] = both * scale
+    return counts
 
 
-def steps(classes: bytes) -> np.ndarray:
-    """Class pairs of a text; its first word follows an end."""
-    x = np.frombuffer(classes, np.uint8).astype(np.int64)
-    return np.r_[END, x[:-1]] * ALL + x
+def steps(classes: bytes, every: int, wide: int) -> np.ndarray:
+    """Class pairs of a text, as numbers below wide squared (wide: every, or twice that to tell words seen once); its
+    first word follows an end."""
+    x = np.frombuffer(classes, np.uint16).astype(np.int64) % wide
+    return np.r_[every - 2, x[:-1]] * wide + x
 
 
 def lift(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -279,19 +410,20 @@ def scored(docs: DataFrame) -> DataFrame:
     training = known.filter("NOT held_out")
     counts = saved(vocabulary(training))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    vocab = saved(classed_vocabulary(counts, training))
-    share = np.zeros(ALL)
-    share[RARE] = 1
+    every = classes_for(distinct) + 2
+    vocab = classed_vocabulary(counts, training, every - 2)
+    share = np.zeros(every)
+    share[-1] = 1
     for r in vocab.groupBy("class").agg(F.sum(F.col("c") + 1).alias("n")).collect():
         share[r["class"]] += r["n"]
     share /= total + distinct + 1
-    coded = saved(in_blocks(known, vocab, total, distinct))
+    coded = saved(in_blocks(known, vocab, total, distinct, every))
     discard(counts)
-    lifts = lift(transition_counts(coded.filter("NOT held_out")), share).ravel()
+    lifts = lift(transition_counts(coded.filter("NOT held_out"), every, share[-1] * total), share).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gained = [float(lifts[steps(x)].sum()) for x in batch.column("classes").to_pylist()]
+            gained = [float(lifts[steps(x, every, every)].sum()) for x in batch.column("classes").to_pylist()]
             yield batch.drop_columns(["classes"]).append_column("gained", pa.array(gained, pa.float64()))
 
     out = coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, gained double")

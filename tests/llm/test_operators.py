@@ -49,6 +49,37 @@ def test_exchange_parts_words_of_different_use():
     assert of[0] == of[1] != of[2] == of[3]
 
 
+def test_gains_equal_placement_on_the_table_without_the_word():
+    rng = np.random.default_rng(2)
+    size, words = 6, 9
+    pairs = rng.integers(0, 4, (words, words)).astype(float)
+    own = np.array([0, 1, 2, 3, 4, 0, 1, -1, 5])
+    onehot = np.array([np.eye(size)[k] if k >= 0 else np.zeros(size) for k in own])
+    out, into = (pairs - np.diag(np.diag(pairs))) @ onehot, (pairs - np.diag(np.diag(pairs))).T @ onehot
+    both = np.hstack([out, into])
+    row, ctx = np.nonzero(both)
+    got = brown.gains(onehot.T @ pairs @ onehot, own, np.diag(pairs), row, ctx, both[row, ctx])
+    for w in range(words):
+        rest = onehot.copy()
+        rest[w] = 0
+        assert np.allclose(got[w], brown.placement_gain(rest.T @ pairs @ rest, out[w], into[w], pairs[w, w]))
+
+
+@pytest.mark.parametrize("head", [1 << 17, 3])
+def test_words_that_never_meet_a_frequent_one_are_clustered(spark, monkeypatch, head):
+    monkeypatch.setattr(brown, "FREQUENT", 4)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(x for _ in range(8) for x in (f"a{rng.integers(12)}", f"b{rng.integers(12)}")) for _ in range(150)] + ["often than very much"] * 400
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {bytes(r["word"]).decode(): r["class"] for r in brown.classed_vocabulary(brown.vocabulary(docs), docs, 3, head).collect()}
+    left, right = ({got[f"{x}{i}"] for i in range(12)} for x in "ab")
+    assert len(got) == 29 and got[" "] == 3 and len(left) == len(right) == 1 and left != right
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert brown.classes_for(0) == brown.CLASSES < brown.classes_for(10**6) < brown.classes_for(10**8)
+
+
 def test_votes_separate_and_take_any_text(spark, edges):
     docs = [(i, "Plain words in a calm line. " * 8 if i % 2 else "W%% O## X!! | " * 12) for i in range(60)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
