@@ -11,13 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The characters of an account number by country, as registered or in use there.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """Finds the first four characters of account numbers; group 1 is the whole: as long as its country has it, or the
+    longest run for other countries. What a number that checks refuse runs over is searched too."""
+    listed = [rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}+" for n, codes in IBAN_LENGTHS.items()]
+    other = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9])(?=({'|'.join([*listed, other])})(?![A-Za-z0-9]))[A-Z]{{2}}[0-9]{{2}}"
+
+
 # The base patterns, as stated for the kinds, in forms that match the same spans.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": iban_pattern(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -77,13 +95,14 @@ def confirmed(kind: str, found: Column) -> Column:
 
 def proposals(kind: str, text: Column) -> Column:
     """array<struct<start, end, found>> of the pattern's matches; offsets in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    ahead = kind == "iban"  # its match is four characters, its first group the span
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1 if ahead else 0))
     gaps = F.split(text, PATTERNS[kind], -1)
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["gap"])
         end = start + F.length(x["found"])
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("spans"))
+        return F.struct((start + 4 if ahead else end).alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("spans"))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
     none = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
