@@ -11,7 +11,6 @@ its distinct words.
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import discard, fold_of, saved, small_batches
+from earshot.llm.common import discard, fold_of, release, saved, small_batches
 
 FOLDS, HELD_OUT = 7, 2
 #: The least number of classes that exchange fills; two more hold the end of a text and unknown words.
@@ -278,12 +277,6 @@ def likelihood(table: np.ndarray) -> float:
     return float(log_part(table).sum() - log_part(table.sum(axis=1)).sum() - log_part(table.sum(axis=0)).sum())
 
 
-def release(spark) -> None:
-    """Let Spark delete the shuffle files of steps whose results are saved: else they stay until the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def classed_vocabulary(vocab: DataFrame, training: DataFrame, classes: int, head: int = HEAD, moves: int = MOVES) -> DataFrame:
     """word, c and class of every training token, the end token's class being the last."""
     spark, size = training.sparkSession, classes + 1

@@ -1,14 +1,19 @@
 """Repeated passages by sorting suffixes.
 
-Suffixes are range-partitioned by their leading tokens (eight bytes each) at sampled splitters, every bucket sorts its
-own by multikey quicksort, and runs of equal leading tokens are read off neighbours; runs that reach a bucket's end
-are compared across boundaries. The sort runs twice, so that suffixes of every byte need not be shuffled:
-
-1. over anchors, suffixes chosen by their own bytes such that any LENGTH equal bytes hold the same anchor: anchors whose
-   16 leading bytes are in one document alone cannot be in a repeated passage;
-2. over the anchors left, with a hash of all bytes that a passage around the anchor could have: where those agree
-   in the whole run, so do all passages around it;
-3. over each suffix of LENGTH bytes around the anchors of the other runs.
+A suffix of LENGTH bytes is compared only with those that share its anchor: the LEAD bytes in it that hash lowest (the
+leftmost of them). Equal suffixes have equal anchors at equal places, so this loses none, and one anchor stands for all
+neighbouring suffixes that it owns. Texts are dealt into blocks; anchors are range-partitioned by their leading tokens
+(eight bytes each) at sampled splitters, buckets sort them by multikey quicksort, and buckets never part equal leads:
+
+1. every block sends each of its distinct leads once, with its smallest document and whether it is the only one;
+   buckets answer which leads are in several documents;
+2. for those, every block sends each distinct record (lead, what follows it and what precedes it, as far as suffixes
+   that the anchor owns reach) once, with its smallest document. Buckets sort the records, read off neighbours how far
+   two can agree at most on each side, sort the suffixes which that leaves, and answer by a bit for each suffix that
+   also starts in a smaller document. What lies on both sides of a bucket's boundary is not equal, and the suffixes of
+   one block meet those of another only here: bytes decide throughout, never hashes.
+
+A passage in very many documents is thus one record a block, however often the block has it.
 """
 
 from __future__ import annotations
@@ -17,61 +22,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import partitions_for, saved, small_batches
+from earshot.llm.common import release, saved
 
 LENGTH, LEAD = 50, 16
-#: Anchors: the smallest hash among WINDOW neighbouring starts, all starts within LENGTH bytes.
+#: Places for an anchor in a suffix, and bytes that a suffix may have before or after its anchor.
 WINDOW = LENGTH - LEAD + 1
-TOKENS = -(-LENGTH // 8)
-BUCKET_ROWS = 500_000
+SIDE = LENGTH - LEAD
+BLOCK_BYTES, BUCKET_ROWS = 8 << 20, 500_000
+#: Bytes of text sampled for splitters: per bucket, at least, and at most.
+SAMPLE_BUCKET, SAMPLE_LEAST, SAMPLE_MOST = 40_000, 2 << 20, 64 << 20
 MIX, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-PIECE = 1 << 22
+#: Suffixes whose hashes are in memory at once.
+PIECE = 1 << 20
+#: A record: lead, what follows, what precedes (backwards), the lengths of both, in whole tokens.
+RECORD = 88
+CHUNK = "bucket int, block int, first long, keys binary, docs binary, many binary"
+TOLD = "block int, part int, places binary, bits binary"
 
 
-def leads(x: np.ndarray, at: np.ndarray, tokens: int, length: int) -> np.ndarray:
-    """(tokens, rows) big-endian longs of the length bytes of x from each place; zeros past the end."""
-    reach = np.concatenate([x, np.zeros(tokens * 8, np.uint8)])
-    rows = reach[at[:, None] + np.arange(tokens * 8)]
-    rows[:, length:] = 0
-    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64).view(np.int64).T
-
-
-def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (np.minimum or np.maximum) over every `width` neighbours."""
-    have = 1
-    while have * 2 <= width:
-        x = pick(x[:-have], x[have:])
-        have *= 2
-    return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
-
-
-def anchors(x: np.ndarray) -> np.ndarray:
-    """Places whose LEAD bytes hash lowest in some stretch of LENGTH bytes."""
-    found = []
-    for start in range(0, max(len(x) - LENGTH + 1, 0), PIECE):
-        part = x[start : start + PIECE + LENGTH - 1]
-        h = part.astype(np.uint64) * np.uint64(MIX2) ^ np.uint64(MIX)
-        width = 1
-        while width < LEAD:
-            h = h[:-width] * np.uint64(pow(MIX, width, 1 << 64)) + h[width:]
-            width *= 2
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(MIX2)
-        low = sliding(h, WINDOW, np.minimum)
-        pad = np.zeros(WINDOW - 1, np.uint64)
-        found.append(np.flatnonzero(sliding(np.concatenate([pad, low, pad]), WINDOW, np.maximum) == h) + start)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+def tokens(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as columns of big-endian tokens."""
+    short = -rows.shape[1] % 8
+    whole = np.pad(rows, ((0, 0), (0, short))) if short else np.ascontiguousarray(rows)
+    return list(np.ascontiguousarray(whole.view(">u8").astype(np.uint64).T))
 
 
 def multikey_sort(keys: list[np.ndarray]) -> np.ndarray:
     """The order of rows by keys[0], then keys[1], ...: only runs that are still equal are sorted by the next key."""
     order = np.argsort(keys[0], kind="stable")
-    ranges = _runs([keys[0]], order)
+    starts, ends = runs([keys[0]], order)
     for depth in range(1, len(keys)):
-        starts, ends = ranges
         many = ends - starts > 1
         if not many.any():
             break
@@ -79,11 +63,12 @@ def multikey_sort(keys: list[np.ndarray]) -> np.ndarray:
         group = np.repeat(np.arange(len(starts)), ends - starts)[inside]
         rows = order[inside]
         order[inside] = rows[np.lexsort((keys[depth][rows], group))]
-        ranges = _runs(keys[: depth + 1], order)
+        starts, ends = runs(keys[: depth + 1], order)
     return order
 
 
-def _runs(keys: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs(keys: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of equal keys in an order."""
     change = np.zeros(len(order), bool)
     change[:1] = True
     for k in keys:
@@ -93,137 +78,296 @@ def _runs(keys: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.r_[starts[1:], len(order)]
 
 
-def with_runs(rows: DataFrame, tokens: int, n_rows: int, also: str | None = None) -> DataFrame:
-    """rows(t0.., doc, ...) with lo and hi: the smallest and largest doc among all rows of the same tokens; with
-    `also`, alo and ahi of that column. A run of any length is spread over buckets by its documents."""
-    spark = rows.sparkSession
-    names = [f"t{i}" for i in range(tokens)]
-    buckets = max(partitions_for(spark), n_rows // BUCKET_ROWS + 1)
-    tie = [c for c in ("doc", "pos") if c in rows.columns]
-    dealt = rows.repartitionByRange(buckets, *names, *tie)
-    new = ["lo", "hi"] + (["alo", "ahi"] if also else [])
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"{c} long" for c in new), "edge boolean"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        keys = [t.column(c).to_numpy() for c in names]
-        order = multikey_sort(keys)
-        starts, ends = _runs(keys, order)
-        out = t.take(pa.array(order))
-        for source, low, high in [("doc", "lo", "hi"), *([(also, "alo", "ahi")] if also else [])]:
-            x = out.column(source).to_numpy()
-            out = out.append_column(low, pa.array(np.repeat(np.minimum.reduceat(x, starts), ends - starts)))
-            out = out.append_column(high, pa.array(np.repeat(np.maximum.reduceat(x, starts), ends - starts)))
-        edge = np.zeros(len(order), bool)
-        edge[: ends[0]] = True
-        edge[starts[-1] :] = True
-        yield from out.append_column("edge", pa.array(edge)).to_batches(max_chunksize=100_000)
-
-    local = saved(dealt.mapInArrow(run, schema))
-    across = local.filter("edge").groupBy(*names).agg(*[(F.min if c in ("lo", "alo") else F.max)(c).alias(f"_{c}") for c in new])  # two runs a bucket
-    return local.join(F.broadcast(across), names, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in new}).drop("edge", *(f"_{c}" for c in new))
-
-
-def anchor_rows(texts: DataFrame) -> DataFrame:
-    """t0, t1, doc and pos of every anchor of texts(doc, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                x = np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
-                at = anchors(x)
-                if len(at):
-                    t = leads(x, at, 2, LEAD)
-                    yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], names=["t0", "t1", "doc", "pos"])
-
-    return texts.mapInArrow(run, "t0 long, t1 long, doc long, pos int")
-
-
-def around_rows(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """Of each anchor in places(doc, ps): t0, t1, doc, pos, and first and around: the bytes any passage with it has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text, ps in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("ps").to_pylist()):
-                raw, at = text.encode(), np.array(ps, np.int64)
-                t = leads(np.frombuffer(raw, np.uint8), at, 2, LEAD)
-                first = np.maximum(at - WINDOW + 1, 0)
-                around = [raw[a : p + LENGTH] for a, p in zip(first.tolist(), at.tolist())]
-                same = np.array([xxhash.xxh3_64_intdigest(b, p - a) for b, a, p in zip(around, first.tolist(), at.tolist())], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(same), pa.array(around, pa.binary())], names=["t0", "t1", "doc", "pos", "first", "same", "around"])
-
-    return texts.join(places, "doc").select("doc", "text", "ps").mapInArrow(run, "t0 long, t1 long, doc long, pos int, first int, same long, around binary")
+def lowest(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest of width neighbours from each place, the leftmost where several are."""
 
+    def better(h: np.ndarray, at: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        left = h[:-by] <= h[by:]
+        return np.where(left, h[:-by], h[by:]), np.where(left, at[:-by], at[by:])
 
-def suffix_rows(mixed: DataFrame) -> DataFrame:
-    """t0.. and doc, pos of the LENGTH bytes from each place around the anchors of mixed(doc, first, around)."""
-    names = [f"t{i}" for i in range(TOKENS)]
+    at, have = np.arange(len(h), dtype=np.int32), 1
+    while have * 2 <= width:
+        h, at = better(h, at, have)
+        have *= 2
+    return better(h, at, width - have)[1] if have < width else at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [np.frombuffer(b, np.uint8) for b in batch.column("around").to_pylist()]
-            sizes = np.array([max(len(b) - LENGTH + 1, 0) for b in raw], np.int64)
-            begin = np.cumsum([0, *map(len, raw)])[:-1]
-            inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            x = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
-            t = leads(x, np.repeat(begin, sizes) + inner, TOKENS, LENGTH)
-            doc, first = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("doc", "first"))
-            yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in t), pa.array(doc), pa.array((first + inner).astype(np.int32))], names=[*names, "doc", "pos"])
 
-    return mixed.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", doc long, pos int")
+def anchors(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the texts of given sizes that follow one another in x: place, first and last suffix that it owns."""
+    inside = np.ones(len(x), bool)  # whether a suffix from here ends in its text
+    ends = np.cumsum(sizes)
+    for start, end in zip((ends - sizes).tolist(), ends.tolist()):
+        inside[max(start, end - LENGTH + 1) : end] = False
+    found = []
+    for start in range(0, max(len(x) - LENGTH + 1, 0), PIECE):
+        part = x[start : start + PIECE + LENGTH - 1]
+        h = part.astype(np.uint64) * np.uint64(MIX2) ^ np.uint64(MIX)
+        width = 1
+        while width < LEAD:
+            h = h[:-width] * np.uint64(pow(MIX, width, 1 << 64)) + h[width:]
+            width *= 2
+        h = (((h ^ (h >> np.uint64(29))) * np.uint64(MIX2)) >> np.uint64(32)).astype(np.uint32)
+        own = lowest(h, WINDOW)
+        at = np.flatnonzero(inside[start : start + len(own)])
+        own = own[at]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else at
+        last = np.r_[first[1:], len(own)] - 1 if len(own) else at
+        found.append(np.stack([own[first], at[first], at[last]]).astype(np.int64) + start)
+    place, begin, end = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+    if len(place):  # an anchor of two pieces is one
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        place, begin, end = place[first], begin[first], np.maximum.reduceat(end, first)
+    return place, begin, end
+
+
+class Block:
+    """The anchors of a block's texts, and their distinct leads in order."""
+
+    def __init__(self, ids: np.ndarray, texts: list[bytes]):
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.x = np.frombuffer(b"".join(texts), np.uint8)
+        self.place, self.begin, self.end = anchors(self.x, self.sizes)
+        self.row = np.searchsorted(np.cumsum(self.sizes), self.place, side="right")
+        self.doc = ids[self.row] if len(ids) else np.zeros(0, np.int64)
+        lead = self.around(0, LEAD, self.place)
+        self.leads, self.of, self.low, self.many = grouped(lead, self.doc)
+
+    def around(self, before: int, after: int, place: np.ndarray) -> np.ndarray:
+        """Bytes from `before` ahead of each place to `after` behind it; zeros beyond the block."""
+        if not len(place):
+            return np.zeros((0, before + after), np.uint8)
+        wide = np.concatenate([np.zeros(before, np.uint8), self.x, np.zeros(after, np.uint8)])
+        return np.lib.stride_tricks.sliding_window_view(wide, before + after)[place]
+
+    def records(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors of shared leads: their numbers, the distinct records in order, each anchor's record, and each
+        record's smallest document."""
+        pick = np.flatnonzero(np.isin(self.of, shared))
+        place = self.place[pick]
+        bytes_ = self.around(SIDE, LENGTH, place)
+        before, after = place - self.begin[pick], self.end[pick] + LENGTH - LEAD - place
+        side = np.arange(SIDE)
+        out = np.zeros((len(pick), RECORD), np.uint8)
+        out[:, :LEAD] = bytes_[:, SIDE : SIDE + LEAD]
+        out[:, LEAD:LENGTH] = np.where(side < after[:, None], bytes_[:, SIDE + LEAD :], 0)
+        out[:, LENGTH : LENGTH + SIDE] = np.where(side < before[:, None], bytes_[:, SIDE - 1 :: -1], 0)
+        out[:, LENGTH + SIDE], out[:, LENGTH + SIDE + 1] = after, before
+        distinct, of, low, _ = grouped(out, self.doc[pick])
+        return pick, distinct, of, low
+
+
+def grouped(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in order, the number of each row among them, the smallest doc of each and whether it has others."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    keys = tokens(rows)
+    order = multikey_sort(keys)
+    starts, ends = runs(keys, order)
+    of = np.empty(len(rows), np.int64)
+    of[order] = np.repeat(np.arange(len(starts)), ends - starts)
+    low, high = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
+    return rows[order[starts]], of, low, low != high
+
+
+def strings(rows: np.ndarray) -> np.ndarray:
+    """The leading LEAD bytes of rows, as strings that compare like them."""
+    return np.ascontiguousarray(rows[:, :LEAD]).view(f"S{LEAD}").ravel()
+
+
+def chunks(block: int, rows: np.ndarray, low: np.ndarray, many: np.ndarray, splitters: np.ndarray) -> pa.Table:
+    """CHUNK rows, one for each bucket that some of the (sorted) rows of a block belong to."""
+    bucket = np.searchsorted(splitters, strings(rows), side="right") if len(rows) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else bucket
+    spans = list(zip(first.tolist(), [*first[1:].tolist(), len(rows)]))
+    binary = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
+    numbers = [pa.array(bucket[first], pa.int32()), pa.array([block] * len(spans), pa.int32()), pa.array(first, pa.int64())]
+    return pa.table([*numbers, binary(rows), binary(low), binary(many)], names=["bucket", "block", "first", "keys", "docs", "many"])
+
+
+def joined(table: pa.Table, column: str, kind: type, width: int = 1) -> np.ndarray:
+    out = np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+    return out.reshape(-1, width) if width > 1 else out
+
+
+def told(table: pa.Table, width: int, part: int, pick: np.ndarray, bits: np.ndarray) -> pa.Table:
+    """TOLD rows for the blocks of a bucket's chunks: the numbers that picked rows have in their block, and bits."""
+    sizes = np.array([len(k) // width for k in table.column("keys").to_pylist()], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    chunk = np.searchsorted(begin + sizes, pick, side="right")
+    number = table.column("first").to_numpy()[chunk] + pick - begin[chunk]
+    cuts = np.searchsorted(chunk, np.arange(len(sizes) + 1))
+    some = [i for i in range(len(sizes)) if cuts[i] < cuts[i + 1]]
+    binary = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())
+    return pa.table([table.column("block").take(pa.array(some, pa.int64())).cast(pa.int32()), pa.array([part] * len(some), pa.int32()), binary(number), binary(bits)], names=["block", "part", "places", "bits"])
+
+
+def shared_leads(table: pa.Table) -> pa.Table:
+    """Of the leads of a bucket: those in several documents."""
+    keys = tokens(joined(table, "keys", np.uint8, LEAD))
+    doc, many = joined(table, "docs", np.int64), joined(table, "many", bool)
+    order = multikey_sort(keys)
+    starts, ends = runs(keys, order)
+    several = np.logical_or.reduceat(many[order], starts) | (np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts))
+    pick = np.sort(order[np.repeat(several, ends - starts)])
+    return told(table, LEAD, 0, pick, np.zeros(len(pick), np.uint64))
+
+
+def agreement(rows: np.ndarray, same_run: np.ndarray) -> np.ndarray:
+    """Leading bytes that each of some sorted rows shares at most with another of its run."""
+    differ = rows[1:] != rows[:-1]
+    common = np.where(same_run, np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1]), 0)
+    return np.maximum(np.r_[0, common], np.r_[common, 0])
+
+
+def repeated_suffixes(table: pa.Table) -> pa.Table:
+    """Of the records of a bucket: a bit for each suffix (by the bytes it has before the anchor) that also starts in a
+    document smaller than the record's smallest in its block."""
+    rows, doc = joined(table, "keys", np.uint8, RECORD), joined(table, "docs", np.int64)
+    keys = tokens(rows)
+    order = multikey_sort(keys)
+    starts, ends = runs(keys, order)
+    kinds, low = rows[order[starts]], np.minimum.reduceat(doc[order], starts)
+    of = np.empty(len(rows), np.int64)
+    of[order] = np.repeat(np.arange(len(starts)), ends - starts)
+    lead = tokens(kinds[:, :LEAD])
+    same = (lead[0][1:] == lead[0][:-1]) & (lead[1][1:] == lead[1][:-1])
+    run = np.cumsum(np.r_[0, ~same])[: len(kinds)]
+    after, before = kinds[:, LEAD:LENGTH], kinds[:, LENGTH : LENGTH + SIDE]
+    n_after, n_before = kinds[:, LENGTH + SIDE].astype(np.int64), kinds[:, LENGTH + SIDE + 1].astype(np.int64)
+    back = multikey_sort([run, *tokens(before)])
+    reach = np.empty(len(kinds), np.int64)
+    reach[back] = agreement(before[back], run[back][1:] == run[back][:-1])
+    least = SIDE - np.minimum(n_after, agreement(after, same))
+    most = np.minimum(n_before, reach)
+    alone = ~(np.r_[False, same] | np.r_[same, False])
+    bits = np.zeros(len(kinds), np.uint64)
+    for k in range(WINDOW):
+        some = np.flatnonzero((least <= k) & (k <= most) & ~alone)
+        if len(some) < 2:
+            continue
+        parts = [run[some], *tokens(np.concatenate([after[some, : SIDE - k], before[some, :k]], axis=1))]
+        sort = multikey_sort(parts)
+        a, b = runs(parts, sort)
+        smallest = np.repeat(np.minimum.reduceat(low[some[sort]], a), b - a)
+        bits[some[sort[smallest < low[some[sort]]]]] |= np.uint64(1 << k)
+    all_bits = (np.uint64(1) << (n_before + 1).astype(np.uint64)) - (np.uint64(1) << (SIDE - n_after).astype(np.uint64))
+    own = np.where(doc > low[of], all_bits[of], bits[of])
+    pick = np.flatnonzero(own)
+    return told(table, RECORD, 1, pick, own[pick])
+
+
+def numbers(table: pa.Table, part: int) -> tuple[np.ndarray, np.ndarray]:
+    mine = table.filter(pc.equal(table.column("part"), part))
+    return joined(mine, "places", np.int64), joined(mine, "bits", np.uint64)
+
+
+def ids_and_texts(rows: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    return rows.column("doc_id").to_numpy(), [t.encode() for t in rows.column("text").to_pylist()]
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Unions of [start, end) that overlap or touch, in order."""
+    if not len(starts):
+        return []
     order = np.argsort(starts, kind="stable")
     starts, reach = starts[order], np.maximum.accumulate(ends[order])
     first = np.flatnonzero(np.r_[True, starts[1:] > reach[:-1]])
     return list(zip(starts[first].tolist(), reach[np.r_[first[1:], len(starts)] - 1].tolist()))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc and lists of starts and ends: passages of LENGTH bytes that also start in a document of smaller doc_id."""
-    small_batches(docs.sparkSession, 500)
-    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shared = with_runs(anchor_rows(texts), 2, size // 15).filter("lo < hi").select("doc", "pos")
-    places = shared.groupBy("doc").agg(F.collect_set("pos").alias("ps"))  # as many as the text is long
-    found = saved(with_runs(around_rows(texts, places), 2, size // 40, "same"))
-    whole = found.filter("alo = ahi AND doc > lo AND length(around) >= 50").select("doc", F.col("first").alias("start"), (F.col("first") + F.length("around")).alias("end"))
-    suffixes = with_runs(suffix_rows(found.filter("alo < ahi").select("doc", "first", "around")), TOKENS, size // 15)
-    parts = suffixes.filter("doc > lo").select("doc", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    return whole.unionByName(parts).distinct().groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (array of start, end in bytes, maximal and in order) and kept (binary, the other bytes) of each row.
-
-    A null text counts as empty; a null doc_id is smaller than none, so its row neither loses bytes nor takes any from
-    others; rows of one doc_id are one document's and take nothing from each other but lose the bytes of smaller ones
-    only if they hold the same text; an empty table gives an empty table; other columns are ignored.
-    """
-    spans = saved(repeated_spans(docs))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "starts", "ends")
+def cuts(ids: np.ndarray, texts: list[bytes], answers: pa.Table) -> list[list[tuple[int, int]]]:
+    """The spans to remove from each text of a block."""
+    block = Block(ids, texts)
+    pick, kinds, of, low = block.records(numbers(answers, 0)[0])
+    bits = np.zeros(len(kinds), np.uint64)
+    place, found = numbers(answers, 1)
+    bits[place] = found
+    begin, end, anchor = block.begin[pick], block.end[pick], block.place[pick]
+    later = block.doc[pick] > low[of] if len(pick) else np.zeros(0, bool)
+    starts, stops = [begin[later]], [end[later] + LENGTH]
+    some = np.flatnonzero(~later & (bits[of] != 0)) if len(pick) else np.zeros(0, np.int64)
+    for k in range(WINDOW):
+        at = some[(bits[of[some]] >> np.uint64(k)) & np.uint64(1) == 1]
+        starts.append(anchor[at] - k)
+        stops.append(anchor[at] - k + LENGTH)
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    offsets = np.cumsum(block.sizes) - block.sizes
+    all_starts, all_stops = np.concatenate(starts), np.concatenate(stops)
+    row = np.searchsorted(offsets + block.sizes, all_starts, side="right")
+    order = np.argsort(row, kind="stable")
+    edges = np.searchsorted(row[order], np.arange(len(texts) + 1))
+    for r in np.unique(row).tolist():
+        mine = order[edges[r] : edges[r + 1]]
+        out[r] = merged(all_starts[mine] - offsets[r], all_stops[mine] - offsets[r])
+    return out
+
+
+def splitters_of(texts: DataFrame, size: int, buckets: int) -> np.ndarray:
+    """Leads that part all leads into about equal buckets, from a sample of documents."""
+    wanted = min(max(buckets * SAMPLE_BUCKET, SAMPLE_LEAST), SAMPLE_MOST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut, left = [], []
-            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends"))):
-                raw = (text or "").encode()
-                own = [s for s in merged(np.array(starts), np.array(ends)) if s[1] <= len(raw)] if starts else []
-                edges = [0, *(e for s in own for e in s), len(raw)]
-                cut.append([{"start": a, "end": b} for a, b in own])
-                left.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cut, kind), pa.array(left, pa.binary())], names=["doc_id", "spans", "kept"])
+            leads = [Block(np.zeros(1, np.int64), [t.encode()]).leads.tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(leads)], pa.binary())], names=["leads"])
 
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<start: long, end: long>>, kept binary")
+    sample = texts if size <= wanted else texts.sample(wanted / size, 1)
+    raw = b"".join(r["leads"] for r in sample.select("text").mapInArrow(run, "leads binary").collect())
+    found = np.sort(np.frombuffer(raw, f"S{LEAD}"))
+    return np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, spans (array of start, end in bytes, maximal and in order) and kept (binary, the other bytes) of each row.
+
+    A byte goes where LENGTH bytes that cover it also start in a document of smaller doc_id. A null text counts as
+    empty; a null doc_id is smaller than none, so its row neither loses bytes nor takes any from others; rows of one
+    doc_id, alike or not, take nothing from each other, and each loses what smaller ones hold; an empty table gives an
+    empty table; other columns are ignored. Equal rows go to one block; a text longer than a block is one by itself.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // block_bytes + 1)).cast("int"))
+    texts = rows.filter("doc_id IS NOT NULL")
+    splitters = spark.sparkContext.broadcast(splitters_of(texts, size, size // 18 // bucket_rows + 1))  # an anchor has 18 bytes
+
+    def send_leads(key: tuple, rows: pa.Table) -> pa.Table:
+        block = Block(*ids_and_texts(rows))
+        return chunks(key[0].as_py(), block.leads, block.low, block.many, splitters.value)
+
+    leads = texts.groupBy("block").applyInArrow(send_leads, CHUNK)
+    shared = saved(leads.groupBy("bucket").applyInArrow(shared_leads, TOLD))
+    release(spark)
+
+    def send_records(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(*ids_and_texts(rows))
+        _, kinds, _, low = block.records(numbers(answers, 0)[0])
+        return chunks(key[0].as_py(), kinds, low, np.zeros(len(low), bool), splitters.value)
+
+    records = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_records, CHUNK)
+    answers = saved(records.groupBy("bucket").applyInArrow(repeated_suffixes, TOLD))
+    release(spark)
+
+    def cut(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        named = rows.filter(pc.is_valid(rows.column("doc_id")))
+        rows = pa.concat_tables([named, rows.filter(pc.is_null(rows.column("doc_id")))])
+        ids, texts = ids_and_texts(named)
+        spans = cuts(ids, texts, answers) + [[]] * (len(rows) - len(named))
+        left = []
+        for text, own in zip(rows.column("text").to_pylist(), spans):
+            raw = text.encode()
+            edges = [0, *(e for s in own for e in s), len(raw)]
+            left.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        lists = pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], kind)
+        return pa.table([rows.column("doc_id"), lists, pa.array(left, pa.binary())], names=["doc_id", "spans", "kept"])
+
+    all_told = shared.unionByName(answers)
+    return rows.groupBy("block").cogroup(all_told.groupBy("block")).applyInArrow(cut, "doc_id long, spans array<struct<start: long, end: long>>, kept binary")
+
+
+def digest(docs: DataFrame, **options) -> DataFrame:
     """The contract's columns, from deduplicated()."""
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
-    return deduplicated(docs).select("doc_id", (F.length("kept") + cut).cast("long").alias("n_bytes"), cut.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return deduplicated(docs, **options).select("doc_id", (F.length("kept") + cut).cast("long").alias("n_bytes"), cut.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

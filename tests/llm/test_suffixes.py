@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from earshot.llm import suffixes
 
 N = suffixes.LENGTH
@@ -53,8 +55,26 @@ def test_empty_table(spark):
     assert suffixes.digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_long_runs_cross_buckets(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "BUCKET_ROWS", 3)
+def test_small_blocks_and_buckets_agree(spark):
     rows = [(i, "the same passage of more than fifty bytes in every text " + str(i)) for i in range(40)]
+    rows += [(90 + i % 3, f"{i} texts of one id {i}, and what they share: more than fifty bytes of one passage") for i in range(9)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({"bucket_rows": 3, "block_bytes": 300}, {"bucket_rows": 10**9}):
+        assert sorted((tuple(r) for r in suffixes.digest(df, **options).collect()), key=repr) == brute(rows)
+
+
+def test_pieces_of_long_texts_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(97, 100, 5000).astype(np.uint8)
+    sizes = np.array([0, 1200, 49, 50, 3701])
+    whole = suffixes.anchors(x, sizes)
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    assert all((a == b).all() for a, b in zip(whole, suffixes.anchors(x, sizes)))
+    assert (whole[2] - whole[1] + 1).sum() == sum(max(n - N + 1, 0) for n in sizes)
+
+
+def test_rows_alike_in_id_and_text_share_their_spans(spark):
+    text = "a passage that several documents hold, word by word and byte by byte"
+    rows = [(5, text), (5, text), (5, text + " and more"), (6, text), (6, text), (None, text), (None, text)]
     got = sorted((tuple(r) for r in suffixes.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == brute(rows)
