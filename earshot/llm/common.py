@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -25,9 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet below the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/earshot-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    """Write df as Parquet below the shared folder and read it again: cuts lineage and survives lost executors.
+
+    Once it is written, nothing needs the shuffle files of its steps: Spark is told to delete them.
+    """
+    path, conf, key = f"{shared_dir(df.sparkSession)}/earshot-{uuid.uuid4().hex}", df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._earshot_path = path
     return out
@@ -42,13 +49,6 @@ def discard(df: DataFrame | None) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are saved: else they stay until the driver's garbage
-    is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows, as texts may be long. Leaves a smaller setting alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import release, saved
+from earshot.llm.common import saved
 
 LENGTH, LEAD = 50, 16
 #: Places for an anchor in a suffix, and bytes that a suffix may have before or after its anchor.
@@ -35,9 +35,9 @@ SIDE = LENGTH - LEAD
 BLOCK_BYTES, BUCKET_ROWS = 8 << 20, 500_000
 #: Bytes of text sampled for splitters: per bucket, at least, and at most.
 SAMPLE_BUCKET, SAMPLE_LEAST, SAMPLE_MOST = 40_000, 2 << 20, 64 << 20
-MIX, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-#: Suffixes whose hashes are in memory at once.
-PIECE = 1 << 20
+MIX, MIX2 = 0x9E3779B1, 0x85EBCA77
+#: Suffixes whose hashes are in a processor's cache at once; their places have 16 bits.
+PIECE = (1 << 16) - 64
 #: A record: lead, what follows, what precedes (backwards), the lengths of both, in whole tokens.
 RECORD = 88
 CHUNK = "bucket int, block int, first long, keys binary, docs binary, many binary"
@@ -78,18 +78,13 @@ def runs(keys: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.r_[starts[1:], len(order)]
 
 
-def lowest(h: np.ndarray, width: int) -> np.ndarray:
-    """The place of the smallest of width neighbours from each place, the leftmost where several are."""
-
-    def better(h: np.ndarray, at: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
-        left = h[:-by] <= h[by:]
-        return np.where(left, h[:-by], h[by:]), np.where(left, at[:-by], at[by:])
-
-    at, have = np.arange(len(h), dtype=np.int32), 1
+def lowest(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of width neighbours from each place."""
+    have = 1
     while have * 2 <= width:
-        h, at = better(h, at, have)
+        x = np.minimum(x[:-have], x[have:])
         have *= 2
-    return better(h, at, width - have)[1] if have < width else at
+    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
 def anchors(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,13 +96,14 @@ def anchors(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     found = []
     for start in range(0, max(len(x) - LENGTH + 1, 0), PIECE):
         part = x[start : start + PIECE + LENGTH - 1]
-        h = part.astype(np.uint64) * np.uint64(MIX2) ^ np.uint64(MIX)
+        h = (part.astype(np.uint32) ^ np.uint32(0x5A)) * np.uint32(MIX2)
         width = 1
         while width < LEAD:
-            h = h[:-width] * np.uint64(pow(MIX, width, 1 << 64)) + h[width:]
+            h = h[:-width] * np.uint32(pow(MIX, width, 1 << 32)) + h[width:]
             width *= 2
-        h = (((h ^ (h >> np.uint64(29))) * np.uint64(MIX2)) >> np.uint64(32)).astype(np.uint32)
-        own = lowest(h, WINDOW)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(MIX2)
+        # half of the hash, then the place: the smallest is the leftmost of those that hash lowest
+        own = lowest((h & np.uint32(0xFFFF0000)) | np.arange(len(h), dtype=np.uint32), WINDOW) & np.uint32(0xFFFF)
         at = np.flatnonzero(inside[start : start + len(own)])
         own = own[at]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else at
@@ -338,7 +334,6 @@ def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_rows: i
 
     leads = texts.groupBy("block").applyInArrow(send_leads, CHUNK)
     shared = saved(leads.groupBy("bucket").applyInArrow(shared_leads, TOLD))
-    release(spark)
 
     def send_records(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(*ids_and_texts(rows))
@@ -347,7 +342,6 @@ def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_rows: i
 
     records = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_records, CHUNK)
     answers = saved(records.groupBy("bucket").applyInArrow(repeated_suffixes, TOLD))
-    release(spark)
 
     def cut(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         named = rows.filter(pc.is_valid(rows.column("doc_id")))
