@@ -3,23 +3,26 @@
 A word's probability is that of its class after the class of the word before, times that of the word in its class.
 Classes come from exchange clustering over all training bigrams; their number grows with the vocabulary. The most
 frequent words are exchanged first, one by one, which gives each class its first words. Then Spark rounds follow: each
-counts every word's neighbours by their present class (a groupBy over all distinct bigrams), and words move to the
-class that gains most, all others in the first round, a half of all words, by turns, in each later one. An unknown
-word stands where words seen once stand. Documents meet the vocabulary block by block: each block of texts asks for
-its distinct words.
+counts every word's neighbours by their present class, and words move to the class that gains most, all others in the
+first round, a half of all words, by turns, in each later one. An unknown word stands where words seen once stand.
+
+Texts are coded once, in blocks as they are read: a block numbers its distinct words. The vocabulary lies in buckets
+by a hash of the word. Blocks and buckets exchange arrays, one for each block and bucket that share words: counts to
+the bucket, counts and classes to the block, then in each round its words' neighbours by class to the bucket.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import discard, fold_of, release, saved, small_batches
+from earshot.llm.common import discard, fold_of, saved, small_batches
 
 FOLDS, HELD_OUT = 7, 2
 #: The least number of classes that exchange fills; two more hold the end of a text and unknown words.
@@ -29,15 +32,51 @@ ALL = CLASSES + 2
 FREQUENT, ROUNDS = 800, 8
 #: Rounds in which half of all words move, after the one that places those that the first exchange left out.
 MOVES = 4
-#: Words whose classes are broadcast in a round; the classes of all others are joined.
-HEAD = 1 << 17
+#: Counts up to this have their gain in each class looked up.
+SMALL = 16
 #: Entries of words and classes that a task holds against all classes.
 PART_ENTRIES = 20_000
 #: Smoothing: the weight, in tokens, of a class's own share among what follows another.
 BETA = 50.0
-BLOCK_BYTES = 8 << 20
-#: The end of a text as a token: it has white space, so no word is like it.
-STOP = b" "
+#: Text of a block, and of the input for each bucket of the vocabulary.
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+#: The end of a text as a token: it has white space, so no word is like it. BETWEEN parts words of a list.
+STOP, BETWEEN = b" ", b"\t"
+
+
+class Numbers(dict):
+    """Numbers for keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        found = self[key] = len(self)
+        return found
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes: the low bytes of all, then the next ones, compressed."""
+    planes = np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    planes = np.frombuffer(pa.decompress(x[8:], n * 8, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def unpacked(table: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *map(unpack, table.column(column).to_pylist())])
+
+
+def row(schema: str, **values) -> pa.RecordBatch:
+    """One row of a schema of name-type pairs; what is not given is null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    named = [c.split(" ", 1) for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([values.get(c)], kinds[k]) for c, k in named], names=[c for c, _ in named])
+
+
+def table_of(rows: list[pa.RecordBatch], schema: str) -> pa.Table:
+    return pa.Table.from_batches(rows) if rows else pa.Table.from_batches([row(schema).slice(0, 0)])
 
 
 def classes_for(distinct: int) -> int:
@@ -49,145 +88,203 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def vocabulary(training: DataFrame) -> DataFrame:
-    """word (binary) and c, its tokens in training(text), for words and the end token."""
+CODED = "block long, bucket int, words binary, counts binary, tokens binary, homes binary, doc_ids array<long>, held array<boolean>, sizes array<long>"
+
+
+def coded_blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """CODED rows of docs(doc_id, text, held_out): for each block one without a bucket, with the texts' tokens by number
+    (each text has its end as one), the words' buckets and the texts' sizes; and for each of its buckets one with the
+    words there and their counts in training texts."""
+    limit = BLOCK_BYTES
+
+    def coded(block: int, ids: list, texts: list, held: list) -> Iterator[pa.RecordBatch]:
+        numbers, tokens, sizes = Numbers(), [], []
+        number = numbers.__getitem__
+        end = number(STOP)
+        for text in texts:
+            at = len(tokens)
+            tokens.extend(map(number, words_of(text)))
+            tokens.append(end)
+            sizes.append(len(tokens) - at)
+        words, x = list(numbers), np.array(tokens, np.int64)
+        homes = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        counts = np.bincount(x[np.repeat(~np.array(held, bool), sizes)], minlength=len(words))
+        yield row(CODED, block=block, tokens=pack(x), homes=pack(homes), doc_ids=ids, held=held, sizes=sizes)
+        order = np.argsort(homes, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(homes[order])) + 1):
+            yield row(CODED, block=block, bucket=int(homes[mine[0]]), words=BETWEEN.join([words[i] for i in mine.tolist()]), counts=pack(counts[mine]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        held: tuple = ([], [], [])
         for batch in batches:
-            found: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                found.update(words_of(text))
-            found[STOP] += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
+            for values in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "held_out"))):
+                for column, value in zip(held, values):
+                    column.append(value)
+                size += len(values[1] or "") + 1
+                if size >= limit:
+                    yield from coded(block, *held)
+                    block, size, held = block + 1, 0, ([], [], [])
+        if held[0]:
+            yield from coded(block, *held)
 
-    return training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0")
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, CODED)
 
 
-def pair_counts(training: DataFrame, ids: dict[bytes, int]) -> np.ndarray:
-    """How often a frequent word follows another, as a square matrix: at most as large as ids allows."""
-    spark, n = training.sparkSession, len(ids)
-    held = spark.sparkContext.broadcast(ids)
+LEXICON = "bucket int, block long, words binary, numbers binary, counts binary, tokens long, distinct long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, counts, any_row = held.value.get, np.zeros(n * n, np.int64), False
-        for batch in batches:
-            at = []
-            for text in batch.column("text").to_pylist():
-                at.append(get(STOP, -1))
-                at.extend([get(w, -1) for w in words_of(text)])
-            any_row = any_row or bool(at)
-            x = np.array([*at, get(STOP, -1)], np.int64)
-            both = (x[:-1] >= 0) & (x[1:] >= 0)
-            np.add.at(counts, x[:-1][both] * n + x[1:][both], 1)
-        if any_row:
-            hit = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit])], names=["pair", "n"])
-
-    rows = training.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros((n, n))
-    for r in rows:
-        out[r["pair"] // n, r["pair"] % n] = r["n"]
-    return out
 
+def lexicon_of(chunks: DataFrame) -> DataFrame:
+    """LEXICON rows: for each bucket one without a block, with its words and their counts; and for each block that asked,
+    the numbers of its words in the bucket and their counts in the whole of training."""
 
-def log_part(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        numbers, bucket = Numbers(), key[0].as_py()
+        asked = [np.fromiter(map(numbers.__getitem__, w.split(BETWEEN)), np.int64) for w in rows.column("words").to_pylist()]
+        counts = np.zeros(len(numbers), np.int64)
+        for mine, n in zip(asked, rows.column("counts").to_pylist()):
+            counts[mine] += unpack(n)
+        out = [row(LEXICON, bucket=bucket, words=BETWEEN.join(numbers), counts=pack(counts), tokens=int(counts.sum()), distinct=int((counts > 0).sum()))]
+        out += [row(LEXICON, bucket=bucket, block=b, numbers=pack(mine), counts=pack(counts[mine])) for b, mine in zip(rows.column("block").to_pylist(), asked)]
+        return table_of(out, LEXICON)
 
+    return chunks.select("bucket", "block", "words", "counts").groupBy("bucket").applyInArrow(merge, LEXICON)
 
-def exchange(pairs: np.ndarray, fixed: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """A class for each word of pairs (counts of bigrams; word `fixed` is the end token and keeps its own class).
 
-    Starts with words dealt in turn; each round moves every word to the class where the sum of n log n over class
-    bigrams, less that over class counts, is largest. Ends early once no word moves.
-    """
-    n = len(pairs)
-    of = np.arange(n) % classes
-    of[fixed] = classes
-    size = classes + 1
-    onehot = np.eye(size)[of]
-    table = onehot.T @ pairs @ onehot
-    for _ in range(rounds):
-        moved = 0
-        for w in range(n):
-            if w == fixed:
-                continue
-            out_counts = np.bincount(of, pairs[w], size)
-            in_counts = np.bincount(of, pairs[:, w], size)
-            own, self_count = of[w], pairs[w, w]
-            out_counts[own] -= self_count
-            in_counts[own] -= self_count
-            table[own] -= out_counts
-            table[:, own] -= in_counts
-            table[own, own] -= self_count
-            gain = placement_gain(table, out_counts, in_counts, self_count)
-            gain[classes:] = -np.inf
-            best = int(np.argmax(gain))
-            if gain[best] <= gain[own] + 1e-9:
-                best = own
-            table[best] += out_counts
-            table[:, best] += in_counts
-            table[best, best] += self_count
-            moved += best != own
-            of[w] = best
-        if not moved:
-            break
-    return of
+STATE = "bucket int, counts binary, own binary, spare binary"
+TOLD = "block long, bucket int, numbers binary, counts binary, own binary"
+ENTRIES = "bucket int, numbers binary, ctx binary, n binary"
+KNOWN = "bucket int, counts binary, own binary, spare binary, self binary, sizes binary, ctx binary, n binary"
 
 
-def placement_gain(table: np.ndarray, out_counts: np.ndarray, in_counts: np.ndarray, self_count: float) -> np.ndarray:
-    """What the likelihood gains if a word of these neighbour counts joins each class of table."""
-    size = len(table)
-    rows, cols = table + out_counts, table + in_counts[:, None]
-    gain = (log_part(rows) - log_part(table)).sum(axis=1) + (log_part(cols) - log_part(table)).sum(axis=0)
-    # the diagonal cell takes both
-    k = np.arange(size)
-    diagonal = table[k, k]
-    gain -= log_part(rows[k, k]) + log_part(cols[k, k]) - 2 * log_part(diagonal)
-    gain += log_part(diagonal + out_counts + in_counts + self_count) - log_part(diagonal)
-    # bigrams with the word count among its neighbours' wherever it goes
-    left, right = table.sum(axis=1) + in_counts, table.sum(axis=0) + out_counts
-    gain -= log_part(left + out_counts.sum() + self_count) - log_part(left)
-    gain -= log_part(right + in_counts.sum() + self_count) - log_part(right)
-    return gain
+def top_words(words: DataFrame, most: int) -> list:
+    """The most frequent words of LEXICON rows and the end token: word, c, bucket and number, the end token last."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, words, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "counts"))):
+                listed, c = words.split(BETWEEN), unpack(counts)
+                order = sorted(np.flatnonzero(c).tolist(), key=lambda i: (-c[i], listed[i]))
+                pick = order[: most + 1] + [i for i in order[most + 1 :] if listed[i] == STOP]
+                yield pa.RecordBatch.from_arrays([pa.array([listed[i] for i in pick], pa.binary()), pa.array(c[pick]), pa.array([bucket] * len(pick), pa.int32()), pa.array(pick, pa.int64())], names=["word", "c", "bucket", "number"])
 
-def bigrams(training: DataFrame) -> DataFrame:
-    """a, b (words, or the end token) and n: how often b follows a, for all bigrams of training(text)."""
+    found = words.select("bucket", "words", "counts").mapInArrow(run, "word binary, c long, bucket int, number long")
+    ends = F.col("word") == F.lit(STOP)
+    return found.filter(~ends).orderBy(F.desc("c"), "word").limit(most).collect() + found.filter(ends).collect()
+
+
+def first_state(words: DataFrame, seeds: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """STATE rows where the words of seeds, (number, class) by bucket, have their class and no others have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                words = [STOP, *words_of(text), STOP]
-                found.update(zip(words, words[1:]))
-            a, b = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(list(found.values()), pa.int64())], names=["a", "b", "n"])
+            for bucket, words, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "counts"))):
+                listed = words.split(BETWEEN)
+                own = np.full(len(listed), -1)
+                for number, k in seeds.get(bucket, ()):
+                    own[number] = k
+                yield row(STATE, bucket=bucket, counts=counts, own=pack(own), spare=pack(np.fromiter(map(zlib.adler32, listed), np.int64, len(listed))))
+
+    return words.select("bucket", "words", "counts").mapInArrow(run, STATE)
+
+
+def told(asked: DataFrame, state: DataFrame) -> DataFrame:
+    """TOLD rows: for each block and bucket that share words, their numbers, counts and classes."""
 
-    return training.select("text").mapInArrow(run, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def answer(key: tuple, rows: pa.Table, states: pa.Table) -> pa.Table:
+        own = unpacked(states, "own")
+        columns = [rows.column(c).to_pylist() for c in ("block", "numbers", "counts")]
+        return table_of([row(TOLD, block=b, bucket=key[0].as_py(), numbers=n, counts=c, own=pack(own[unpack(n)])) for b, n, c in zip(*columns)], TOLD)
 
+    return asked.select("bucket", "block", "numbers", "counts").groupBy("bucket").cogroup(state.select("bucket", "own").groupBy("bucket")).applyInArrow(answer, TOLD)
 
-def contexts(state: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFrame:
-    """state(word, c, self, own) with ctx and n: the words after each word by class, and size + the class of those
-    before it; a word beside itself and words without a class count for nothing. Words seen least times or more are
-    broadcast, the classes of others are joined."""
-    classed = state.filter("own IS NOT NULL").select("word", "own", "c")
-    head, tail = (classed.filter(F.col("c") >= least).drop("c"), classed.filter(F.col("c") < least).drop("c"))
 
-    def beside(word: str, other: str, base: int) -> DataFrame:
-        apart = pairs.filter("a <> b").select(F.col(word).alias("of"), F.col(other).alias("word"), "n")
-        near = apart.join(F.broadcast(head), "word")
-        far = apart.join(F.broadcast(head), "word", "left_anti").join(tail, "word")
-        return near.unionByName(far).select(F.col("of").alias("word"), (F.col("own") + base).alias("ctx"), "n")
+class Block:
+    """A coded block with what its buckets told it: homes, numbers, counts and own by local word."""
 
-    counts = beside("a", "b", 0).unionByName(beside("b", "a", size)).groupBy("word", "ctx").agg(F.sum("n").alias("n"))
-    lists = counts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("ctx", "n"))).alias("x"))  # at most 2 * size entries
-    return state.join(lists, "word", "left").select("word", "c", "self", "own", F.coalesce("x.ctx", F.array().cast("array<int>")).alias("ctx"), F.coalesce("x.n", F.array().cast("array<long>")).alias("n"))
+    def __init__(self, rows: pa.Table, answers: pa.Table):
+        one = rows.slice(0, 1).to_pylist()[0]
+        self.tokens, self.homes = unpack(one["tokens"]), unpack(one["homes"])
+        self.ids, self.held, self.sizes = one["doc_ids"], one["held"], np.array(one["sizes"], np.int64)
+        order = np.argsort(self.homes, kind="stable")
+        answers = answers.sort_by("bucket")
+        for name in ("numbers", "counts", "own"):
+            x = np.empty(len(order), np.int64)
+            x[order] = unpacked(answers, name)
+            setattr(self, name, x)
 
+    def training(self) -> np.ndarray:
+        """The tokens of training texts one after another, between ends."""
+        keep = np.repeat(~np.array(self.held, bool), self.sizes)
+        return np.r_[self.tokens[-1:], self.tokens[keep]]
 
-def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, context and count of each entry of a batch of contexts()."""
-    ctx, n = batch.column("ctx"), batch.column("n")
-    return np.repeat(np.arange(batch.num_rows), np.diff(ctx.offsets.to_numpy())), ctx.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy().astype(float)
+
+def asked_blocks(coded: DataFrame, answers: DataFrame):
+    return coded.select("block", "tokens", "homes", "doc_ids", "held", "sizes").groupBy("block").cogroup(answers.groupBy("block"))
+
+
+def class_pairs(coded: DataFrame, answers: DataFrame, size: int) -> np.ndarray:
+    """How often a word of each class follows one of each, by the classes that answers tell: a matrix of bounded size."""
+
+    def count(key: tuple, rows: pa.Table, tell: pa.Table) -> pa.Table:
+        block = Block(rows, tell)
+        x = block.own[block.training()]
+        both = (x[:-1] >= 0) & (x[1:] >= 0)
+        pair, n = np.unique(x[:-1][both] * size + x[1:][both], return_counts=True)
+        return pa.table({"pair": pair, "n": n.astype(np.int64)})
+
+    out = np.zeros(size * size)
+    for r in asked_blocks(coded, answers).applyInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(size, size)
+
+
+def contexts(coded: DataFrame, answers: DataFrame, state: DataFrame, size: int) -> DataFrame:
+    """KNOWN rows, one a bucket: STATE, how often each word follows itself, and for each word its contexts and how often
+    they occur: the words after it by class, and size + the class of those before it. A word beside itself and words
+    without a class are in no context."""
+    wide = 2 * size + 1  # the last: beside itself
+
+    def send(key: tuple, rows: pa.Table, tell: pa.Table) -> pa.Table:
+        block = Block(rows, tell)
+        x = block.training()
+        a, b = x[:-1], x[1:]
+        own, same = block.own, a == b
+        after, before = ~same & (own[b] >= 0), ~same & (own[a] >= 0)
+        keys = np.concatenate([a[after] * wide + own[b[after]], b[before] * wide + size + own[a[before]], a[same] * wide + 2 * size])
+        keys, n = np.unique(keys, return_counts=True)
+        word, ctx = keys // wide, keys % wide
+        home = block.homes[word]
+        order = np.argsort(home, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []
+        return table_of([row(ENTRIES, bucket=int(home[p[0]]), numbers=pack(block.numbers[word[p]]), ctx=pack(ctx[p]), n=pack(n[p])) for p in parts], ENTRIES)
+
+    def gather(key: tuple, states: pa.Table, sent: pa.Table) -> pa.Table:
+        one = states.slice(0, 1).to_pylist()[0]
+        words = len(unpack(one["counts"]))
+        keys = unpacked(sent, "numbers") * wide + unpacked(sent, "ctx")
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], unpacked(sent, "n")[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else keys
+        keys, n = keys[first], np.add.reduceat(n, first) if len(first) else n
+        word, ctx = keys // wide, keys % wide
+        alone = ctx == 2 * size
+        self_count = np.zeros(words, np.int64)
+        self_count[word[alone]] = n[alone]
+        rest = ~alone
+        sizes = np.bincount(word[rest], minlength=words)
+        return table_of([row(KNOWN, **(one | {"bucket": key[0].as_py()}), self=pack(self_count), sizes=pack(sizes), ctx=pack(ctx[rest]), n=pack(n[rest]))], KNOWN)
+
+    sent = asked_blocks(coded, answers).applyInArrow(send, ENTRIES)
+    return state.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(gather, KNOWN)
+
+
+def known_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of each KNOWN row: itself, its words' classes and self counts, and its entries' words, contexts and counts."""
+    for batch in batches:
+        for one in batch.to_pylist():
+            sizes = unpack(one["sizes"])
+            yield one, unpack(one["own"]), unpack(one["self"]), np.repeat(np.arange(len(sizes)), sizes), unpack(one["ctx"]), unpack(one["n"]).astype(float)
 
 
 def class_bigrams(known: DataFrame, size: int) -> np.ndarray:
@@ -195,12 +292,10 @@ def class_bigrams(known: DataFrame, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size)
-        for batch in batches:
-            row, ctx, n = entries(batch)
-            own = batch.column("own").fill_null(-1).to_numpy().astype(np.int64)
-            after = (ctx < size) & (own[row] >= 0)
-            total += np.bincount(own[row[after]] * size + ctx[after], n[after], size * size)
-            total += np.bincount(own[own >= 0] * (size + 1), batch.column("self").to_numpy()[own >= 0], size * size)
+        for _, own, self_count, word, ctx, n in known_rows(batches):
+            after = (ctx < size) & (own[word] >= 0)
+            total += np.bincount(own[word[after]] * size + ctx[after], n[after], size * size)
+            total += np.bincount(own[own >= 0] * (size + 1), self_count[own >= 0], size * size)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit].astype(np.int64))], names=["pair", "n"])
 
@@ -210,28 +305,48 @@ def class_bigrams(known: DataFrame, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def gains(table: np.ndarray, own: np.ndarray, self_count: np.ndarray, row: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> np.ndarray:
+def gain_steps(table: np.ndarray) -> np.ndarray:
+    """[m, context, class]: what m more bigrams of a class with a context add to the sum of n log n."""
+    cells = np.concatenate([table.T, table])  # contexts after, then before
+    return np.stack([log_part(cells + m) - log_part(cells) for m in range(SMALL + 1)])
+
+
+def gains(table: np.ndarray, own: np.ndarray, self_count: np.ndarray, row: np.ndarray, ctx: np.ndarray, n: np.ndarray, steps: np.ndarray | None = None) -> np.ndarray:
     """For each word and class, what the likelihood gains if the word, taken out of its own class (-1: none), joins it.
 
-    The words' entries (row, ctx, n) are those of contexts(); equal to placement_gain() on the table without the word.
+    The words' entries (row, ctx, n) are those of contexts(), in order of row; equal to placement_gain() on the table
+    without the word. Most entries are small and leave the cells of other classes alone: their gains are looked up.
     """
+    steps = gain_steps(table) if steps is None else steps
+    cells = np.concatenate([table.T, table])
     size, words = len(table), len(own)
     has, k = np.flatnonzero(own >= 0), np.arange(size)
     beside = np.zeros((words, 2 * size))
     beside[row, ctx] = n
     out, into = beside[:, :size], beside[:, size:]
     total = np.zeros((words, size))
-    for cells, mine, other, at in ((table.T, ctx < size, into, 0), (table, ctx >= size, out, size)):
-        r, j, m = row[mine], ctx[mine] - at, n[mine]
-        now = cells[j]  # an entry's cell with each class, without the word
-        e = np.flatnonzero(own[r] >= 0)
-        now[e, own[r[e]]] -= m[e]
-        e = np.flatnonzero(own[r] == j)
-        now[e] -= other[r[e]]
-        now[e, j[e]] -= self_count[r[e]]
-        if len(r):
-            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            total[r[first]] += np.add.reduceat(log_part(now + m[:, None]) - log_part(now), first)
+    mine = own[row]
+    within = mine == ctx % size  # the context's cells hold the word's own bigrams
+    plain = np.flatnonzero((n <= SMALL) & ~within)
+    e = plain[mine[plain] >= 0]
+    if len(plain):
+        found = steps[n[plain].astype(np.int64), ctx[plain]]
+        at = np.flatnonzero(mine[plain] >= 0)
+        cell = cells[ctx[e], mine[e]]
+        found[at, mine[e]] = log_part(cell) - log_part(cell - n[e])
+        first = np.flatnonzero(np.r_[True, row[plain][1:] != row[plain][:-1]])
+        total[row[plain][first]] += np.add.reduceat(found, first)
+    e = np.flatnonzero((n > SMALL) | within)
+    if len(e):
+        r, c, m = row[e], ctx[e], n[e]
+        now = cells[c]
+        at = np.flatnonzero(own[r] >= 0)
+        now[at, own[r[at]]] -= m[at]
+        at = np.flatnonzero(within[e])
+        now[at] -= np.where((c[at] < size)[:, None], into[r[at]], out[r[at]])
+        now[at, c[at] % size] -= self_count[r[at]]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        total[r[first]] += np.add.reduceat(log_part(now + m[:, None]) - log_part(now), first)
     diagonal = np.tile(table[k, k], (words, 1))
     diagonal[has, own[has]] -= out[has, own[has]] + into[has, own[has]] + self_count[has]
     total += log_part(diagonal + out + into + self_count[:, None]) + log_part(diagonal) - log_part(diagonal + out) - log_part(diagonal + into)
@@ -244,32 +359,99 @@ def gains(table: np.ndarray, own: np.ndarray, self_count: np.ndarray, row: np.nd
 
 
 def moved(known: DataFrame, table: np.ndarray, turn: int | None) -> DataFrame:
-    """word, c, self and own of contexts() after a round: words without a class get one (without classed neighbours: by
-    a hash); those whose turn it is (a hash's last bit) change theirs where that gains."""
+    """STATE rows after a round: words without a class get one (without classed neighbours: by a hash); those whose turn
+    it is (a hash's last bit) change theirs where that gains. Words that training lacks keep none."""
     size = len(table)
-    held = known.sparkSession.sparkContext.broadcast(table)
+    held = known.sparkSession.sparkContext.broadcast((table, gain_steps(table)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column("own").fill_null(-1).to_numpy().astype(np.int64)
-            spare = batch.column("spare").to_numpy().astype(np.int64)
-            row, ctx, n = entries(batch)
-            lone = np.bincount(row, minlength=len(own)) == 0
-            go = ((own < 0) | (spare % 2 == turn)) & (own != size - 1) & ~lone if turn is not None else (own < 0) & ~lone
-            to, selves = np.where(own < 0, spare // 2 % (size - 1), own), batch.column("self").to_numpy().astype(float)
-            part = np.bincount(row, minlength=len(own)).cumsum() // PART_ENTRIES  # so that few entries meet all classes at once
-            for p in np.unique(part[go]):
-                here = go & (part == p)
-                pick, place, mine = np.flatnonzero(here), np.cumsum(here) - 1, here[row]
-                gain = gains(held.value, own[pick], selves[pick], place[row[mine]], ctx[mine], n[mine])
+        table, steps = held.value
+        for one, own, self_count, word, ctx, n in known_rows(batches):
+            spare, counts = unpack(one["spare"]), unpack(one["counts"])
+            entries = np.bincount(word, minlength=len(own))
+            go = (own < 0) & (entries > 0)
+            if turn is not None:
+                go |= (spare % 2 == turn) & (own != size - 1) & (entries > 0)
+            to = np.where((own < 0) & (counts > 0), spare // 2 % (size - 1), own)
+            part = entries.cumsum() // PART_ENTRIES  # so that few entries meet all classes at once
+            edges = np.searchsorted(part, np.arange(part[-1] + 2)) if len(part) else [0]
+            begin = np.r_[0, entries.cumsum()]
+            for a, b in zip(edges[:-1], edges[1:]):
+                pick = a + np.flatnonzero(go[a:b])
+                if not len(pick):
+                    continue
+                span = slice(begin[a], begin[b])
+                mine = go[word[span]]
+                place = (np.cumsum(go[a:b]) - 1)[word[span][mine] - a]
+                gain = gains(table, own[pick], self_count[pick].astype(float), place, ctx[span][mine], n[span][mine], steps)
                 gain[:, -1] = -np.inf  # the end token's class
                 best, rows = gain.argmax(axis=1), np.arange(len(pick))
                 stays = (own[pick] >= 0) & (gain[rows, best] <= gain[rows, own[pick]] + 1e-9)
                 to[pick] = np.where(stays, own[pick], best)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("self"), pa.array(to, pa.int32())], names=["word", "c", "self", "own"])
+            yield row(STATE, bucket=one["bucket"], counts=one["counts"], own=pack(to), spare=one["spare"])
+
+    return known.mapInArrow(run, STATE)
+
+
+def log_part(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def exchange(pairs: np.ndarray, fixed: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+    """A class for each word of pairs (counts of bigrams; word `fixed` is the end token and keeps its own class).
+
+    Starts with words dealt in turn; each round moves every word to the class where the sum of n log n over class
+    bigrams, less that over class counts, is largest. Ends early once no word moves.
+    """
+    n = len(pairs)
+    of = np.arange(n) % classes
+    of[fixed] = classes
+    size = classes + 1
+    onehot = np.eye(size)[of]
+    table = onehot.T @ pairs @ onehot
+    for _ in range(rounds):
+        moved = 0
+        for w in range(n):
+            if w == fixed:
+                continue
+            out_counts = np.bincount(of, pairs[w], size)
+            in_counts = np.bincount(of, pairs[:, w], size)
+            own, self_count = of[w], pairs[w, w]
+            out_counts[own] -= self_count
+            in_counts[own] -= self_count
+            table[own] -= out_counts
+            table[:, own] -= in_counts
+            table[own, own] -= self_count
+            gain = placement_gain(table, out_counts, in_counts, self_count)
+            gain[classes:] = -np.inf
+            best = int(np.argmax(gain))
+            if gain[best] <= gain[own] + 1e-9:
+                best = own
+            table[best] += out_counts
+            table[:, best] += in_counts
+            table[best, best] += self_count
+            moved += best != own
+            of[w] = best
+        if not moved:
+            break
+    return of
+
 
-    spared = known.withColumn("spare", F.pmod(F.xxhash64("word"), F.lit(1 << 40)))
-    return spared.mapInArrow(run, "word binary, c long, self long, own int")
+def placement_gain(table: np.ndarray, out_counts: np.ndarray, in_counts: np.ndarray, self_count: float) -> np.ndarray:
+    """What the likelihood gains if a word of these neighbour counts joins each class of table."""
+    size = len(table)
+    rows, cols = table + out_counts, table + in_counts[:, None]
+    gain = (log_part(rows) - log_part(table)).sum(axis=1) + (log_part(cols) - log_part(table)).sum(axis=0)
+    # the diagonal cell takes both
+    k = np.arange(size)
+    diagonal = table[k, k]
+    gain -= log_part(rows[k, k]) + log_part(cols[k, k]) - 2 * log_part(diagonal)
+    gain += log_part(diagonal + out_counts + in_counts + self_count) - log_part(diagonal)
+    # bigrams with the word count among its neighbours' wherever it goes
+    left, right = table.sum(axis=1) + in_counts, table.sum(axis=0) + out_counts
+    gain -= log_part(left + out_counts.sum() + self_count) - log_part(left)
+    gain -= log_part(right + in_counts.sum() + self_count) - log_part(right)
+    return gain
 
 
 def likelihood(table: np.ndarray) -> float:
@@ -277,27 +459,18 @@ def likelihood(table: np.ndarray) -> float:
     return float(log_part(table).sum() - log_part(table.sum(axis=1)).sum() - log_part(table.sum(axis=0)).sum())
 
 
-def classed_vocabulary(vocab: DataFrame, training: DataFrame, classes: int, head: int = HEAD, moves: int = MOVES) -> DataFrame:
-    """word, c and class of every training token, the end token's class being the last."""
-    spark, size = training.sparkSession, classes + 1
-    top = vocab.filter(F.col("word") != F.lit(STOP)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    ids = {bytes(r["word"]): i for i, r in enumerate(top)}
-    ids[STOP] = len(ids)
-    of = exchange(pair_counts(training, ids), ids[STOP], classes)
-    first = spark.createDataFrame([(w, int(of[i])) for w, i in ids.items()], "word binary, own int")
-    # the least count at which no more than `head` words are broadcast
-    at, least, seen = vocab.groupBy(F.least("c", F.lit(1000)).alias("c")).count().orderBy(F.desc("c")).collect(), 1001, 0
-    for r in at:
-        seen += r["count"]
-        if seen > head:
-            break
-        least = r["c"]
-    pairs = saved(bigrams(training))
-    alone = pairs.filter("a = b").select(F.col("a").alias("word"), F.col("n").alias("self"))
-    state = saved(vocab.join(F.broadcast(first), "word", "left").join(alone, "word", "left").select("word", "c", F.coalesce("self", F.lit(0)).cast("long").alias("self"), "own"))
+def classes_of(coded: DataFrame, words: DataFrame, asked: DataFrame, classes: int, moves: int = MOVES) -> DataFrame:
+    """STATE rows in which every training token has a class, the end token the last, after exchange clustering."""
+    size = classes + 1
+    top = top_words(words, FREQUENT)
+    seeds: dict[int, list[tuple[int, int]]] = {}
+    for i, r in enumerate(top):
+        seeds.setdefault(r["bucket"], []).append((r["number"], i))
+    of = exchange(class_pairs(coded, told(asked, first_state(words, seeds)), len(top)), len(top) - 1, classes) if top else []
+    state = saved(first_state(words, {b: [(number, int(of[i])) for number, i in pairs] for b, pairs in seeds.items()}))
     before, last = None, -np.inf
     for turn in range(moves + 1):
-        known = saved(contexts(state, pairs, size, least))
+        known = saved(contexts(coded, told(asked, state), state, size))
         table = class_bigrams(known, size)
         if turn > 1 and likelihood(table) < last:  # words that moved at once undid each other's gain
             state, before = before, state
@@ -307,49 +480,70 @@ def classed_vocabulary(vocab: DataFrame, training: DataFrame, classes: int, head
         discard(before)
         before, state = state, saved(moved(known, table, turn % 2 if turn else None))
         discard(known)
-        release(spark)
     discard(before)
-    discard(pairs)
-    return state.select("word", "c", F.col("own").alias("class"))
+    return state
 
 
-def in_blocks(docs: DataFrame, vocab: DataFrame, total: int, distinct: int, every: int) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score and the classes (two bytes a token) of each text; `every` (all
-    classes, the last one for unknown words) is added to those of words seen once."""
+def coded_and_counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The saved blocks of docs(doc_id, text, held_out), the saved LEXICON rows, and those of them with words and those
+    with answers to blocks."""
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
-    blocks = max(size // BLOCK_BYTES + 1, 1)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    blocks = saved(coded_blocks(docs, size // BUCKET_BYTES + 1))
+    lexicon = saved(lexicon_of(blocks.filter("bucket IS NOT NULL")))
+    return blocks, lexicon, lexicon.filter("block IS NULL"), lexicon.filter("block IS NOT NULL")
+
+
+def classed_vocabulary(docs: DataFrame, classes: int, moves: int = MOVES) -> DataFrame:
+    """word, c and class of every token of the training texts of docs(doc_id, text, held_out)."""
+    blocks, _, words, asked = coded_and_counted(docs)
+    state = classes_of(blocks.filter("bucket IS NULL"), words, asked, classes, moves)
+
+    def run(key: tuple, words: pa.Table, states: pa.Table) -> pa.Table:
+        c = unpacked(words, "counts")
+        return pa.table({"word": pa.array([x for w in words.column("words").to_pylist() for x in w.split(BETWEEN)], pa.binary()), "c": c, "class": unpacked(states, "own")}).filter(pa.array(c > 0))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return words.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, "word binary, c long, class long")
+
+
+def class_shares(state: DataFrame, every: int, total: int, distinct: int) -> np.ndarray:
+    """Each class's probability: its tokens and one for each of its words, and one for the unknown word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted: dict[int, set] = {}
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
-                wanted.setdefault(block, set()).update(words_of(text))
-            keys = [(b, w) for b, ws in wanted.items() for w in ws]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary())], names=["block", "word"])
-
-    asked = dealt.repartition(min(blocks, max(1, size // (64 << 20)) * 16), "block").select("block", "text").mapInArrow(ask, "block int, word binary").distinct()
-    told = asked.join(vocab, "word")
-    stop = vocab.filter(F.col("word") == F.lit(STOP)).first()
-    end_count = stop["c"] if stop else 0
+            for counts, own in zip(batch.column("counts").to_pylist(), batch.column("own").to_pylist()):
+                c, k = unpack(counts), unpack(own)
+                n = np.bincount(k[c > 0], c[c > 0] + 1, every).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["class", "n"])
+
+    share = np.zeros(every)
+    share[-1] = 1
+    for r in state.select("counts", "own").mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        share[r["class"]] += r["n"]
+    return share / (total + distinct + 1)
+
+
+def classed_texts(coded: DataFrame, answers: DataFrame, total: int, distinct: int, every: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score and the classes (two bytes a token) of each text; `every` (all
+    classes, the last one for unknown words) is added to those of words seen once."""
     low = np.log10(total + distinct + 1) if total + distinct else 0.0
 
-    def score(key: tuple, rows: pa.Table, words: pa.Table) -> pa.Table:
-        known = {w: (c, k + every * (c == 1)) for w, c, k in zip(words.column("word").to_pylist(), words.column("c").to_pylist(), words.column("class").to_pylist())}
-        none, out = (0, every - 1), []
-        for text in rows.column("text").to_pylist():
-            found = [known.get(w, none) for w in words_of(text)]
-            found.append((end_count, every - 2))
-            counts = np.fromiter((f[0] for f in found), np.int64, len(found))
-            kinds = np.fromiter((f[1] for f in found), np.uint16, len(found))
-            out.append((len(found), int((counts > 0).sum()), float((np.log10(counts + 1.0) - low).sum()), kinds.tobytes()))
-        columns = list(zip(*out)) if out else [()] * 4
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary()]
-        arrays = [rows.column("doc_id"), rows.column("held_out"), *(pa.array(c, t) for c, t in zip(columns, kinds))]
-        return pa.table(dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base_score", "classes"), arrays)))
+    def tell(key: tuple, rows: pa.Table, tell: pa.Table) -> pa.Table:
+        block = Block(rows, tell)
+        ends = np.cumsum(block.sizes)
+        c = block.counts
+        logs = np.log10(c + 1.0) - low
+        kinds = np.where(c > 0, block.own + every * (c == 1), every - 1)
+        kinds[block.tokens[-1]] = every - 2
+        x = block.tokens
+        codes, known = kinds[x].astype(np.uint16).tobytes(), (c > 0)[x].astype(np.int64)
+        starts = ends - block.sizes
+        texts = [codes[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+        sums = (np.add.reduceat(known, starts), np.add.reduceat(logs[x], starts))
+        return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held, pa.bool_()), "n_tokens": block.sizes, "n_known": sums[0], "base_score": sums[1], "classes": pa.array(texts, pa.binary())})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, classes binary"
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
+    return asked_blocks(coded, answers).applyInArrow(tell, schema)
 
 
 def transition_counts(coded: DataFrame, every: int, unknown: float) -> np.ndarray:
@@ -398,26 +592,22 @@ def scored(docs: DataFrame) -> DataFrame:
     counted and scored each; other columns are ignored; an empty table gives an empty table, and where nothing is
     left to learn from, every token has probability one over the empty vocabulary's single unknown.
     """
-    small_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long"), "text", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
-    training = known.filter("NOT held_out")
-    counts = saved(vocabulary(training))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    blocks, lexicon, words, asked = coded_and_counted(known)
+    total, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     every = classes_for(distinct) + 2
-    vocab = classed_vocabulary(counts, training, every - 2)
-    share = np.zeros(every)
-    share[-1] = 1
-    for r in vocab.groupBy("class").agg(F.sum(F.col("c") + 1).alias("n")).collect():
-        share[r["class"]] += r["n"]
-    share /= total + distinct + 1
-    coded = saved(in_blocks(known, vocab, total, distinct, every))
-    discard(counts)
-    lifts = lift(transition_counts(coded.filter("NOT held_out"), every, share[-1] * total), share).ravel()
+    coded = blocks.filter("bucket IS NULL")
+    state = classes_of(coded, words, asked, every - 2)
+    share = class_shares(state, every, total, distinct)
+    texts = saved(classed_texts(coded, told(asked, state), total, distinct, every))
+    for done in (blocks, lexicon, state):
+        discard(done)
+    lifts = lift(transition_counts(texts.filter("NOT held_out"), every, share[-1] * total), share).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gained = [float(lifts[steps(x, every, every)].sum()) for x in batch.column("classes").to_pylist()]
             yield batch.drop_columns(["classes"]).append_column("gained", pa.array(gained, pa.float64()))
 
-    out = coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, gained double")
+    out = texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, gained double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gained")).alias("score"))

@@ -49,7 +49,8 @@ def test_exchange_parts_words_of_different_use():
     assert of[0] == of[1] != of[2] == of[3]
 
 
-def test_gains_equal_placement_on_the_table_without_the_word():
+@pytest.mark.parametrize("small", [0, 3, 50])
+def test_gains_equal_placement_on_the_table_without_the_word(monkeypatch, small):
     rng = np.random.default_rng(2)
     size, words = 6, 9
     pairs = rng.integers(0, 4, (words, words)).astype(float)
@@ -58,6 +59,7 @@ def test_gains_equal_placement_on_the_table_without_the_word():
     out, into = (pairs - np.diag(np.diag(pairs))) @ onehot, (pairs - np.diag(np.diag(pairs))).T @ onehot
     both = np.hstack([out, into])
     row, ctx = np.nonzero(both)
+    monkeypatch.setattr(brown, "SMALL", small)
     got = brown.gains(onehot.T @ pairs @ onehot, own, np.diag(pairs), row, ctx, both[row, ctx])
     for w in range(words):
         rest = onehot.copy()
@@ -65,17 +67,24 @@ def test_gains_equal_placement_on_the_table_without_the_word():
         assert np.allclose(got[w], brown.placement_gain(rest.T @ pairs @ rest, out[w], into[w], pairs[w, w]))
 
 
-@pytest.mark.parametrize("head", [1 << 17, 3])
-def test_words_that_never_meet_a_frequent_one_are_clustered(spark, monkeypatch, head):
+@pytest.mark.parametrize("block_bytes", [16 << 20, 300])
+def test_words_that_never_meet_a_frequent_one_are_clustered(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(brown, "FREQUENT", 4)
+    monkeypatch.setattr(brown, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(brown, "BUCKET_BYTES", 10 * block_bytes)
     rng = np.random.default_rng(4)
     texts = [" ".join(x for _ in range(8) for x in (f"a{rng.integers(12)}", f"b{rng.integers(12)}")) for _ in range(150)] + ["often than very much"] * 400
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = {bytes(r["word"]).decode(): r["class"] for r in brown.classed_vocabulary(brown.vocabulary(docs), docs, 3, head).collect()}
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    got = {bytes(r["word"]).decode(): r["class"] for r in brown.classed_vocabulary(docs, 3).collect()}
     left, right = ({got[f"{x}{i}"] for i in range(12)} for x in "ab")
     assert len(got) == 29 and got[" "] == 3 and len(left) == len(right) == 1 and left != right
 
 
+def test_packed_numbers_come_back():
+    for x in (np.zeros(0, np.int64), np.array([0, -1, 255, 256, 1 << 40, -(1 << 62)])):
+        assert (brown.unpack(brown.pack(x)) == x).all()
+
+
 def test_classes_grow_with_the_vocabulary():
     assert brown.classes_for(0) == brown.CLASSES < brown.classes_for(10**6) < brown.classes_for(10**8)
 
