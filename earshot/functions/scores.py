@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,10 +41,17 @@ def safe_id(x: Column, prefix: str = "") -> Column:
 
 
 def canonical_class(x: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Trimmed, lower case, hyphens and runs of spaces as one space; then its alias, or underscores for spaces."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "-", " "), " +", " ")
-    named = reduce(lambda e, kv: e.when(plain == kv[0], F.lit(kv[1])), (aliases or {}).items(), F.when(F.lit(False), F.lit("")))
-    return named.otherwise(F.regexp_replace(plain, " ", "_"))
+    """Lower case, hyphens and runs of white space as one space, none at the ends; then its alias, or underscores for
+    spaces."""
+    plain = F.trim(F.regexp_replace(F.replace(F.lower(x), F.lit("-"), F.lit(" ")), r"(?U)\s+", " "))
+    return F.coalesce(literal_map(aliases or {}, plain), F.replace(plain, F.lit(" "), F.lit("_")))
+
+
+def literal_map(pairs: dict[str, str], x: Column) -> Column:
+    """What a literal of the plan names for x, null if nothing."""
+    if not pairs:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(v) for kv in pairs.items() for v in kv]), x)
 
 
 def split_of(fold: Column, dev_fold: Column) -> Column:
@@ -55,10 +60,11 @@ def split_of(fold: Column, dev_fold: Column) -> Column:
 
 
 def seconds_of(x: Column) -> Column:
-    """Seconds in a duration text: its first number, in hours or minutes if it says so; null without a number."""
-    n = F.regexp_extract(x, r"([0-9]+(\.[0-9]+)?)", 1)
-    value = F.when(n != "", n.cast("double"))
-    return value * F.when(F.lower(x).contains("hour"), 3600.0).when(F.lower(x).contains("min"), 60.0).otherwise(1.0)
+    """Seconds in a duration text: its first run of digits and points, in hours or minutes if it says so; null where
+    there is none or it spells no number."""
+    low = F.lower(x)
+    value = F.nullif(F.regexp_extract(low, "([0-9.]+)", 1), F.lit("")).try_cast("double")
+    return value * F.when(low.contains("hour"), 3600.0).when(low.contains("min"), 60.0).otherwise(1.0)
 
 
 def center_frame(start: Column, end: Column, fps: Column, frames: Column) -> tuple[Column, Column]:

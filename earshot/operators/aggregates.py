@@ -40,6 +40,6 @@ def frame_statistics(frames: DataFrame, scale: int) -> DataFrame:
 
 
 def top_classes(totals: DataFrame, k: int = 4) -> DataFrame:
-    """The k largest classes of each clip, ties by name, with their rank."""
-    ranked = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cents")).alias("m"), "class_name"))), 1, k)  # classes per clip are few
+    """The k largest classes of each clip with their rank; of equal ones, that of the smallest `pos` (first seen) first."""
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cents")).alias("m"), "pos", "class_name"))), 1, k)  # classes per clip are few
     return totals.groupBy("clip").agg(ranked.alias("r")).select("clip", F.posexplode("r").alias("i", "e")).select("clip", (F.col("i") + 1).cast("long").alias("rank"), F.col("e.class_name").alias("class_name"), (-F.col("e.m")).alias("cents"))

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the cluster's checkpoint folder; a new local one where none is set (tests)."""
+    """df cut from its lineage in the folder that spark.checkpoint.dir names; without it an error, but for local mode."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-earshot-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-earshot-"))
     return df.checkpoint()
 
 
@@ -32,10 +35,16 @@ def dense_numbers(df: DataFrame, keys: list[str], name: str = "number") -> DataF
 
 
 def suffix_repeats(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """df with name: the key, followed by _R00, _R01, ... on every row of a key that occurs more than once."""
-    by = Window.partitionBy(key)
-    place = F.row_number().over(by.orderBy(*order)) - 1
-    return df.withColumn(name, F.when(F.count("*").over(by) > 1, F.concat(key, F.lit("_R"), F.lpad(place.cast("string"), 2, "0"))).otherwise(F.col(key)))
+    """df with name: the key, followed by _R00, _R01, ... (wider from 100 on) on every row of a key that occurs more than
+    once, in order; rows of a null key get null.
+
+    A row's place is its number in the order of all rows less the first of its key, so that no task holds all rows of
+    a key; firsts are pre-aggregated, and their join may split a hot key.
+    """
+    numbered = dense_numbers(df, [key, *order], "_number")
+    firsts = numbered.groupBy(key).agg(F.min("_number").alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1")
+    suffix = F.when(F.col("_first").isNotNull(), F.format_string("_R%02d", F.col("_number") - F.col("_first"))).otherwise("")
+    return numbered.join(firsts, key, "left").withColumn(name, F.concat(key, suffix)).select(*df.columns, name)
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -95,31 +95,70 @@ def a13_value_counts(spark, sf_dir):
 
 
 RECORDS = """SELECT event_id AS row_key, CASE WHEN event_id % 17 = 0 THEN ' ' ELSE concat('f', event_id % 900) END AS feature_id, CASE WHEN event_id % 19 = 0 THEN NULL ELSE concat('c', user_id) END AS clip_id,
-CASE event_type WHEN 'view' THEN 'visual_semantic_summary' WHEN 'click' THEN 'visual_clip_embedding' WHEN 'error' THEN 'mystery' ELSE event_type END AS feature_type,
+CASE event_type WHEN 'view' THEN 'visual_semantic_summary' WHEN 'click' THEN 'visual_clip_embedding' WHEN 'error' THEN 'mystery' ELSE 'other' END AS feature_type,
 CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '{"tool":"x"}' WHEN 2 THEN '[1]' WHEN 3 THEN '{broken' END AS provenance_json,
-CASE event_id % 4 WHEN 0 THEN concat('{"class_ratio":{"sky":0.5,"road":', event_id % 3, '},"sampled_frame_count":3}') WHEN 1 THEN concat('{"class_ratio":{"sky":0.25},"sampled_frame_count":', event_id % 3, '}') WHEN 2 THEN '7' END AS feature_value_json FROM events"""
-TYPES = ("visual_semantic_summary", "visual_clip_embedding", "purchase")
+CASE event_id % 13 WHEN 0 THEN concat('{"class_ratio":{"sky":0.5,"road":', event_id % 3, '},"sampled_frame_count":3,"frame_sampling_rule":"all"}') WHEN 1 THEN '{"class_ratio":{},"sampled_frame_count":2.5,"frame_sampling_rule":null}'
+WHEN 2 THEN '7' WHEN 3 THEN '{"class_ratio":[1],"sampled_frame_count":0.5,"frame_sampling_rule":" "}' WHEN 4 THEN '{"class_ratio":{"sky":"0.5","sea":"much","tree":true,"road":null},"sampled_frame_count":"2.5"}'
+WHEN 5 THEN '{"class_ratio":{"sky":1},"sampled_frame_count":" 4 ","frame_sampling_rule":"all","grouped_categories":[0.5]}' WHEN 6 THEN '{"class_ratio":{"sky":1},"sampled_frame_count":true,"frame_sampling_rule":2,"grouped_categories":{"nature":1.5,"built":0}}'
+WHEN 7 THEN '{"class_ratio":{"sky":1},"sampled_frame_count":-3,"frame_sampling_rule":"all","grouped_categories":null,"status":"Placeholder"}' WHEN 8 THEN '{"class_ratio":{"sky":1},"sampled_frame_count":null,"frame_sampling_rule":"all"}' WHEN 9 THEN ' ' WHEN 10 THEN '{broken' END AS feature_value_json,
+CASE WHEN event_id % 13 = 9 THEN '{"class_ratio":{"sky":2},"sampled_frame_count":1,"frame_sampling_rule":"all"}' END AS feature_json,
+CASE WHEN event_id % 3 = 0 THEN concat('features/', event_id % 1000, '.npy') END AS feature_path, CASE WHEN event_id % 4 = 0 THEN 'a PLACEHOLDER row' END AS notes FROM events"""
+TYPES = ("visual_semantic_summary", "visual_clip_embedding", "other")
 
 
-@query(f"""WITH r AS ({RECORDS}), o AS (SELECT *, CASE WHEN json_valid(feature_value_json) THEN json_type(feature_value_json) = 'OBJECT' ELSE false END AS whole, feature_type = 'visual_semantic_summary' AS summary FROM r),
+def _summaries(rule: str, parts: dict[int, list[str]]) -> str:
+    """SQL for findings that the summaries of some remainders of the row key must give."""
+    values = ", ".join(f"({k}, '{p}')" for k, named in parts.items() for p in named)
+    return f" UNION ALL SELECT row_key, '{rule}', part FROM r JOIN (VALUES {values}) v(k, part) ON row_key % 13 = k WHERE summary"
+
+
+_RECORD_SQL = f"""WITH r AS (SELECT *, feature_type = 'visual_semantic_summary' AS summary FROM ({RECORDS})),
 firsts AS (SELECT feature_id, min(row_key) AS first FROM r WHERE trim(feature_id) <> '' GROUP BY feature_id)
-SELECT row_key, 'F01' AS rule FROM r WHERE trim(coalesce(feature_id, '')) = ''
-UNION ALL SELECT row_key, 'F02' FROM r JOIN firsts USING (feature_id) WHERE row_key > first
-UNION ALL SELECT row_key, 'F03' FROM r WHERE trim(coalesce(clip_id, '')) = ''
-UNION ALL SELECT row_key, 'F04' FROM r WHERE trim(coalesce(clip_id, '')) <> '' AND clip_id NOT IN (SELECT concat('c', user_id) FROM events WHERE user_id % 7 <> 0)
-UNION ALL SELECT row_key, 'F05' FROM r WHERE feature_type NOT IN {TYPES}
-UNION ALL SELECT row_key, 'F06' FROM r WHERE trim(coalesce(provenance_json, '')) = ''
-UNION ALL SELECT row_key, 'F07' FROM r WHERE trim(provenance_json) <> '' AND NOT json_valid(provenance_json)
-UNION ALL SELECT row_key, 'F08' FROM r WHERE CASE WHEN json_valid(provenance_json) THEN json_type(provenance_json) <> 'OBJECT' ELSE false END
-UNION ALL SELECT row_key, 'F09' FROM o WHERE trim(coalesce(feature_value_json, '')) <> '' AND NOT whole
-UNION ALL SELECT row_key, 'F11' FROM o WHERE summary AND NOT whole
-UNION ALL SELECT row_key, 'F13' FROM o WHERE summary AND whole AND list_bool_or(list_transform(json_extract_string(feature_value_json, '$.class_ratio.*'), lambda x: NOT coalesce(try_cast(x AS DOUBLE) BETWEEN 0 AND 1, false)))
-UNION ALL SELECT row_key, 'F15' FROM o WHERE summary AND whole AND NOT coalesce(try_cast(json_extract_string(feature_value_json, '$.sampled_frame_count') AS DOUBLE) > 0, false)""")
+SELECT row_key, 'F01' AS rule, 'feature_id' AS part FROM r WHERE trim(coalesce(feature_id, '')) = ''
+UNION ALL SELECT row_key, 'F02', feature_id FROM r JOIN firsts USING (feature_id) WHERE row_key > first
+UNION ALL SELECT row_key, 'F03', 'clip_id' FROM r WHERE trim(coalesce(clip_id, '')) = ''
+UNION ALL SELECT row_key, 'F04', clip_id FROM r WHERE trim(coalesce(clip_id, '')) <> '' AND clip_id NOT IN (SELECT concat('c', user_id) FROM events WHERE user_id % 7 <> 0)
+UNION ALL SELECT row_key, 'F05', feature_type FROM r WHERE feature_type NOT IN {TYPES}
+UNION ALL SELECT row_key, 'F06', 'provenance_json' FROM r WHERE trim(coalesce(provenance_json, '')) = ''
+UNION ALL SELECT row_key, 'F07', 'provenance_json' FROM r WHERE trim(provenance_json) <> '' AND NOT json_valid(provenance_json)
+UNION ALL SELECT row_key, 'F08', 'provenance_json' FROM r WHERE CASE WHEN json_valid(provenance_json) THEN json_type(provenance_json) <> 'OBJECT' ELSE false END
+UNION ALL SELECT row_key, 'F09', 'feature_value_json' FROM r WHERE row_key % 13 IN (2, 10)
+UNION ALL SELECT row_key, 'F10', feature_path FROM r WHERE feature_path IS NOT NULL AND row_key % 4 <> 0 AND row_key % 13 <> 7 AND feature_path NOT IN (SELECT concat('features/', p_partkey, '.npy') FROM part)
+UNION ALL SELECT row_key, 'F11', 'feature_value_json' FROM r WHERE summary AND row_key % 13 IN (2, 10, 11, 12)
+UNION ALL SELECT row_key, 'F13', 'road' FROM r WHERE summary AND row_key % 13 = 0 AND row_key % 3 = 2""" + _summaries("F12", {1: ["class_ratio"], 3: ["class_ratio"]}) + _summaries("F13", {4: ["sea", "road"], 9: ["sky"]}) + _summaries("F14", {6: ["nature"]}) + _summaries("F14_object", {5: ["grouped_categories"]}) + _summaries("F15_integer", {4: ["sampled_frame_count"], 8: ["sampled_frame_count"]}) + _summaries("F15_positive", {3: ["sampled_frame_count"], 7: ["sampled_frame_count"]}) + _summaries("F16", {3: ["frame_sampling_rule"], 4: ["frame_sampling_rule"]})
+
+
+def feature_rows(spark, sf_dir):
+    return spark.sql(RECORDS.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+
+
+def feature_clips(spark, sf_dir):
+    return table(spark, sf_dir, "events").filter("user_id % 7 <> 0").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("clip_id"))
+
+
+@query(_RECORD_SQL)
 def b11_record_findings(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    rows = spark.sql(RECORDS.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=events)
-    clips = events.filter("user_id % 7 <> 0").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("clip_id"))
-    return records.record_findings(rows, clips, TYPES)
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("features/"), F.col("p_partkey").cast("string"), F.lit(".npy")).alias("path"))
+    return records.record_findings(feature_rows(spark, sf_dir), feature_clips(spark, sf_dir), TYPES, files)
+
+
+_WIDE_SQL = f"""r AS ({RECORDS}), c AS (SELECT DISTINCT concat('c', user_id) AS clip_id FROM events WHERE user_id % 7 <> 0),
+issues AS (SELECT 'F18' AS rule, string_agg(feature_id, ',' ORDER BY feature_id) AS detail FROM (SELECT feature_id FROM r WHERE feature_id IS NOT NULL GROUP BY feature_id HAVING count(*) > 1 ORDER BY feature_id LIMIT 10) HAVING count(*) > 0
+UNION ALL SELECT 'F19', string_agg(coalesce(clip_id, 'nan'), ',' ORDER BY row_key) FROM (SELECT row_key, clip_id FROM r WHERE clip_id IS NULL OR clip_id NOT IN (SELECT clip_id FROM c) ORDER BY row_key LIMIT 10) HAVING count(*) > 0
+UNION ALL SELECT 'F20', string_agg(feature_type, ',' ORDER BY feature_type) FROM (SELECT DISTINCT feature_type FROM r WHERE feature_type NOT IN {records.WIDE_TYPES}) HAVING count(*) > 0
+UNION ALL SELECT 'F21', concat('row ', row_key + 1, ': ', fault) FROM (SELECT row_key, CASE WHEN provenance_json IS NULL THEN 'empty' WHEN NOT json_valid(provenance_json) THEN 'no JSON' WHEN CASE WHEN json_valid(provenance_json) THEN json_type(provenance_json) <> 'OBJECT' ELSE false END THEN 'no object' END AS fault FROM r) WHERE fault IS NOT NULL)"""
+
+
+@query(f"WITH {_WIDE_SQL} SELECT * FROM issues")
+def b12_wide_report(spark, sf_dir):
+    """Rules F17 to F21 (and A11, A12, W06 in them)."""
+    return records.wide_report(feature_rows(spark, sf_dir), feature_clips(spark, sf_dir), records.WIDE_TYPES)
+
+
+@query(f"WITH {_WIDE_SQL} SELECT (SELECT count(*) FROM events WHERE user_id % 7 <> 0) AS clips, (SELECT count(*) FROM events) AS records, (SELECT count(*) FROM issues) AS issues, CASE WHEN EXISTS (FROM issues) THEN 'FAIL' ELSE 'PASS' END AS status")
+def f22_report_summary(spark, sf_dir):
+    rows, clips = feature_rows(spark, sf_dir), feature_clips(spark, sf_dir)
+    return records.report_summary(rows, clips, records.wide_report(rows, clips, records.WIDE_TYPES))
 
 
 @query(f"WITH {PLACES_SQL} SELECT response_key, to_json({{'place': {{'location': location, 'session': session}}, 'grp': grp}})::VARCHAR AS study FROM places")

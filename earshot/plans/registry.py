@@ -66,22 +66,22 @@ def p21_splits(spark, sf_dir):
     return rows.select("response_key", "line", "part_key", "fold", scores.split_of(F.col("fold"), F.col("part_key") % 5 + 1).alias("split"), (F.col("fold") == -1).alias("is_common"))
 
 
-_DURATION = ["concat(p_size, ' min each')", "concat(p_size, '.5 hours')", "concat('about ', p_size, ' s')", "'unknown'"]
+_DURATION = "CASE p_partkey % 7 WHEN 0 THEN concat(p_size, ' Min each') WHEN 1 THEN concat(p_size, '.5 hours') WHEN 2 THEN concat('about ', p_size, ' s') WHEN 3 THEN 'unknown' WHEN 4 THEN '.5 min' WHEN 5 THEN '1.2.3 s' ELSE '' END"
 
 
-@query("""WITH d AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || ' min each' WHEN 1 THEN p_size || '.5 hours' WHEN 2 THEN 'about ' || p_size || ' s' ELSE 'unknown' END AS body FROM part)
-SELECT p_partkey, nullif(regexp_extract(body, '([0-9]+(\\.[0-9]+)?)', 1), '')::DOUBLE * CASE WHEN lower(body) LIKE '%hour%' THEN 3600 WHEN lower(body) LIKE '%min%' THEN 60 ELSE 1 END AS seconds FROM d""")
+@query(f"""WITH d AS (SELECT p_partkey, lower({_DURATION}) AS body FROM part)
+SELECT p_partkey, try_cast(nullif(regexp_extract(body, '([0-9.]+)', 1), '') AS DOUBLE) * CASE WHEN body LIKE '%hour%' THEN 3600 WHEN body LIKE '%min%' THEN 60 ELSE 1 END AS seconds FROM d""")
 def p23_durations(spark, sf_dir):
-    a, b, c, d = _DURATION
-    text = F.expr(f"CASE p_partkey % 4 WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN {c} ELSE {d} END")
-    return table(spark, sf_dir, "part").select("p_partkey", scores.seconds_of(text).alias("seconds"))
+    return table(spark, sf_dir, "part").select("p_partkey", scores.seconds_of(F.expr(_DURATION)).alias("seconds"))
 
 
-@query("""WITH c AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(trim('  ' || p_type || '-' || p_name || ' ')), '-', ' ', 'g'), ' +', ' ', 'g') AS plain FROM part)
-SELECT p_partkey, CASE plain WHEN 'economy small ring' THEN 'ring' ELSE regexp_replace(plain, ' ', '_', 'g') END AS class_name FROM c""")
+_NAMED = "concat(CASE p_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN chr(9) ELSE '  ' END, p_type, CASE p_size % 3 WHEN 0 THEN '-' WHEN 1 THEN '  ' ELSE chr(9) END, p_name, CASE p_partkey % 2 WHEN 0 THEN ' -' ELSE '' END)"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, trim(regexp_replace(replace(lower({_NAMED}), '-', ' '), '\\s+', ' ', 'g')) AS plain FROM part)
+SELECT p_partkey, CASE plain WHEN 'economy small ring' THEN 'ring' ELSE replace(plain, ' ', '_') END AS class_name FROM c""")
 def p36_class_names(spark, sf_dir):
-    raw = F.concat(F.lit("  "), "p_type", F.lit("-"), "p_name", F.lit(" "))
-    return table(spark, sf_dir, "part").select("p_partkey", scores.canonical_class(raw, {"economy small ring": "ring"}).alias("class_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", scores.canonical_class(F.expr(_NAMED), {"economy small ring": "ring"}).alias("class_name"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity - 10 AS a, l_quantity + l_linenumber AS b, (l_suppkey % 4 * 10)::DOUBLE AS fps, l_partkey % 300 AS frames FROM lineitem),
@@ -120,7 +120,7 @@ def w01_clip_numbers(spark, sf_dir):
     return numbered.select(*keys, F.format_string("STIM_%06d", "number").alias("clip_id"))
 
 
-@query(f"WITH {PLACES_SQL}, i AS (SELECT response_key, coalesce(location, 'none') || '_' || session || '_' || grp AS id FROM places) SELECT response_key, id, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN id || '_R' || CASE WHEN row_number() OVER w < 11 THEN '0' ELSE '' END || (row_number() OVER w - 1) ELSE id END AS unique_id FROM i WINDOW w AS (PARTITION BY id ORDER BY response_key)")
+@query(f"WITH {PLACES_SQL}, i AS (SELECT response_key, coalesce(location, 'none') || '_' || session || '_' || grp AS id FROM places) SELECT response_key, id, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN id || printf('_R%02d', row_number() OVER w - 1) ELSE id END AS unique_id FROM i WINDOW w AS (PARTITION BY id ORDER BY response_key)")
 def w03_repeat_suffixes(spark, sf_dir):
     rows = surveys.place_responses(spark, sf_dir).select("response_key", F.concat_ws("_", F.coalesce("location", F.lit("none")), "session", "grp").alias("id"))
     return numbering.suffix_repeats(rows, "id", ["response_key"], "unique_id")
@@ -137,10 +137,12 @@ def a08_frame_statistics(spark, sf_dir):
     return aggregates.frame_statistics(surveys.frames(spark, sf_dir), 40000)
 
 
-@query(f"WITH {FRAMES_SQL}, t AS (SELECT clip, class_name, sum(cents)::BIGINT AS cents FROM frames GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY cents DESC, class_name) AS rank FROM t) SELECT clip, rank, class_name, cents FROM r WHERE rank <= 3")
+@query("""WITH t AS (SELECT user_id AS clip, event_type AS class_name, sum(event_id % 3)::BIGINT AS cents, min(event_id) AS pos FROM events GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY cents DESC, pos) AS rank FROM t) SELECT clip, rank, class_name, cents FROM r WHERE rank <= 3""")
 def o03_top_classes(spark, sf_dir):
-    totals = surveys.frames(spark, sf_dir).groupBy("clip", "class_name").agg(F.sum("cents").alias("cents"))
-    return aggregates.top_classes(totals, 3)
+    """Small whole shares, so that many classes tie and the first seen decides."""
+    totals = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("clip"), F.col("event_type").alias("class_name"))
+    return aggregates.top_classes(totals.agg(F.sum(F.col("event_id") % 3).alias("cents"), F.min("event_id").alias("pos")), 3)
 
 
 @query("WITH n AS (SELECT vec_id, 'new' AS origin FROM embeddings WHERE vec_id % 3 = 0) SELECT vec_id, 'old' AS origin FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM n) UNION ALL SELECT * FROM n")
@@ -150,13 +152,16 @@ def u03_upsert(spark, sf_dir):
     return numbering.upsert(e.select("vec_id", F.lit("old").alias("origin")), new, ["vec_id"])
 
 
-@query("""SELECT l_orderkey AS row_key, field, rule, count(*) AS n FROM (
-SELECT l_orderkey, 'l_quantity' AS field, 'maximum' AS rule FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_orderkey, 'l_discount', 'minimum' FROM lineitem WHERE l_discount < 0.02
-UNION ALL SELECT l_orderkey, 'l_returnflag', 'enum' FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
-UNION ALL SELECT l_orderkey, 'l_linestatus', 'pattern' FROM lineitem WHERE NOT regexp_full_match(l_linestatus, '[A-N]')) GROUP BY 1, 2, 3""")
+@query("""WITH l AS (SELECT *, CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'many' ELSE l_quantity::VARCHAR END AS cell FROM lineitem)
+SELECT l_orderkey AS row_key, field, rule, count(*) AS n FROM (
+SELECT l_orderkey, 'l_quantity' AS field, 'maximum' AS rule FROM l WHERE l_quantity > 45 UNION ALL SELECT l_orderkey, 'l_discount', 'minimum' FROM l WHERE l_discount < 0.02
+UNION ALL SELECT l_orderkey, 'l_returnflag', 'enum' FROM l WHERE l_returnflag NOT IN ('A', 'N')
+UNION ALL SELECT l_orderkey, 'cell', 'required' FROM l WHERE coalesce(cell, '') = '' UNION ALL SELECT l_orderkey, 'cell', 'type' FROM l WHERE cell = 'many'
+UNION ALL SELECT l_orderkey, 'l_linestatus', 'pattern' FROM l WHERE NOT regexp_full_match(l_linestatus, '[A-N]')) GROUP BY 1, 2, 3""")
 def v01_constraints(spark, sf_dir):
-    fields = [checks.Field("l_quantity", required=True, maximum=45), checks.Field("l_discount", minimum=0.02), checks.Field("l_returnflag", enum=("A", "N")), checks.Field("l_linestatus", pattern="[A-N]")]
-    return checks.row_findings(table(spark, sf_dir, "lineitem"), "l_orderkey", fields).groupBy("row_key", "field", "rule").agg(F.count("*").alias("n"))
+    fields = [checks.Field("l_quantity", required=True, maximum=45), checks.Field("l_discount", minimum=0.02), checks.Field("l_returnflag", enum=("A", "N")), checks.Field("l_linestatus", pattern="[A-N]"), checks.Field("cell", "number", required=True)]
+    rows = table(spark, sf_dir, "lineitem").withColumn("cell", F.expr("CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'many' ELSE cast(l_quantity AS string) END"))
+    return checks.row_findings(rows, "l_orderkey", fields).groupBy("row_key", "field", "rule").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from earshot.plans import records, registry  # noqa: F401
+import __spark_entry__  # noqa: F401  (registers all queries)
 from earshot.plans.base import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
