@@ -32,7 +32,7 @@ ALL = CLASSES + 2
 FREQUENT, ROUNDS = 800, 8
 #: Rounds in which half of all words move, after the one that places those that the first exchange left out.
 MOVES = 4
-#: Counts up to this have their gain in each class looked up.
+#: Counts up to this have what they add to a class looked up.
 SMALL = 16
 #: Entries of words and classes that a task holds against all classes.
 PART_ENTRIES = 20_000
@@ -305,56 +305,98 @@ def class_bigrams(known: DataFrame, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def gain_steps(table: np.ndarray) -> np.ndarray:
-    """[m, context, class]: what m more bigrams of a class with a context add to the sum of n log n."""
-    cells = np.concatenate([table.T, table])  # contexts after, then before
-    return np.stack([log_part(cells + m) - log_part(cells) for m in range(SMALL + 1)])
+class Steps:
+    """What more bigrams add to sums of n log n, of a class with a context (cells[m, context, class]) and of a class on
+    one side (sides[side][m, class]), for numbers m up to SMALL; all others are computed."""
 
+    def __init__(self, table: np.ndarray):
+        self.table, self.contexts = table, np.concatenate([table.T, table])  # contexts after, then before
+        self.sums = table.sum(axis=1), table.sum(axis=0)
+        self.cells = np.stack([log_part(self.contexts + m) - log_part(self.contexts) for m in range(SMALL + 1)])
+        self.sides = [np.stack([log_part(x + m) - log_part(x) for m in range(SMALL + 1)]) for x in self.sums]
 
-def gains(table: np.ndarray, own: np.ndarray, self_count: np.ndarray, row: np.ndarray, ctx: np.ndarray, n: np.ndarray, steps: np.ndarray | None = None) -> np.ndarray:
+    def side(self, which: int, more: np.ndarray) -> np.ndarray:
+        out = self.sides[which][np.minimum(more, SMALL).astype(np.int64)]
+        large = np.flatnonzero(more > SMALL)
+        x = self.sums[which]
+        out[large] = log_part(x + more[large][:, None]) - log_part(x)
+        return out
+
+
+def gains(steps: Steps, own: np.ndarray, self_count: np.ndarray, row: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each word and class, what the likelihood gains if the word, taken out of its own class (-1: none), joins it.
 
-    The words' entries (row, ctx, n) are those of contexts(), in order of row; equal to placement_gain() on the table
-    without the word. Most entries are small and leave the cells of other classes alone: their gains are looked up.
+    The words' entries (row, ctx, n) are those of contexts(), in order of row and ctx; equal to placement_gain() on the
+    table without the word. Most counts are small and most cells do not hold the word: their steps are looked up, and
+    what differs in the others is put right.
     """
-    steps = gain_steps(table) if steps is None else steps
-    cells = np.concatenate([table.T, table])
-    size, words = len(table), len(own)
-    has, k = np.flatnonzero(own >= 0), np.arange(size)
-    beside = np.zeros((words, 2 * size))
-    beside[row, ctx] = n
-    out, into = beside[:, :size], beside[:, size:]
-    total = np.zeros((words, size))
-    mine = own[row]
-    within = mine == ctx % size  # the context's cells hold the word's own bigrams
+    table, size, words = steps.table, len(steps.table), len(own)
+    total, mine, after = np.zeros((words, size)), own[row], ctx < size
+    k = ctx % size
+    has = np.flatnonzero(own >= 0)
+
+    def add(rows: np.ndarray, values: np.ndarray) -> None:
+        if len(rows):
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            total[rows[first]] += np.add.reduceat(values, first)
+
+    within = mine == k  # the context's cells hold the word's own bigrams
     plain = np.flatnonzero((n <= SMALL) & ~within)
-    e = plain[mine[plain] >= 0]
-    if len(plain):
-        found = steps[n[plain].astype(np.int64), ctx[plain]]
-        at = np.flatnonzero(mine[plain] >= 0)
-        cell = cells[ctx[e], mine[e]]
-        found[at, mine[e]] = log_part(cell) - log_part(cell - n[e])
-        first = np.flatnonzero(np.r_[True, row[plain][1:] != row[plain][:-1]])
-        total[row[plain][first]] += np.add.reduceat(found, first)
+    found = steps.cells[n[plain].astype(np.int64), ctx[plain]]
+    at = np.flatnonzero(mine[plain] >= 0)
+    e = plain[at]
+    cell = steps.contexts[ctx[e], mine[e]]
+    found[at, mine[e]] = log_part(cell) - log_part(cell - n[e])
+    add(row[plain], found)
+
+    # words whose bigrams count in whole rows of cells: with the word itself, or within their own class
+    special = np.zeros(words, bool)
+    special[row[within]] = True
+    special |= self_count > 0
+    dense, place = np.flatnonzero(special), np.cumsum(special) - 1
+    beside = np.zeros((len(dense), 2 * size))
+    mark = special[row]
+    beside[place[row[mark]], ctx[mark]] = n[mark]
+    out, into = beside[:, :size], beside[:, size:]
+
     e = np.flatnonzero((n > SMALL) | within)
     if len(e):
         r, c, m = row[e], ctx[e], n[e]
-        now = cells[c]
+        now = steps.contexts[c]
         at = np.flatnonzero(own[r] >= 0)
         now[at, own[r[at]]] -= m[at]
         at = np.flatnonzero(within[e])
-        now[at] -= np.where((c[at] < size)[:, None], into[r[at]], out[r[at]])
+        d = place[r[at]]
+        now[at] -= np.where((c[at] < size)[:, None], into[d], out[d])
         now[at, c[at] % size] -= self_count[r[at]]
-        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        total[r[first]] += np.add.reduceat(log_part(now + m[:, None]) - log_part(now), first)
-    diagonal = np.tile(table[k, k], (words, 1))
-    diagonal[has, own[has]] -= out[has, own[has]] + into[has, own[has]] + self_count[has]
-    total += log_part(diagonal + out + into + self_count[:, None]) + log_part(diagonal) - log_part(diagonal + out) - log_part(diagonal + into)
-    for sums, mine, other in ((table.sum(axis=1), out, into), (table.sum(axis=0), into, out)):
-        more = mine.sum(axis=1) + self_count
-        left = sums + np.where(own < 0, 1, 0)[:, None] * other  # the table has no bigrams of words without a class
-        left[has, own[has]] -= more[has]
-        total -= log_part(left + more[:, None]) - log_part(left)
+        add(r, log_part(now + m[:, None]) - log_part(now))
+
+    # the diagonal: a class's cell with itself takes bigrams of both sides at once
+    corner = table[np.arange(size), np.arange(size)]
+    d = np.tile(corner, (len(dense), 1))
+    at = np.flatnonzero(own[dense] >= 0)
+    o = own[dense[at]]
+    d[at, o] -= out[at, o] + into[at, o] + self_count[dense[at]]
+    total[dense] += log_part(d + out + into + self_count[dense][:, None]) + log_part(d) - log_part(d + out) - log_part(d + into)
+    # for all other words it differs where both sides have the class
+    keys, others = (row * size + k)[after & ~mark], (row * size + k)[~after & ~mark]
+    n_out, n_in = n[after & ~mark], n[~after & ~mark]
+    if len(keys) and len(others):
+        near = np.minimum(np.searchsorted(others, keys), len(others) - 1)
+        both = np.flatnonzero(others[near] == keys)
+        r, c, a, b = keys[both] // size, keys[both] % size, n_out[both], n_in[near[both]]
+        x = corner[c] - np.where(own[r] == c, a + b, 0)
+        total[r, c] += log_part(x + a + b) + log_part(x) - log_part(x + a) - log_part(x + b)
+
+    for which, side in enumerate((after, ~after)):
+        more = np.bincount(row[side], n[side], words) + self_count
+        total -= steps.side(which, more)
+        x = steps.sums[which]
+        total[has, own[has]] += log_part(x[own[has]] + more[has]) - log_part(x[own[has]])
+        total[has, own[has]] -= log_part(x[own[has]]) - log_part(x[own[has]] - more[has])
+        e = np.flatnonzero(~side & (mine < 0))  # the table has no bigrams of words without a class
+        r, c = row[e], k[e]
+        total[r, c] += log_part(x[c] + more[r]) - log_part(x[c]) - log_part(x[c] + n[e] + more[r]) + log_part(x[c] + n[e])
     return total
 
 
@@ -362,10 +404,10 @@ def moved(known: DataFrame, table: np.ndarray, turn: int | None) -> DataFrame:
     """STATE rows after a round: words without a class get one (without classed neighbours: by a hash); those whose turn
     it is (a hash's last bit) change theirs where that gains. Words that training lacks keep none."""
     size = len(table)
-    held = known.sparkSession.sparkContext.broadcast((table, gain_steps(table)))
+    held = known.sparkSession.sparkContext.broadcast(Steps(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, steps = held.value
+        steps = held.value
         for one, own, self_count, word, ctx, n in known_rows(batches):
             spare, counts = unpack(one["spare"]), unpack(one["counts"])
             entries = np.bincount(word, minlength=len(own))
@@ -383,7 +425,7 @@ def moved(known: DataFrame, table: np.ndarray, turn: int | None) -> DataFrame:
                 span = slice(begin[a], begin[b])
                 mine = go[word[span]]
                 place = (np.cumsum(go[a:b]) - 1)[word[span][mine] - a]
-                gain = gains(table, own[pick], self_count[pick].astype(float), place, ctx[span][mine], n[span][mine], steps)
+                gain = gains(steps, own[pick], self_count[pick].astype(float), place, ctx[span][mine], n[span][mine])
                 gain[:, -1] = -np.inf  # the end token's class
                 best, rows = gain.argmax(axis=1), np.arange(len(pick))
                 stays = (own[pick] >= 0) & (gain[rows, best] <= gain[rows, own[pick]] + 1e-9)

@@ -60,7 +60,7 @@ def test_gains_equal_placement_on_the_table_without_the_word(monkeypatch, small)
     both = np.hstack([out, into])
     row, ctx = np.nonzero(both)
     monkeypatch.setattr(brown, "SMALL", small)
-    got = brown.gains(onehot.T @ pairs @ onehot, own, np.diag(pairs), row, ctx, both[row, ctx])
+    got = brown.gains(brown.Steps(onehot.T @ pairs @ onehot), own, np.diag(pairs), row, ctx, both[row, ctx])
     for w in range(words):
         rest = onehot.copy()
         rest[w] = 0
