@@ -8,6 +8,8 @@ begin only where a run of its characters begins, which keeps each search linear
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,9 @@ CONTEXT_SCORE = 0.2
 ADDED_THRESHOLD = 0.5
 #: Code points on each side in which context words count.
 CONTEXT = 40
+#: Matches handled together, and pieces on each side that hold what is near them (a piece has a character at least, and
+#: an account number reaches over up to 70).
+PORTION, BESIDE = 128, 120
 # Context words by kind.
 CONTEXT_WORDS = {
     "email": "mail|e-mail|email|contact|write|kontakt|correo|courriel",
@@ -93,73 +98,156 @@ def confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def upto(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def portion(i: Column, n: Column) -> Column:
+    """The places of the i-th PORTION of n."""
+    return F.sequence(i * PORTION, F.least((i + 1) * PORTION, n) - 1)
+
+
+def portions(n: Column) -> Column:
+    return F.ceil(n / PORTION).cast("int")
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of some whole numbers, what combine (a sum or a maximum) makes of 0 and those before it, and one more
+    for all of them. Arrays grow by copies, so portions are run through one by one from their own starts: time grows
+    with the number of values, not with its square."""
+
+    def grow(a: Column, x: Column) -> Column:
+        return F.concat(a, F.array(combine(F.element_at(a, -1), x)))
+
+    def whole(v: Column) -> Column:
+        n = F.size(v)
+        zero = F.array(F.lit(0))
+        totals = F.transform(upto(portions(n)), lambda i: F.aggregate(portion(i, n), F.lit(0), lambda a, k: combine(a, F.get(v, k))))
+        return let(F.aggregate(totals, zero, grow), lambda heads: F.concat(
+            F.flatten(F.transform(upto(portions(n)), lambda i: let(F.aggregate(portion(i, n), F.array(F.get(heads, i)), lambda a, k: grow(a, F.get(v, k))), lambda a: F.slice(a, F.lit(1), F.size(a) - 1)))),
+            F.array(F.element_at(heads, -1))))
+
+    return let(values, whole)
+
+
 def proposals(kind: str, text: Column) -> Column:
-    """array<struct<start, end, found>> of the pattern's matches; offsets in code points, end exclusive."""
+    """array<struct<start, end, found, near>> of the pattern's matches: offsets in code points, end exclusive, and the
+    text within CONTEXT of the span on both sides.
+
+    Matches and what lies between them are pieces of the text, whose lengths add up to offsets. What is near comes from
+    the pieces around, so that no match needs a walk from the text's start.
+    """
     ahead = kind == "iban"  # its match is four characters, its first group the span
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1 if ahead else 0))
-    gaps = F.split(text, PATTERNS[kind], -1)
+    consumed = (lambda x: F.left(x, F.lit(4))) if ahead else (lambda x: x)
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        return F.struct((start + 4 if ahead else end).alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("spans"))
+    def located(s: Column) -> Column:
+        n = F.size(s["found"])
+        lengths = F.transform(upto(n), lambda k: F.length(F.get(s["gaps"], k)) + F.length(consumed(F.get(s["found"], k))))
+        return let(running(lengths, lambda a, b: a + b), lambda begins: F.flatten(F.transform(upto(portions(n)), lambda i: part(s, begins, i, n))))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
-    none = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
-    return F.when(F.regexp_instr(text, F.lit(PATTERNS[kind])) > 0, walked).otherwise(none)
+    def part(s: Column, begins: Column, i: Column, n: Column) -> Column:
+        first, last = F.greatest(i * PORTION - BESIDE, F.lit(0)), F.least((i + 1) * PORTION + BESIDE, n)
+        pieces = F.transform(F.sequence(first, last - 1), lambda k: F.concat(F.get(s["gaps"], k), consumed(F.get(s["found"], k))))
+        here = F.concat(F.array_join(pieces, ""), F.get(s["gaps"], last))
+        return let(F.struct(here.alias("text"), F.get(begins, first).alias("base")), lambda h: F.transform(portion(i, n), lambda k: span(s, begins, h, k)))
 
+    def span(s: Column, begins: Column, h: Column, k: Column) -> Column:
+        begin = F.get(begins, k) + F.length(F.get(s["gaps"], k))
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one more column `pii`: array<struct<start, rank, kind, end, score>> in order of start, then kind.
+        def with_near(x: Column) -> Column:
+            start, end = x["start"] - h["base"], x["end"] - h["base"]
+            near = F.concat(F.substr(h["text"], F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))), F.lit(" "), F.substr(h["text"], end + 1, F.lit(CONTEXT)))
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), F.lower(near).alias("near"))
+
+        own = F.get(s["found"], k)
+        return let(F.struct(begin.alias("start"), (begin + F.length(own)).alias("end"), own.alias("found")), with_near)
+
+    cut = F.struct(F.split(text, PATTERNS[kind], -1).alias("gaps"), found.alias("found"))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,found:string,near:string>>)")
+    return F.when(F.regexp_instr(text, F.lit(PATTERNS[kind])) > 0, let(cut, located)).otherwise(none)
 
-    Kinds rank as in KINDS. email, ip, card and phone spans that their checks confirm are always there; iban spans
-    need mod-97, ssn spans a context word nearby. score (0 to 1) is the kind's start score and more for a context
-    word within CONTEXT code points. A null or empty text has no spans; very long texts are searched whole; other
-    columns are kept, whatever their names (but for `pii` itself).
-    """
-    names = {k: f"_pii_{k}" for k in KINDS}
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({names[k]: proposals(k, body) for k in KINDS})
+
+def spans_of(text: Column) -> Column:
+    """array<struct<start, rank, kind, end, score>> of a text, in order of start, then kind."""
+    body = F.coalesce(text, F.lit(""))
 
     def judged(kind: str) -> Column:
         def score(x: Column) -> Column:
-            begin = F.greatest(x["start"] - CONTEXT, F.lit(0))
-            near = F.lower(F.concat(F.substr(body, begin + 1, x["start"] - begin), F.lit(" "), F.substr(body, x["end"] + 1, F.lit(CONTEXT))))
-            more = F.when(near.rlike(rf"(?<![a-z])(?:{CONTEXT_WORDS[kind]})(?![a-z])"), F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0))
+            more = F.when(x["near"].rlike(rf"(?<![a-z])(?:{CONTEXT_WORDS[kind]})(?![a-z])"), F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0))
             return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), (F.lit(START_SCORE[kind]) + more).alias("score"))
 
-        valid = F.transform(F.filter(F.col(names[kind]), lambda x: confirmed(kind, x["found"])), score)
+        valid = F.transform(F.filter(proposals(kind, body), lambda x: confirmed(kind, x["found"])), score)
         return valid if kind in BASE else F.filter(valid, lambda x: x["score"] >= ADDED_THRESHOLD)
 
-    return out.withColumn("pii", F.array_sort(F.concat(*map(judged, KINDS)))).drop(*names.values())
+    return F.array_sort(F.concat(*map(judged, KINDS)))
+
+
+def find(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with one more column `pii`: array<struct<start, rank, kind, end, score>> in order of start, then kind.
+
+    Kinds rank as in KINDS. email, ip, card and phone spans that their checks confirm are always there; iban spans
+    need mod-97, ssn spans a context word nearby. score (0 to 1) is the kind's start score and more for a context
+    word within CONTEXT code points. A null or empty text has no spans; very long texts and many matches are searched
+    whole; other columns are kept, whatever their names, but for a column `pii`, which this one replaces.
+    """
+    return docs.withColumn("pii", spans_of(F.col(text)))
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def merged(spans: Column) -> Column:
+    """Spans in order of start, with overlapping ones as one that has the first one's kind."""
+    reach = running(F.transform(spans, lambda x: x["end"]), F.greatest)  # the end of all spans before each
+
+    def joined_up(s: Column) -> Column:
+        firsts = F.filter(upto(F.size(s["spans"])), lambda k: F.get(s["spans"], k)["start"] >= F.get(s["reach"], k))
+
+        def one(f: Column, j: Column, k: Column) -> Column:
+            next_first = F.coalesce(F.get(f, j + 1), F.size(s["spans"]))
+            return F.struct(F.get(s["spans"], k)["start"].alias("start"), F.get(s["reach"], next_first).alias("end"), F.get(s["spans"], k)["kind"].alias("kind"))
+
+        return let(firsts, lambda f: F.transform(f, lambda k, j: one(f, j, k)))
+
+    return let(F.struct(spans.alias("spans"), reach.alias("reach")), joined_up)
+
+
+def rewritten(text: Column, spans: Column) -> Column:
+    """text with each of some spans, in order and apart, replaced by [KIND]."""
+
+    def whole(s: Column) -> Column:
+        n = F.size(s["spans"])
+        end = lambda k: F.coalesce(F.when(k > 0, F.get(s["spans"], k - 1)["end"]), F.lit(0))
+
+        def part(i: Column) -> Column:
+            first, last = i * PORTION, F.least((i + 1) * PORTION, n)
+            cut = F.struct(F.substr(s["text"], end(first) + 1, end(last) - end(first)).alias("text"), end(first).alias("base"))
+
+            def piece(h: Column, k: Column) -> Column:
+                x = F.get(s["spans"], k)
+                kept = F.substr(h["text"], end(k) - h["base"] + 1, x["start"] - end(k))
+                return F.concat(kept, F.lit("["), F.upper(x["kind"]), F.lit("]"))
+
+            return let(cut, lambda h: F.array_join(F.transform(portion(i, n), lambda k: piece(h, k)), ""))
+
+        return F.concat(F.array_join(F.transform(upto(portions(n)), part), ""), F.substr(s["text"], end(n) + 1, F.length(s["text"])))
+
+    return let(F.struct(text.alias("text"), spans.alias("spans")), whole)
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span of find() replaced by [KIND]; overlapping spans become one, named by the first."""
-    found = find(docs, text)
-    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
-
-    def merge(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        new = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when(F.size(a) == 0, F.array(new)).when(x["start"] < last["end"], F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(wider))).otherwise(F.concat(a, F.array(new)))
-
-    merged = F.aggregate(F.col("pii"), none, merge)
-
-    def write(a: Column, x: Column) -> Column:
-        kept = F.substr(F.col(text), a["at"] + 1, x["start"] - a["at"])
-        return F.struct(x["end"].alias("at"), F.concat(a["out"], F.array(kept, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    done = F.aggregate(F.col("_merged"), start, write)
-    whole = F.concat(F.array_join(done["out"], ""), F.substr(F.col(text), done["at"] + 1, F.length(F.col(text))))
-    return found.withColumn("_merged", merged).withColumn(text, F.when(F.size("_merged") > 0, whole).otherwise(F.col(text))).drop("_merged", "pii").select(*docs.columns)
+    """docs with every span of find() replaced by [KIND]; overlapping spans become one, named by the first. A text
+    without spans, or null, stays; all columns stay, whatever their names."""
+    changed = let(spans_of(F.col(text)), lambda found: F.when(F.size(found) > 0, rewritten(F.col(text), merged(found))).otherwise(F.col(text)))
+    return docs.withColumn(text, changed)
 
 
 def digest(docs: DataFrame) -> DataFrame:
