@@ -1,36 +1,41 @@
 """Best-fit packing of tokenised documents with certified bin counts.
 
 Pieces (documents, or parts of those longer than a sequence) are dealt into partitions of bounded size. Each packs
-its own by best-fit decreasing and bounds its bin count from below by dual-feasible functions. Where the sum of the
-bin counts is above the bound of the whole, partitions with a gap give the pieces of their emptiest bins into groups
-of partitions, which pack them again; a new packing replaces the old one only where it has fewer bins.
+its own by best-fit decreasing and bounds its bin count from below by dual-feasible functions. While the sum of the
+bin counts is above the bound of the whole, partitions exchange pieces: those whose count is above their bound, or
+that have a bin's worth of room left, give those of their emptiest bins, certified others only those of the emptiest
+one. Groups of partitions pack these again, then groups of groups, up to one; then all partitions look again. Where a
+turn gains nothing, as bounds of many partitions are each rounded up, all give like those that are not certified, until
+the bound is met or that gains nothing either. A new packing replaces the old one where it has fewer bins, or bins that leave
+more of their room in one place.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from dataclasses import dataclass
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import saved, small_batches
+from earshot.llm.common import discard, saved, small_batches
 
 SEQUENCE = 2048
 END_ID = 0
-#: Pieces of a partition, and partitions that exchange pieces in a group.
+#: Pieces of a partition, partitions that exchange pieces in a group, and partitions' worth of pieces that each may give.
 PART_PIECES = 20_000
-FAN_IN = 8
+FAN_IN, GIVE = 8, 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
-PACKED = PIECES + ", part long, bin long, offset long, open boolean, part_bins long, part_bound long"
+PACKED = PIECES + ", uid long, part long, bin long, offset long, open boolean, part_bins long, part_bound long"
 PACKED_NAMES = [c.split()[0] for c in PACKED.split(", ")]
-#: Partition numbers of one level of exchange.
-LEVEL = 1 << 36
+#: Partition numbers of one level of exchange, and bin numbers of a partition.
+LEVEL, BINS = 1 << 30, 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -122,73 +127,125 @@ def best_fit_decreasing(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np
     return bins, offsets, np.array(fill, np.int64)
 
 
-def emptiest(bins: np.ndarray, fill: np.ndarray, limit: int, give: int) -> np.ndarray:
-    """For each piece, whether it lies in one of the emptiest bins, of up to `give` pieces together."""
+def emptiest(bins: np.ndarray, fill: np.ndarray, limit: int, give: int, certified: bool) -> np.ndarray:
+    """For each piece, whether it lies in a bin that is open for exchange: the emptiest ones, of up to `give` pieces
+    together, or of a certified partition the emptiest alone."""
     order = np.argsort(fill, kind="stable")
+    order = order[fill[order] < limit]
     loose = np.zeros(len(fill), bool)
-    loose[order[(np.bincount(bins, minlength=len(fill))[order].cumsum() <= give) & (fill[order] < limit)]] = True
+    if not certified:
+        loose[order[np.bincount(bins, minlength=len(fill))[order].cumsum() <= give]] = True
+    loose[order[:1]] = True
     return loose[bins]
 
 
-def with_places(rows: pa.Table, part: int, bins: np.ndarray, offsets: np.ndarray, loose: np.ndarray, n: int, bound: int) -> pa.Table:
-    same = lambda x: np.full(len(rows), x, np.int64)
-    return pa.table([*(rows.column(c) for c in NAMES), *map(pa.array, (same(part), bins, offsets, loose, same(n), same(bound)))], names=PACKED_NAMES)
+@dataclass(frozen=True)
+class Exchange:
+    """The size of a bin, the most pieces that a partition gives, and whether certified ones give like all others."""
+
+    limit: int
+    give: int
+    all_give: bool = False
 
 
-def pack_group(rows: pa.Table, part: int, limit: int, give: int) -> pa.Table:
-    """rows packed; the emptiest bins are open for exchange if some bin has room."""
-    rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+def with_places(rows: pa.Table, part: int, bins: np.ndarray, offsets: np.ndarray, how: Exchange) -> pa.Table:
+    """rows in the bins of a partition, with what is open, their number and its bound."""
+    limit = how.limit
     lengths = rows.column("length").to_numpy()
-    bins, offsets, fill = best_fit_decreasing(lengths, limit)
+    fill = np.bincount(bins, weights=lengths).astype(np.int64)
     bound = lower_bound(np.bincount(lengths, minlength=limit + 1), limit)
-    return with_places(rows, part, bins, offsets, emptiest(bins, fill, limit, give), len(fill), bound)
+    same = lambda x: np.full(len(rows), x, np.int64)
+    certified = len(fill) <= bound and len(fill) * limit - fill.sum() < limit
+    loose = emptiest(bins, fill, limit, how.give, certified and not how.all_give)
+    columns = [*(rows.column(c) for c in (*NAMES, "uid")), *map(pa.array, (same(part), bins, offsets, loose, same(len(fill)), same(bound)))]
+    return pa.table(columns, names=PACKED_NAMES)
+
+
+def pack_group(rows: pa.Table, part: int, how: Exchange) -> pa.Table:
+    rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("uid", "ascending")])
+    bins, offsets, _ = best_fit_decreasing(rows.column("length").to_numpy(), how.limit)
+    return with_places(rows, part, bins, offsets, how)
+
+
+def numbered_bins(rows: pa.Table) -> np.ndarray:
+    """The bins of rows of several partitions, from 0."""
+    return np.unique(rows.column("part").to_numpy() * BINS + rows.column("bin").to_numpy(), return_inverse=True)[1].ravel()
 
 
-def repack_group(rows: pa.Table, part: int, limit: int, give: int) -> pa.Table:
-    """The open pieces of several partitions packed anew, or left as they were if that takes no fewer bins."""
-    new = pack_group(rows, part, limit, give)
-    old = rows.column("part").to_numpy() << 20 | rows.column("bin").to_numpy()
-    names, bins = np.unique(old, return_inverse=True)
-    if new.column("part_bins")[0].as_py() < len(names):
+def repack_group(rows: pa.Table, part: int, how: Exchange) -> pa.Table:
+    """The open pieces of several partitions packed anew, or left as they were if that is no better."""
+    new = pack_group(rows, part, how)
+    bins = numbered_bins(rows)
+    old_fill = np.bincount(bins, weights=rows.column("length").to_numpy())
+    new_fill = np.bincount(new.column("bin").to_numpy(), weights=new.column("length").to_numpy())
+    if (len(new_fill), -(new_fill**2).sum()) < (len(old_fill), -(old_fill**2).sum()):
         return new
-    fill = np.bincount(bins, weights=rows.column("length").to_numpy())
-    return with_places(rows, part, bins, rows.column("offset").to_numpy(), emptiest(bins, fill, limit, give), len(names), new.column("part_bound")[0].as_py())
+    return with_places(rows, part, bins, rows.column("offset").to_numpy(), how)
+
+
+def reopened(rows: pa.Table, part: int, how: Exchange) -> pa.Table:
+    """A partition as it is, with what is open now."""
+    return with_places(rows, part, numbered_bins(rows), rows.column("offset").to_numpy(), how)
+
+
+def by_part(rows: DataFrame, column: str, work, how: Exchange) -> DataFrame:
+    return rows.groupBy(column).applyInArrow(lambda key, group: work(group, key[0].as_py(), how), PACKED)
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def pack(pieces: DataFrame, limit: int = SEQUENCE, part_pieces: int = PART_PIECES) -> DataFrame:
     """PIECES with sequence_id (any distinct numbers) and offset, gapless from 0 in each sequence.
 
     An empty table gives an empty table; pieces of equal length are taken by doc_id and piece; repeated rows are
-    pieces of their own. Lengths must be 1 to limit. `certified`: the sequence's partition meets its own bound.
+    pieces of their own, and dealt out like any others. Lengths must be 1 to limit. `certified`: the sequence's
+    partition meets its own bound; `bins_above_bound`: sequences of the whole beyond its bound, 0 where the bound
+    certifies them.
     """
     spark = pieces.sparkSession
-    pieces = saved(pieces.select(NAMES))
+    pieces = saved(pieces.select(NAMES).withColumn("uid", F.monotonically_increasing_id()))
     counts = np.zeros(limit + 1, np.int64)  # of each length
     for row in pieces.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
     need, parts = lower_bound(counts, limit), max(1, -(-int(counts.sum()) // part_pieces))
-    give = part_pieces // FAN_IN
+    how = Exchange(limit, part_pieces * GIVE)
     tasks = max(spark.sparkContext.defaultParallelism, parts // 8)
-    keyed = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(parts)))
-    packed = saved(keyed.repartition(tasks, "part").groupBy("part").applyInArrow(lambda key, rows: pack_group(rows, key[0].as_py(), limit, give), PACKED))
-    have = packed.select("part", "part_bins").distinct().agg(F.sum("part_bins")).first()[0] or 0
-    closed: list[DataFrame] = []
-    level = 0
+    keyed = pieces.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)))
+    packed = saved(by_part(keyed.repartition(tasks, "part"), "part", pack_group, how))
+    bins_of = lambda df: df.select("part", "bin").distinct().count()
+    have, level, turn = bins_of(packed), 0, 0
     while parts > 1 and have > need:
-        level, parts = level + 1, -(-parts // FAN_IN)
-        loose = packed.filter("open")
-        before = loose.select("part", "bin").distinct().count()
-        group = F.floor(F.pmod(F.col("part"), F.lit(LEVEL)) / FAN_IN).cast("long") + level * LEVEL
-        closed.append(packed.filter("NOT open"))
-        packed = saved(loose.withColumn("g", group).groupBy("g").applyInArrow(lambda key, rows: repack_group(rows, key[0].as_py(), limit, give), PACKED))
-        have += packed.select("part", "bin").distinct().count() - before
-    out = packed
-    for df in closed:
-        out = out.unionByName(df)
-    number = F.col("part") * F.lit(1 << 20) + F.col("bin")
-    return out.select(*NAMES, number.alias("sequence_id"), "offset", (F.col("part_bins") <= F.col("part_bound")).alias("certified"))
-
-
-def pack_documents(docs: DataFrame, limit: int = SEQUENCE, ranks_path: str | None = None) -> DataFrame:
+        before, closed, old = have, [], [packed]
+        groups, turn = -(-parts // FAN_IN), turn + 1
+        group, loose = F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(groups)), packed
+        while True:
+            level += 1
+            closed.append(loose.filter("NOT open"))
+            moving = loose.filter("open")
+            was = bins_of(moving)
+            loose = saved(by_part(moving.withColumn("g", group + level * LEVEL), "g", repack_group, how))
+            old.append(loose)
+            have += bins_of(loose) - was
+            if groups == 1 or have <= need:
+                break
+            groups = -(-groups // FAN_IN)
+            group = F.floor(F.pmod(F.col("part"), F.lit(LEVEL)) / FAN_IN).cast("long")
+        packed = saved(union([*closed, loose]))
+        for df in old:
+            discard(df)
+        if have <= need or (have == before and how.all_give):
+            break
+        how = Exchange(limit, how.give, have == before)
+        parts = packed.select("part").distinct().count()
+        packed, old = saved(by_part(packed, "part", reopened, how)), packed
+        discard(old)
+    discard(pieces)
+    number = F.col("part") * F.lit(BINS) + F.col("bin")
+    return packed.select(*NAMES, number.alias("sequence_id"), "offset", (F.col("part_bins") <= F.col("part_bound")).alias("certified"), F.lit(int(have - need)).cast("long").alias("bins_above_bound"))
+
+
+def pack_documents(docs: DataFrame, limit: int = SEQUENCE, ranks_path: str | None = None, part_pieces: int = PART_PIECES) -> DataFrame:
     """docs(doc_id, text) tokenised, cut and packed; see tokenized() and pack()."""
-    return pack(tokenized(docs, limit, ranks_path), limit)
+    return pack(tokenized(docs, limit, ranks_path), limit, part_pieces)
