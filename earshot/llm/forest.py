@@ -1,7 +1,9 @@
 """Near-duplicates among embeddings by a forest of random-projection trees.
 
 Every tree splits the vectors of a label again and again at the median of a random projection; vectors within SPILL of
-the median go to both sides. Vectors of a leaf are compared, links verified by their cosine, and linked vectors united.
+the median go to both sides. The splits are found in a bounded sample, and each vector goes down all of them in one
+pass; nodes that are still large, as where labels are too many for the sample, are split on in rounds at their own
+medians. Vectors of a leaf are compared, links verified by their cosine, and linked vectors united.
 A pair is counted in the first of the leaves that both are in, so that counts need no list of pairs. Equal vectors are
 one class with a count, and leaves that no projection divides are compared in blocks.
 """
@@ -23,6 +25,8 @@ TREES, LEAF_ROWS, SPILL = 4, 512, 0.02
 #: Directions tried for a node before it is a leaf of any size, and the most of its rows that may go to one side.
 TRIES, LARGEST_SIDE = 3, 0.7
 BLOCK_ROWS = 1024
+#: Vectors sampled for the trees, and of a node at least.
+SAMPLE, SAMPLE_NODE = 60_000, 32
 KEY = ["label", "dim", "tree", "node", "tries"]
 
 
@@ -56,14 +60,85 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(v @ v)
 
 
+#: A split: the tries that its direction took, and the projection at which it parts; None for the latter in a leaf that
+#: no direction divides.
+Splits = dict[tuple[int, int], tuple[int, float | None]]
+
+
+def sampled_splits(rows: np.ndarray, share: float, trees: int, leaf_rows: int) -> Splits:
+    """The splits of each (tree, node) for the unit vectors of a label's sample, which is `share` of all."""
+    out: Splits = {}
+    open_nodes = [(tree, 1, np.arange(len(rows))) for tree in range(trees)]
+    while open_nodes:
+        tree, node, mine = open_nodes.pop()
+        if len(mine) / share <= leaf_rows or len(mine) < SAMPLE_NODE:
+            continue
+        for tries in range(TRIES):
+            p = rows[mine] @ direction(tree, node, tries, rows.shape[1])
+            low, mid, high = np.quantile(p, [1 - LARGEST_SIDE, 0.5, LARGEST_SIDE])
+            if low < mid - SPILL and high > mid + SPILL:
+                out[tree, node] = tries, float(mid)
+                open_nodes += [(tree, 2 * node, mine[p <= mid + SPILL]), (tree, 2 * node + 1, mine[p >= mid - SPILL])]
+                break
+        else:
+            out[tree, node] = TRIES, None
+    return out
+
+
+def forest(classes: DataFrame, trees: int, leaf_rows: int) -> dict[tuple, Splits]:
+    """Splits by (label, dim), from a sample of at most about SAMPLE vectors."""
+    total = classes.count()
+    share = min(1.0, SAMPLE / max(total, 1))
+    sample = classes if share == 1 else classes.filter(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    groups: dict[tuple, list] = {}
+    for r in sample.select("label", "dim", "vec").collect():
+        groups.setdefault((r["label"], r["dim"]), []).append(unit(np.array(r["vec"])))
+    return {k: found for k, v in groups.items() if (found := sampled_splits(np.stack(v), share, trees, leaf_rows))}
+
+
+def descended(classes: DataFrame, splits: dict[tuple, Splits], trees: int) -> DataFrame:
+    """Each class in every node of every tree at which its way down the splits ends: KEY, cid, n, vec."""
+    held = classes.sparkSession.sparkContext.broadcast(splits)
+
+    def ends(rows: np.ndarray, known: Splits) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        at = [(tree, 1, np.arange(len(rows))) for tree in range(trees)]
+        while at:
+            tree, node, mine = at.pop()
+            if not len(mine):
+                continue
+            tries, mid = known.get((tree, node), (0, None))
+            if mid is None:
+                yield tree, node, tries, mine
+                continue
+            p = rows[mine] @ direction(tree, node, tries, rows.shape[1])
+            at += [(tree, 2 * node, mine[p <= mid + SPILL]), (tree, 2 * node + 1, mine[p >= mid - SPILL])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist()))
+            for key in dict.fromkeys(keys):
+                mine = np.array([i for i, k in enumerate(keys) if k == key])
+                vectors = np.stack([unit(v) for v in batch.column("vec").take(pa.array(mine)).to_numpy(zero_copy_only=False)])
+                found = list(ends(vectors, held.value.get(key, {})))
+                which = np.concatenate([mine[f[3]] for f in found])
+                spread = lambda j, kind: pa.array(np.concatenate([np.full(len(f[3]), f[j]) for f in found]), kind)
+                rows = batch.take(pa.array(which))
+                named = {"tree": spread(0, pa.int32()), "node": spread(1, pa.int64()), "tries": spread(2, pa.int32())}
+                yield pa.RecordBatch.from_arrays([named.get(c) if c in named else rows.column(c) for c in (*KEY, "cid", "n", "vec")], names=[*KEY, "cid", "n", "vec"])
+
+    plain = classes.select("label", "dim", "cid", "n", "vec")
+    empty = plain.withColumns({"tree": F.lit(0), "node": F.lit(1).cast("long"), "tries": F.lit(0)}).select(*KEY, "cid", "n", "vec")
+    return plain.mapInArrow(run, empty.schema)
+
+
 def leaves_of(classes: DataFrame, trees: int, leaf_rows: int) -> DataFrame:
     """Each class in every leaf of every tree that it falls into: KEY, cid, n, vec."""
-    state = classes.withColumn("tree", F.explode(F.array(*map(F.lit, range(trees)))))
-    state = saved(state.withColumn("node", F.lit(1).cast("long")).withColumn("tries", F.lit(0)).select(*KEY, "cid", "n", "vec"))
+    state = saved(descended(classes, forest(classes, trees, leaf_rows // 2), trees))
     done: list[DataFrame] = []
     while True:
         nodes = state.groupBy(*KEY).count().withColumn("open", (F.col("count") > leaf_rows) & (F.col("tries") < TRIES)).drop("count")
         marked = saved(state.join(nodes, KEY))
+        discard(state)
         done.append(marked.filter("NOT open").drop("open"))
         if marked.filter("open").isEmpty():
             break
@@ -74,8 +149,7 @@ def leaves_of(classes: DataFrame, trees: int, leaf_rows: int) -> DataFrame:
         sides = F.array_compact(F.array(F.when(F.col("p") <= F.col("mid") + SPILL, F.col("node") * 2), F.when(F.col("p") >= F.col("mid") - SPILL, F.col("node") * 2 + 1)))
         moved = lines.join(splits, KEY).withColumn("next", F.explode(F.when(F.col("apart"), sides).otherwise(F.array("node"))))
         new = moved.select("label", "dim", "tree", F.col("next").alias("node"), F.when(F.col("apart"), 0).otherwise(F.col("tries") + 1).alias("tries"), "cid", "n", "vec")
-        before, state = state, saved(new)
-        discard(before)
+        state = saved(new)
         discard(lines)
     out = done[0]
     for df in done[1:]:

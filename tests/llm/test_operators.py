@@ -137,3 +137,21 @@ def test_forest_matches_brute_force(spark):
         assert got[i].n_links == len(links)
         assert got[i].component_id <= min([i, *links])
     assert all(got[i].kept and got[i].n_links == 0 for i in (200, 201, 202, 204))
+
+
+@pytest.mark.parametrize("sample", [60_000, 150])
+def test_forest_finds_links_across_many_leaves(spark, monkeypatch, sample):
+    monkeypatch.setattr(forest, "SAMPLE", sample)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(300, 24))
+    vectors = [base[i % 300] + rng.normal(size=24) * 0.03 for i in range(900)]
+    rows = [(i, [float(x) for x in v], "ab"[i % 2] if i < 880 else None, i) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, cid long").selectExpr("*", "1 AS tree", "2 AS n", "3 AS kept")
+    got = {r.vec_id: r.n_links for r in forest.near_duplicates(frame, leaf_rows=40).collect()}
+    unit = np.array([v / np.linalg.norm(v) for v in vectors])
+    same = np.array([[a[2] is not None and a[2] == b[2] for b in rows] for a in rows])
+    near = (unit @ unit.T >= 0.98) & same & ~np.eye(900, dtype=bool)
+    want = near.sum(axis=1)
+    assert want.sum() > 500 and all(got[i] <= want[i] for i in range(900))
+    assert sum(got.values()) >= 0.97 * want.sum()
+    assert forest.near_duplicates(frame.limit(0)).collect() == []
