@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,8 +85,23 @@ def classes_for(distinct: int) -> int:
     return max(CLASSES, round(distinct ** (1 / 3)))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The tokens of some texts by number, how many each has, and the words by number; the last is the end token, which
+    every text has at its end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    words = split.flatten().dictionary_encode()
+    there = pc.greater(pc.binary_length(words.dictionary), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+    listed = words.dictionary.filter(pa.array(there)).cast(pa.large_binary()).to_pylist()
+    number = words.indices.to_numpy().astype(np.int64)
+    keep, number = there[number], (np.cumsum(there) - 1)[number]
+    upto = np.r_[0, np.cumsum(keep)]
+    offsets = split.offsets.to_numpy()
+    sizes = np.diff(upto[offsets - offsets[0]]) + 1
+    x = np.full(sizes.sum(), len(listed), np.int64)
+    inner = np.ones(len(x), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    x[inner] = number[keep]
+    return x, sizes, [*listed, STOP]
 
 
 CODED = "block long, bucket int, words binary, counts binary, tokens binary, homes binary, doc_ids array<long>, held array<boolean>, sizes array<long>"
@@ -98,15 +114,7 @@ def coded_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     limit = BLOCK_BYTES
 
     def coded(block: int, ids: list, texts: list, held: list) -> Iterator[pa.RecordBatch]:
-        numbers, tokens, sizes = Numbers(), [], []
-        number = numbers.__getitem__
-        end = number(STOP)
-        for text in texts:
-            at = len(tokens)
-            tokens.extend(map(number, words_of(text)))
-            tokens.append(end)
-            sizes.append(len(tokens) - at)
-        words, x = list(numbers), np.array(tokens, np.int64)
+        x, sizes, words = tokens_of(texts)
         homes = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
         counts = np.bincount(x[np.repeat(~np.array(held, bool), sizes)], minlength=len(words))
         yield row(CODED, block=block, tokens=pack(x), homes=pack(homes), doc_ids=ids, held=held, sizes=sizes)
@@ -335,19 +343,26 @@ def gains(steps: Steps, own: np.ndarray, self_count: np.ndarray, row: np.ndarray
     k = ctx % size
     has = np.flatnonzero(own >= 0)
 
-    def add(rows: np.ndarray, values: np.ndarray) -> None:
-        if len(rows):
-            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            total[rows[first]] += np.add.reduceat(values, first)
+    def add(rows: np.ndarray, values: np.ndarray, take: np.ndarray) -> None:
+        """Add the values that each row takes: the first of all rows, then the second, ..."""
+        if not len(rows):
+            return
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        counts = np.diff(np.r_[first, len(rows)])
+        order = np.argsort(-counts, kind="stable")
+        first, counts = first[order], counts[order]
+        for j in range(counts[0]):
+            live = first[: np.searchsorted(-counts, -j, side="left")]
+            total[rows[live]] += values[take[live + j]]
 
     within = mine == k  # the context's cells hold the word's own bigrams
     plain = np.flatnonzero((n <= SMALL) & ~within)
-    found = steps.cells[n[plain].astype(np.int64), ctx[plain]]
-    at = np.flatnonzero(mine[plain] >= 0)
-    e = plain[at]
+    at = n[plain].astype(np.int64) * (2 * size) + ctx[plain]
+    add(row[plain], steps.cells.reshape(-1, size), at)
+    e = plain[mine[plain] >= 0]
     cell = steps.contexts[ctx[e], mine[e]]
-    found[at, mine[e]] = log_part(cell) - log_part(cell - n[e])
-    add(row[plain], found)
+    right = log_part(cell) - log_part(cell - n[e]) - steps.cells[n[e].astype(np.int64), ctx[e], mine[e]]
+    total[has, own[has]] += np.bincount(row[e], right, words)[has]
 
     # words whose bigrams count in whole rows of cells: with the word itself, or within their own class
     special = np.zeros(words, bool)
@@ -369,7 +384,7 @@ def gains(steps: Steps, own: np.ndarray, self_count: np.ndarray, row: np.ndarray
         d = place[r[at]]
         now[at] -= np.where((c[at] < size)[:, None], into[d], out[d])
         now[at, c[at] % size] -= self_count[r[at]]
-        add(r, log_part(now + m[:, None]) - log_part(now))
+        add(r, log_part(now + m[:, None]) - log_part(now), np.arange(len(r)))
 
     # the diagonal: a class's cell with itself takes bigrams of both sides at once
     corner = table[np.arange(size), np.arange(size)]

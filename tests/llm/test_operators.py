@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -80,6 +81,16 @@ def test_words_that_never_meet_a_frequent_one_are_clustered(spark, monkeypatch,
     assert len(got) == 29 and got[" "] == 3 and len(left) == len(right) == 1 and left != right
 
 
+def test_tokens_are_words_and_ends():
+    rng = random.Random(2)
+    signs = [chr(i) for i in range(48)] + list("aZé\u00a0\u0085\u2003\U0001f600İ")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", None, " \t"]
+    x, sizes, words = brown.tokens_of(texts)
+    want = [[*(t or "").encode().lower().split(), brown.STOP] for t in texts]
+    assert [words[i] for i in x] == [w for ws in want for w in ws] and sizes.tolist() == list(map(len, want))
+    assert len(set(words)) == len(words)
+
+
 def test_packed_numbers_come_back():
     for x in (np.zeros(0, np.int64), np.array([0, -1, 255, 256, 1 << 40, -(1 << 62)])):
         assert (brown.unpack(brown.pack(x)) == x).all()
