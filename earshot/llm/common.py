@@ -15,9 +15,12 @@ SEPARATORS = "\t\n\x0b\x0c\r "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, local mode takes a new local one; a cluster, whose
+    executors would each write to their own disk, gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-earshot-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -133,11 +133,17 @@ def mix_counts(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as mix_counts takes it, in the columns of docs."""
+    """docs with each row as often as mix_counts takes it, in the columns of docs, whatever their names.
+
+    Rows alike in doc_id, source and size take their numbers of times by the order of a hash of their texts, so that
+    reruns agree.
+    """
     taken = mix_counts(docs, **options).filter("times > 0").groupBy("doc_id", "source", "size").agg(F.collect_list(F.struct("copy", "times")).alias("taken"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.map_from_entries("taken").alias("_taken"))
-    sized = docs.withColumn("_words", words_of(F.col("text")))
-    joined = sized.join(taken, sized["doc_id"].eqNullSafe(taken["_id"]) & sized["source"].eqNullSafe(taken["_source"]) & (sized["_words"] == taken["_size"]))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy("doc_id"))
+    taken = taken.select(F.struct("doc_id", "source", "size").alias("_key"), F.map_from_entries("taken").alias("_taken"))
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    key = F.struct(docs["doc_id"], docs["source"], words_of(docs["text"]).alias("size"))
+    rows = docs.select(whole.alias("_row"), key.alias("_of"), F.xxhash64(docs["text"]).alias("_h"))
+    joined = rows.join(taken, F.col("_of").eqNullSafe(F.col("_key")))
+    copy = F.row_number().over(Window.partitionBy("_of").orderBy("_h"))
     times = F.coalesce(F.col("_taken")[F.col("_copy")], F.lit(0))
-    return joined.withColumn("_copy", copy).withColumn("_time", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return joined.withColumn("_copy", copy).withColumn("_time", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")
