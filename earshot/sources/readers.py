@@ -45,11 +45,13 @@ def one_source(**options: str | None) -> tuple[str, str]:
 
 
 def csv_texts(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """A CSV file or folder with a header as columns of text; where nothing is there, an empty table."""
+    """A CSV file or folder with a header as columns of text, empty for empty cells; an empty table where
+    nothing is there (S02)."""
     schema = ", ".join(f"`{c}` string" for c in columns)
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').option("multiLine", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    cells = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').option("multiLine", True).csv(path)
+    return cells.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in columns])
 
 
 def csv_typed(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
@@ -65,7 +67,7 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """file and value of whole JSON files."""
-    return spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
 
 
 def summary_index(docs: DataFrame) -> DataFrame:
