@@ -20,7 +20,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: dic
 
     The bound holds in rows (per_class) and in characters of each (max_chars; longer ones are not sampled, never
     cut). The ids come from the labels alone, so that documents are only filtered by a broadcast of bounded size.
-    Contradicting or repeated labels of a doc_id count as the largest; null labels and ids are ignored.
+    Contradicting or repeated labels of a doc_id count as the largest, of several texts of one the smallest is taken;
+    null labels and ids are ignored.
     """
     clean = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != 0))
     clean = clean.groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -30,5 +31,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: dic
     if not picked:
         return []
     ids = docs.sparkSession.createDataFrame(list(picked.items()), "doc_id long, y int")
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]

@@ -82,18 +82,22 @@ class Voters:
         x = x * self.weight - self.mean
         rng = np.random.default_rng(seed)
         basis = np.linalg.qr(x @ (x.T @ (x @ rng.normal(size=(x.shape[1], rank + 10)).astype(np.float32))))[0]
-        self.axes = np.linalg.svd(basis.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32)
-        self.vectors = unit(x @ self.axes)
+        self.axes = np.linalg.svd(basis.T @ x, full_matrices=False)[2][:rank].T.astype(np.float64)
+        self.vectors = unit(x.astype(np.float64) @ self.axes)
+
+    def latent(self, texts: list[str | None]) -> np.ndarray:
+        """Unit vectors of texts in the latent space."""
+        return unit((np.stack([counts_of(t) for t in texts]) * self.weight - self.mean).astype(np.float64) @ self.axes)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Votes by weight; rounded, as a text's last bits depend on those in its block."""
         out = np.empty(len(texts))
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), BLOCK):
-            x = np.stack([counts_of(t) for t in texts[at : at + BLOCK]]) * self.weight - self.mean
-            cosines = unit(x @ self.axes) @ self.vectors.T
+            cosines = np.round(self.latent(texts[at : at + BLOCK]) @ self.vectors.T, 12)
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            votes = np.maximum(np.take_along_axis(cosines, near, axis=1).astype(np.float64), 1e-3) ** POWER
-            out[at : at + BLOCK] = (votes * self.labels[near]).sum(axis=1) / votes.sum(axis=1)
+            votes = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-3) ** POWER
+            out[at : at + BLOCK] = np.round((votes * self.labels[near]).sum(axis=1) / votes.sum(axis=1), 9)
         return out
 
 

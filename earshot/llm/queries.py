@@ -96,7 +96,7 @@ def _spans(kind: str, pattern: str) -> str:
 _LUHN = r"""list_sum(list_transform(range(1, length(digits) + 1), lambda k: CASE WHEN k % 2 = 1 THEN substr(reverse(digits), k::INT, 1)::INT
         ELSE substr(reverse(digits), k::INT, 1)::INT * 2 - CASE WHEN substr(reverse(digits), k::INT, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
 
-# Base spans only: the spans column, with those that the method adds, is tested against brute force.
+# op9's base columns, for tests/llm/test_sql.py; its column of all spans, with those that the method adds, has no SQL.
 PII_BASE_SQL = rf"""
 WITH body AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 found AS ({_spans("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")}

@@ -166,3 +166,24 @@ def test_forest_finds_links_across_many_leaves(spark, monkeypatch, sample):
     assert want.sum() > 500 and all(got[i] <= want[i] for i in range(900))
     assert sum(got.values()) >= 0.97 * want.sum()
     assert forest.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_votes_equal_brute_force():
+    rng = np.random.default_rng(6)
+    words = ["alpha", "beta", "Gamma", "x1", "%%", "line\n", "é"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 60)))) for _ in range(90)] + ["", "a", "word " * 5000]
+    model = neighbours.Voters([(t, i % 2) for i, t in enumerate(texts[:60])], rank=12)
+    latent = model.latent(texts)
+    cosines = np.round(latent @ model.vectors.T, 12)
+    assert np.allclose(np.linalg.norm(latent, axis=1), 1)
+    found = model.scores(texts)
+    for i in range(len(texts)):
+        near = np.argsort(-cosines[i], kind="stable")
+        edge = cosines[i][near[neighbours.NEIGHBOURS - 1]]
+        if (cosines[i] == edge).sum() > 1:
+            continue  # a tie at the edge may go either way
+        near = near[: neighbours.NEIGHBOURS]
+        votes = np.maximum(cosines[i][near], 1e-3) ** neighbours.POWER
+        assert abs(found[i] - (votes * model.labels[near]).sum() / votes.sum()) < 1e-8
+    assert np.array_equal(model.scores(texts[::-1])[::-1], found)
+    assert len(set(model.scores(["same text"] * 300).tolist())) == 1
