@@ -42,7 +42,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned and iterative stages: tested against brute force instead.
+#: Learned and iterative stages: tests/llm/test_pipeline.py holds each against brute force instead.
 ORACLE_SQL = None
 
 
