@@ -89,14 +89,28 @@ def decode(data: bytes, compression: int) -> bytes:
 
 
 def undo_predictor(block: np.ndarray, predictor: int) -> np.ndarray:
-    """block: (rows, columns, samples); horizontal differences (2) are summed along rows."""
+    """block: (rows, columns, samples); horizontal differences (2) are summed along rows. Floating-point numbers (3) are
+    rows of their first bytes, then their second ones, ..., as differences of bytes; they stay bits of numbers."""
     if predictor == 1:
         return block
     if predictor == 2:
         return np.cumsum(block, axis=1, dtype=block.dtype)
+    if predictor == 3 and block.itemsize > 1:
+        rows, columns, samples = block.shape
+        raw = np.ascontiguousarray(block).view(np.uint8).reshape(rows, -1, samples)
+        planes = np.cumsum(raw, axis=1, dtype=np.uint8).reshape(rows, block.itemsize, columns * samples)
+        whole = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{block.itemsize}")
+        return whole.reshape(block.shape).astype(block.dtype)
     raise TiffError(f"predictor {predictor}")
 
 
+def unpack_samples(raw: bytes, rows: int, width: int, depth: int) -> np.ndarray:
+    """(rows, width) samples of 1, 2 or 4 bits; every row begins with a byte."""
+    line = -(-width * depth // 8)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : width * depth]
+    return (bits.reshape(rows, width, depth) << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+
+
 def directories(data: bytes) -> Iterator[dict[int, tuple]]:
     """The tags of each image directory in turn."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -127,9 +141,9 @@ def samples_of(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
     """(height, width, samples) of one directory."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     order, width, height, depth = tags[0][0], one(WIDTH, 0), one(HEIGHT, 0), one(BITS, 1)
-    if depth not in (8, 16, 32):
-        raise TiffError(f"{depth} bits a sample")
-    kind, n = np.dtype(f"{order}u{depth // 8}"), one(SAMPLES, 1)
+    if depth not in (1, 2, 4, 8, 16, 32, 64) or len(set(tags.get(BITS, (1,)))) > 1:
+        raise TiffError(f"{tags[BITS]} bits a sample")
+    kind, n = np.dtype(f"{order}u{max(depth // 8, 1)}"), one(SAMPLES, 1)
     planes = n if one(PLANAR, 1) == 2 else 1
     inner, out = n // planes, np.zeros((height, width, n), kind.newbyteorder("="))
     tiled = TILE_OFFSETS in tags
@@ -140,14 +154,40 @@ def samples_of(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
         plane, y, x = k // (across * down), k // across % down * high, k % across * wide
         rows = high if tiled else min(high, height - y)
         raw = decode(data[at : at + size], one(COMPRESSION, NONE))
-        block = np.frombuffer(raw, kind, rows * wide * inner).reshape(rows, wide, inner).astype(out.dtype)
-        block = undo_predictor(block, one(PREDICTOR, 1))
+        predictor = one(PREDICTOR, 1)
+        if depth < 8:
+            if predictor != 1:
+                raise TiffError(f"predictor {predictor} of {depth} bits")
+            block = unpack_samples(raw, rows, wide * inner, depth).reshape(rows, wide, inner)
+        else:
+            block = np.frombuffer(raw, kind, rows * wide * inner).reshape(rows, wide, inner)
+            block = undo_predictor(block if predictor == 3 else block.astype(out.dtype), predictor).astype(out.dtype)
         seen = out[y : y + high, x : x + wide]
         seen[:, :, plane * inner : (plane + 1) * inner] = block[: seen.shape[0], : seen.shape[1]]
     return out
 
 
+#: What broken bytes raise.
+BROKEN = (TiffError, struct.error, zlib.error, ValueError, KeyError, IndexError, ZeroDivisionError, OverflowError)
+
+
+def page_results(data: bytes) -> Iterator[tuple[int | None, int, np.ndarray | str]]:
+    """Number, bits and samples of each page, or why it cannot be read; without a number, why there are no more pages."""
+    number = 0
+    try:
+        for tags in directories(data):
+            try:
+                found: np.ndarray | str = samples_of(data, tags)
+            except BROKEN as e:
+                found = str(e) or type(e).__name__
+            yield number, tags.get(BITS, (1,))[0], found
+            number += 1
+    except BROKEN as e:
+        yield None, 0, str(e) or type(e).__name__
+
+
 def pages(data: bytes) -> Iterator[np.ndarray]:
+    """The samples of each page: (height, width, samples); those of fewer than 8 bits as bytes."""
     for tags in directories(data):
         yield samples_of(data, tags)
 
@@ -211,8 +251,9 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: tuple[int, int] | None = None, strip_rows: int = 256, level: int = 6, order: str = "<") -> bytes:
-    """A TIFF file of (height, width) unsigned images, each a page, in strips or tiles of (height, width)."""
+def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: tuple[int, int] | None = None, strip_rows: int = 256, level: int = 6, order: str = "<", bits: int = 8) -> bytes:
+    """A TIFF file of (height, width) images, each a page, in strips or tiles of (height, width). Images are unsigned, or
+    floating-point for predictor 3; those of bytes may be stored in fewer bits."""
     if compression not in (NONE, PACKBITS, LZW, DEFLATE):
         raise TiffError(f"compression {compression}")
     pack = {NONE: bytes, PACKBITS: pack_bits, LZW: pack_lzw, DEFLATE: lambda x: zlib.compress(x, level)}[compression]
@@ -229,11 +270,17 @@ def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int
                     block = np.pad(block, ((0, high - block.shape[0]), (0, wide - block.shape[1])))
                 if predictor == 2:
                     block = np.concatenate([block[:, :1], np.diff(block, axis=1)], axis=1)
-                packed = pack(np.ascontiguousarray(block.astype(image.dtype.newbyteorder(order))).tobytes())
+                raw = np.ascontiguousarray(block.astype(image.dtype.newbyteorder(order)))
+                if predictor == 3:
+                    planes = np.ascontiguousarray(block.astype(image.dtype.newbyteorder(">"))).view(np.uint8).reshape(*block.shape, -1).transpose(0, 2, 1).reshape(len(block), -1)
+                    raw = np.concatenate([planes[:, :1], np.diff(planes, axis=1)], axis=1)
+                elif image.itemsize == 1 and bits < 8:
+                    raw = np.packbits((block[:, :, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8) & 1).reshape(len(block), -1), axis=1)
+                packed = pack(raw.tobytes())
                 places.append(len(out))
                 sizes.append(len(packed))
                 out += packed + b"\0" * (len(packed) % 2)
-        tags = {WIDTH: [width], HEIGHT: [height], BITS: [8 * image.itemsize], COMPRESSION: [compression], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [predictor]}
+        tags = {WIDTH: [width], HEIGHT: [height], BITS: [bits if image.itemsize == 1 else 8 * image.itemsize], COMPRESSION: [compression], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [predictor]}
         tags |= {TILE_WIDTH: [wide], TILE_HEIGHT: [high], TILE_OFFSETS: places, TILE_BYTES: sizes} if tile else {STRIP_OFFSETS: places, ROWS_PER_STRIP: [high], STRIP_BYTES: sizes}
         entries = b""
         for tag, values in sorted(tags.items()):
@@ -260,9 +307,10 @@ def page_table(media: DataFrame, column: str = "media") -> DataFrame:
     """One row per page of the binary column: the other columns of media (but for those named like a new one), then
     page (from 0), width, height, samples, bits, payload, error.
 
-    payload holds the samples row by row, in the machine's little-endian order. A null or broken file gives one row
-    of nulls but for error (the reason); pages before the broken one are kept. Repeated rows give repeated
-    pages, an empty table an empty one.
+    payload holds the samples row by row, little-endian; those of 1, 2 and 4 bits as a byte each, floating-point ones
+    by their bits. A page that cannot be read has only its number and error (the reason), and the walk goes on; where
+    the directories end in error, as in a null or broken file, a row has only that. Repeated rows give repeated pages,
+    an empty table an empty one. Samples of different sizes in one page and files beyond 4 GB are such errors.
     """
     small_batches(media.sparkSession, 200)
     new = [c.split()[0] for c in PAGE.split(", ")]
@@ -274,11 +322,11 @@ def page_table(media: DataFrame, column: str = "media") -> DataFrame:
         for batch in batches:
             rows = []
             for i, data in enumerate(batch.column(column)):
-                try:
-                    for k, x in enumerate(pages(data.as_buffer().to_pybytes() if data.is_valid else b"")):
-                        rows.append((i, k, x.shape[1], x.shape[0], x.shape[2], 8 * x.itemsize, x.astype(x.dtype.newbyteorder("<")).tobytes(), None))
-                except (TiffError, struct.error, zlib.error, ValueError, KeyError, IndexError) as e:
-                    rows.append((i, None, None, None, None, None, None, str(e)))
+                for k, bits, x in page_results(data.as_buffer().to_pybytes() if data.is_valid else b""):
+                    if isinstance(x, str):
+                        rows.append((i, k, None, None, None, None, None, x))
+                    else:
+                        rows.append((i, k, x.shape[1], x.shape[0], x.shape[2], bits, x.astype(x.dtype.newbyteorder("<")).tobytes(), None))
             columns = list(zip(*rows)) if rows else [()] * 8
             kinds = [pa.int32()] * 5 + [pa.binary(), pa.string()]
             taken = [batch.column(c).take(pa.array(columns[0], pa.int64())) for c in names]

@@ -120,6 +120,32 @@ def test_tiff_round_trip(compression, predictor, tile, order):
     assert len(back) == 2 and all((a[:, :, 0] == b).all() for a, b in zip(back, images))
 
 
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+def test_tiff_samples_of_few_bits(bits, tile):
+    image = np.random.default_rng(bits).integers(0, 1 << bits, (37, 29)).astype(np.uint8)
+    back = next(tiff.pages(tiff.encode([image], tiff.PACKBITS, 1, tile, strip_rows=10, bits=bits)))
+    assert (back[:, :, 0] == image).all()
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+def test_tiff_floating_point_predictor(kind, order, tile):
+    image = np.random.default_rng(1).normal(size=(21, 18)).astype(kind)
+    back = next(tiff.pages(tiff.encode([image], tiff.DEFLATE, 3, tile, strip_rows=8, order=order)))
+    assert (np.ascontiguousarray(back[:, :, 0]).view(kind) == image).all()
+
+
+def test_tiff_walk_goes_on_after_a_bad_page(spark):
+    image = np.arange(64 * 8, dtype=np.uint8).reshape(8, 64)
+    data = bytearray(tiff.encode([image, image, image]))
+    second = list(tiff.directories(bytes(data)))[1]
+    data[second[tiff.STRIP_OFFSETS][0]] ^= 0xFF  # no deflate header
+    rows = tiff.page_table(spark.createDataFrame([(bytes(data), 1)], "media binary, page int")).orderBy("page").collect()
+    assert [(r.page, r.error is None) for r in rows] == [(0, True), (1, False), (2, True)] and rows[2].payload == image.tobytes()
+
+
 def test_tiff_digest(spark, edges):
     got = tiff.digest(edges).collect()
     assert len(got) == len(EDGES)
