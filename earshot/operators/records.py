@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.operators.samples import broken, each, given, is_object, kind_is, members, no_parts, part, plain
-from earshot.operators.samples import text as as_text
 
 # Record types of the strict profile.
 STRICT_TYPES = ("audio_embedding", "visual_clip_embedding", "visual_semantic_summary", "behavioural_attention", "contextual_descriptor", "other")
@@ -87,7 +86,7 @@ def record_findings(records: DataFrame, clips: DataFrame, types: tuple[str, ...]
         "F11": broken((F.col("feature_type") == "visual_semantic_summary") & ~F.col("_sound"), "feature_value_json"),
         "F12": broken(sound & ~whole_ratio, "class_ratio"),
         "F13": some(sound & whole_ratio, named_shares(ratio)),
-        "F14_object": broken(sound & (as_text(groups) != "null") & ~is_object(groups), "grouped_categories"),
+        "F14_object": broken(sound & plain(groups).isNotNull() & ~is_object(groups), "grouped_categories"),
         "F14": some(sound, named_shares(groups)),
         "F15_integer": broken(sound & F.col("_count").isNull(), "sampled_frame_count"),
         "F15_positive": broken(sound & (F.col("_count") <= 0), "sampled_frame_count"),

@@ -7,7 +7,6 @@ empty, never as an error of the job.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -42,8 +41,8 @@ GRAPH_FIELDS = ("node_types", "relation_types", "alignment_views", "scope_note")
 FRAMEWORK, SCOPE, ITEM_PATH = "ISO_12913", "schema_level", "perception.iso_12913.paq."
 COORDINATES = ("pleasantness", "eventfulness")
 
-#: JSON texts of values that count as not given.
-EMPTY = ("null", '""', "0", "0.0", "false", "[]", "{}")
+#: Texts of values that count as not given, unless they are texts themselves.
+EMPTY = ("0", "0.0", "false", "[]", "{}")
 VARIANTS, MAP = "array<variant>", "map<string,variant>"
 ERROR, WARNING = "error", "warning"
 
@@ -59,30 +58,32 @@ def part(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def text(v: Column) -> Column:
-    return F.coalesce(F.to_json(v), F.lit("null"))
+def plain(v: Column) -> Column:
+    """A scalar as text, without quotes; null for null. Objects and lists give their JSON text."""
+    return F.try_variant_get(v, "$", "string")
 
 
 def given(v: Column) -> Column:
     """Whether a value is there and neither null, zero, false nor empty."""
-    return ~text(v).isin(*EMPTY)
-
-
-def plain(v: Column) -> Column:
-    """A scalar as text, without quotes."""
-    return F.try_variant_get(v, "$", "string")
+    said = F.coalesce(plain(v), F.lit(""))
+    return F.when(said.isin(*EMPTY), kind_is(v, "STRING")).otherwise(said != "")
 
 
 def one_of(v: Column, options: tuple[str, ...]) -> Column:
-    return text(v).isin(*map(json.dumps, options))
+    return F.coalesce(plain(v).isin(*options), F.lit(False))
 
 
 def kind_is(v: Column, kind: str) -> Column:
+    """Whether a value's type, as Spark names it, begins so; meant for scalars."""
     return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
 
 def is_object(v: Column) -> Column:
-    return kind_is(v, "OBJECT")
+    return F.try_variant_get(v, "$", MAP).isNotNull()
+
+
+def is_list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", VARIANTS).isNotNull()
 
 
 def members(v: Column) -> Column:
@@ -95,10 +96,6 @@ def entries(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", VARIANTS), F.array().cast(VARIANTS))
 
 
-def is_list(v: Column) -> Column:
-    return kind_is(v, "ARRAY")
-
-
 def share(v: Column) -> Column:
     """Whether a value is a number, or a truth value, from 0 to 1."""
     number = F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)")
@@ -135,26 +132,34 @@ def of_objects(rule: str, items: Column, name: Callable[[Column], Column], value
     return out + [(f"{rule}_{k}", ERROR, each(items, lambda x, c=check: is_object(value(x)) & ~c(value(x)), name)) for k, check in checks.items()]
 
 
-def by_key(rule: str, v: Column, checks: dict[str, Callable[[Column], Column]]) -> list[Rule]:
-    return of_objects(rule, F.map_entries(members(v)), lambda e: e["key"], lambda e: e["value"], checks)
+def by_key(rule: str, pairs: Column, checks: dict[str, Callable[[Column], Column]]) -> list[Rule]:
+    return of_objects(rule, pairs, lambda e: e["key"], lambda e: e["value"], checks)
+
+
+def by_name(rule: str, listed: Column, field: str, checks: dict[str, Callable[[Column], Column]]) -> list[Rule]:
+    return of_objects(rule, listed, lambda x: plain(part(x, field)), lambda x: x, checks)
 
 
-def by_name(rule: str, v: Column, field: str, checks: dict[str, Callable[[Column], Column]]) -> list[Rule]:
-    return of_objects(rule, entries(v), lambda x: plain(part(x, field)), lambda x: x, checks)
+def opened(cut: DataFrame) -> DataFrame:
+    """Sections of sample records with what several rules look into: maps, lists and keys, computed once a record."""
+    iso = part(F.col("perception"), "iso_12913")
+    graph = F.col("knowledge_graph")
+    maps = {"_levels": part(F.col("harmonisation"), "levels"), "_items": part(iso, "paq"), "_derived": part(iso, "derived_coordinates")}
+    lists = {"_nodes": part(graph, "nodes"), "_edges": part(graph, "edges"), "_parts": part(F.col("harmonisation_potential"), "components"), "_missing": F.col("missingness"), "_sources": F.col("provenance")}
+    out = cut.withColumns({k: F.map_entries(members(v)) for k, v in maps.items()} | {k: entries(v) for k, v in lists.items()})
+    names = {f"{k}_keys": F.transform(k, lambda e: e["key"]) for k in maps}
+    ids = F.transform(F.filter("_nodes", is_object), lambda n: F.coalesce(plain(part(n, "id")), F.lit("null")))
+    return out.withColumns(names | {"_told": F.transform("_missing", lambda m: plain(part(m, "field"))), "_ids": ids})
 
 
 def sample_rules(framed: tuple[str, ...]) -> list[Rule]:
-    """The rules of a sample record whose sections are columns; records of the datasets in `framed` need the framework."""
+    """The rules of opened() sample records; records of the datasets in `framed` need the framework."""
     at = F.col
-    keys = F.map_keys(at("_top"))
-    levels, views, study = part(at("harmonisation"), "levels"), at("alignment"), at("study")
-    iso = part(at("perception"), "iso_12913")
-    items, derived = part(iso, "paq"), part(iso, "derived_coordinates")
-    item_keys, derived_keys = F.map_keys(members(items)), F.map_keys(members(derived))
-    told = F.transform(entries(at("missingness")), lambda m: plain(part(m, "field")))
+    keys, views, study = F.map_keys(at("_top")), at("alignment"), at("study")
+    item_keys, derived_keys, told, node_ids = at("_items_keys"), at("_derived_keys"), at("_told"), at("_ids")
+    derived = part(part(at("perception"), "iso_12913"), "derived_coordinates")
     graph, potential = at("knowledge_graph"), at("harmonisation_potential")
     nodes, edges, parts = part(graph, "nodes"), part(graph, "edges"), part(potential, "components")
-    node_ids = F.transform(F.filter(entries(nodes), is_object), lambda n: F.coalesce(plain(part(n, "id")), F.lit("null")))
     status = {"status": lambda x: one_of(part(x, "status"), LEVEL_STATUSES), "note": lambda x: given(part(x, "note"))}
 
     def ends(e: Column) -> Column:
@@ -173,9 +178,9 @@ def sample_rules(framed: tuple[str, ...]) -> list[Rule]:
         ("R02", ERROR, broken(~given(at("dataset_id")), "dataset_id")),
         ("R03", ERROR, broken(~given(at("sample_id")), "sample_id")),
         ("R04", ERROR, broken(~one_of(part(at("harmonisation"), "scope"), (SCOPE,)), "harmonisation.scope")),
-        ("R05", ERROR, lacking(LEVELS, F.map_keys(members(levels)))),
-        *by_key("R06", levels, status),
-        *by_name("R07", part(at("harmonisation"), "checklist"), "item", status),
+        ("R05", ERROR, lacking(LEVELS, at("_levels_keys"))),
+        *by_key("R06", at("_levels"), status),
+        *by_name("R07", entries(part(at("harmonisation"), "checklist")), "item", status),
         ("R08", ERROR, broken(~one_of(part(at("access"), "status"), ACCESS_STATUSES), "access.status")),
         ("R09", ERROR, broken(~one_of(part(study, "environment_type"), ENVIRONMENTS), "study.environment_type")),
         ("R10", ERROR, broken(~one_of(part(study, "setting"), SETTINGS), "study.setting")),
@@ -188,30 +193,30 @@ def sample_rules(framed: tuple[str, ...]) -> list[Rule]:
         ("R17", ERROR, broken(one_of(at("dataset_id"), framed) & ~one_of(part(at("perception"), "framework"), (FRAMEWORK,)), "perception.framework")),
         ("R18", ERROR, beyond(item_keys, ITEMS)),
         ("R19", WARNING, lacking(ITEMS, item_keys)),
-        *by_key("R20", items, {"value": lambda x: F.map_contains_key(members(x), "value"), "source": lambda x: F.map_contains_key(members(x), "original_field"), "type": lambda x: one_of(part(x, "value_type"), ITEM_TYPES)}),
-        ("R21", WARNING, each(F.map_entries(members(items)), lambda e: is_object(e["value"]) & (text(part(e["value"], "value")) == "null") & ~F.array_contains(told, F.concat(F.lit(ITEM_PATH), e["key"])), lambda e: e["key"])),
+        *by_key("R20", at("_items"), {"value": lambda x: F.map_contains_key(members(x), "value"), "source": lambda x: F.map_contains_key(members(x), "original_field"), "type": lambda x: one_of(part(x, "value_type"), ITEM_TYPES)}),
+        ("R21", WARNING, each(at("_items"), lambda e: is_object(e["value"]) & plain(part(e["value"], "value")).isNull() & ~F.array_contains(told, F.concat(F.lit(ITEM_PATH), e["key"])), lambda e: e["key"])),
         ("R22", ERROR, broken(F.arrays_overlap(item_keys, named(COORDINATES)), "paq")),
         ("R23", ERROR, F.array_sort(F.array_intersect(derived_keys, named(ITEMS)))),
         *[r for c in COORDINATES for r in coordinate(c)],
-        *by_name("R25", at("missingness"), "field", {"status": lambda x: one_of(part(x, "status"), MISSING_STATUSES)}),
-        *by_name("R26", at("provenance"), "source_type", {"source": lambda x: one_of(part(x, "source_type"), SOURCES), "note": lambda x: given(part(x, "note"))}),
+        *by_name("R25", at("_missing"), "field", {"status": lambda x: one_of(part(x, "status"), MISSING_STATUSES)}),
+        *by_name("R26", at("_sources"), "source_type", {"source": lambda x: one_of(part(x, "source_type"), SOURCES), "note": lambda x: given(part(x, "note"))}),
         ("R27", ERROR, broken(~given(at("provenance")), "provenance")),
         ("R28", ERROR, broken(~one_of(part(at("validation"), "status"), VALIDATION_STATUSES), "validation.status")),
         ("R29", ERROR, broken(unseen & ~F.arrays_overlap(told, named(("visual", "visual.asset"))), "visual")),
-        *[r for g in FEATURE_GROUPS for r in by_name("R30", part(at("features"), g), "name", {"method": lambda x: given(part(x, "method")) | given(part(x, "provenance"))})],
+        *[r for g in FEATURE_GROUPS for r in by_name("R30", entries(part(at("features"), g)), "name", {"method": lambda x: given(part(x, "method")) | given(part(x, "provenance"))})],
         ("R31_list", ERROR, broken(~is_list(nodes) | ~given(nodes), "nodes")),
-        *by_name("R31", nodes, "id", {"fields": lambda x: given(part(x, "id")) & given(part(x, "type")) & given(part(x, "label"))}),
+        *by_name("R31", at("_nodes"), "id", {"fields": lambda x: given(part(x, "id")) & given(part(x, "type")) & given(part(x, "label"))}),
         ("R32_list", ERROR, broken(~is_list(edges) | ~given(edges), "edges")),
-        *by_name("R32", edges, "target", {"ends": ends, "relation": lambda x: given(part(x, "relation"))}),
+        *by_name("R32", at("_edges"), "target", {"ends": ends, "relation": lambda x: given(part(x, "relation"))}),
         ("R33", ERROR, broken(~share(part(potential, "score")), "score")),
         ("R34_list", ERROR, broken(~is_list(parts) | ~given(parts), "components")),
-        *by_name("R34", parts, "name", {"score": lambda x: share(part(x, "score")), "status": lambda x: one_of(part(x, "status"), LEVEL_STATUSES)}),
+        *by_name("R34", at("_parts"), "name", {"score": lambda x: share(part(x, "score")), "status": lambda x: one_of(part(x, "status"), LEVEL_STATUSES)}),
         ("R42_keys", ERROR, beyond(keys, SECTIONS)),
-        ("R42_levels", ERROR, beyond(F.map_keys(members(levels)), LEVELS)),
+        ("R42_levels", ERROR, beyond(at("_levels_keys"), LEVELS)),
         ("R42_features", ERROR, beyond(F.map_keys(members(at("features"))), FEATURE_GROUPS)),
-        ("R42_node_type", ERROR, each(entries(nodes), lambda n: given(part(n, "type")) & ~one_of(part(n, "type"), NODE_TYPES), lambda n: plain(part(n, "type")))),
-        ("R42_relation", ERROR, each(entries(edges), lambda e: given(part(e, "relation")) & ~one_of(part(e, "relation"), RELATIONS), lambda e: plain(part(e, "relation")))),
-        ("R42_component", ERROR, each(entries(parts), lambda c: is_object(c) & ~(given(part(c, "name")) & given(part(c, "reason"))), lambda c: plain(part(c, "name")))),
+        ("R42_node_type", ERROR, each(at("_nodes"), lambda n: given(part(n, "type")) & ~one_of(part(n, "type"), NODE_TYPES), lambda n: plain(part(n, "type")))),
+        ("R42_relation", ERROR, each(at("_edges"), lambda e: given(part(e, "relation")) & ~one_of(part(e, "relation"), RELATIONS), lambda e: plain(part(e, "relation")))),
+        ("R42_component", ERROR, each(at("_parts"), lambda c: is_object(c) & ~(given(part(c, "name")) & given(part(c, "reason"))), lambda c: plain(part(c, "name")))),
     ]
     return rules
 
@@ -243,7 +248,7 @@ def sample_findings(docs: DataFrame, framed: tuple[str, ...] = ()) -> DataFrame:
     label = F.coalesce(*[F.when(given(F.col(c)), plain(F.col(c))) for c in ("sample_id", "dataset_id")], F.lit("<unknown>"))
     rules = [(r, s, F.when(sample, parts).otherwise(no_parts())) for r, s, parts in sample_rules(framed)]
     rules += [("JSON", ERROR, broken(~F.col("_whole"), "record")), ("R35", ERROR, broken(F.col("_whole") & ~sample, "record_type"))]
-    return exploded(cut.withColumn("record_id", label), rules)
+    return exploded(opened(cut.withColumn("record_id", label)), rules)
 
 
 def mapping_findings(docs: DataFrame) -> DataFrame:
