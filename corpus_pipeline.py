@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from earshot.llm import mixing, packing, pii, simhash, toxicity
-from earshot.llm.common import saved
+from earshot.llm.common import discard, saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; each result is written and read again before the next."""
+    """All stages in turn over documents; each result is written and read again before the next, which frees the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = saved(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, saved(stage(spark, docs, sf_dir))
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

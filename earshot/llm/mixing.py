@@ -71,7 +71,9 @@ def queued(docs: DataFrame, max_epochs: int, weights: tuple[int, ...], seed: int
     own = Window.partitionBy("source", "b").orderBy("u", "doc_id", "size")
     dealt = dealt.withColumn("copy", F.row_number().over(own)).withColumn("cum", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     placed = dealt.alias("d").join(starts.alias("s"), F.expr("d.source <=> s.source AND d.b = s.b"))
-    return saved(placed.select("d.doc_id", "d.source", "d.u", "d.size", "d.copy", "s.source_size", "s.target", (F.col("d.cum") + F.col("s.start")).alias("cum")))
+    line = saved(placed.select("d.doc_id", "d.source", "d.u", "d.size", "d.copy", "s.source_size", "s.target", (F.col("d.cum") + F.col("s.start")).alias("cum")))
+    discard(sized)
+    return line
 
 
 def finish_time(epoch: Column) -> Column:

@@ -190,6 +190,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     least = rooted.join(several, "group").groupBy("group").agg(F.min("rep").alias("least"))
     named = rooted.join(least, "group", "left").select("fp", "group", F.coalesce("least", "rep").alias("component_id"))
     discard(hot)
+    discard(classes)
     return fps.join(named, "fp").select("doc_id", "h", "fp", "group", "component_id")
 
 
