@@ -40,8 +40,35 @@ def canonical_items(df: DataFrame) -> dict[str, Column]:
 
 
 def six_digits(x: Column) -> Column:
-    """x as its six leading digits give it."""
-    return F.format_string("%.6g", x).cast("double")
+    """x as its six leading digits give it, halves by the exact value of the double (Java's %g rounds its shortest text).
+
+    x times a power of ten is rounded; where that product is a half, the error of the multiplication, found by splitting
+    both numbers in two, says on which side the exact product lies.
+    """
+    ten = lambda n: F.rint(F.pow(F.lit(10.0), n))
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  (computed once)
+
+    def halves(n: Column) -> Column:
+        """a (size), b (scale): the parts of both, and their product."""
+        high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+        return F.struct(n["a"].alias("a"), n["b"].alias("b"), high(n["a"]).alias("ah"), high(n["b"]).alias("bh"), (n["a"] * n["b"]).alias("p"))
+
+    def rounded(n: Column) -> Column:
+        down, al, bl = F.floor(n["p"]), n["a"] - n["ah"], n["b"] - n["bh"]
+        error = ((n["ah"] * n["bh"] - n["p"]) + n["ah"] * bl + al * n["bh"]) + al * bl
+        up = F.when(error > 0, down + 1.0).when(error < 0, down + 0.0).otherwise(F.rint(n["p"]))
+        return F.when(n["p"] - down == 0.5, up).otherwise(F.rint(n["p"])) / n["b"]
+
+    def scaled(a: Column, tens: Column) -> Column:
+        small = let(F.struct(a.alias("a"), ten(5 - tens).alias("b")), lambda n: let(halves(n), rounded))
+        return F.when(tens > 5, F.rint(a / ten(tens - 5)) * ten(tens - 5)).otherwise(small)
+
+    def placed(a: Column, guess: Column) -> Column:
+        tens = F.when(a >= F.pow(F.lit(10.0), guess + 1), guess + 1).when(a < F.pow(F.lit(10.0), guess), guess - 1).otherwise(guess)
+        return let(tens, lambda t: scaled(a, t))
+
+    sized = let(F.abs(x), lambda a: let(F.floor(F.log10(a)).cast("int"), lambda g: placed(a, g)))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * sized)
 
 
 def label_column(label: str) -> str:
