@@ -83,7 +83,7 @@ class Voters:
         rng = np.random.default_rng(seed)
         basis = np.linalg.qr(x @ (x.T @ (x @ rng.normal(size=(x.shape[1], rank + 10)).astype(np.float32))))[0]
         self.axes = np.linalg.svd(basis.T @ x, full_matrices=False)[2][:rank].T.astype(np.float64)
-        self.vectors = unit(x.astype(np.float64) @ self.axes)
+        self.vectors = unit(np.concatenate([x[i : i + BLOCK].astype(np.float64) @ self.axes for i in range(0, len(x), BLOCK)]))
 
     def latent(self, texts: list[str | None]) -> np.ndarray:
         """Unit vectors of texts in the latent space."""
