@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import brown, forest, mixing, neighbours, packing, pii, simhash, suffixes, tiff, toxicity
+from earshot.llm import brown, filters, forest, mixing, negatives, neighbours, packing, pii, prefix_bpe, simhash, suffixes, tiff, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_toxicity, op4_brown_classes, op5_projection_forest, op6_simhash, op7_tiff, op8_quality, op9_pii, op10_mixing)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.digest(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_toxicity, op4_brown_classes, op5_projection_forest, op6_simhash, op7_tiff, op8_quality, op9_pii, op10_mixing,
+                                   op11_hard_negatives, op12_filter_audit, op13_prefix_bpe)}
 
 ORACLE_SQL = {
     "op10_mixing": r"""
@@ -80,6 +93,45 @@ line AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, u, doc_id
 SELECT doc_id, size, source_size::BIGINT AS source_size, target::DOUBLE AS target,
        (size * count(*) FILTER (WHERE taken))::BIGINT AS taken
 FROM line GROUP BY doc_id, source, u, size, source_size, target, copy
+""",
+    "op11_hard_negatives": """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS same, list_dot_product(a.q, e.q)::BIGINT AS score
+  FROM e a, e WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+""",
+    "op12_filter_audit": r"""
+WITH plain AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+split AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY body) AS first FROM plain),
+said AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_filter([
+    CASE WHEN len(words) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) THEN 'C' END,
+    CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM split LEFT JOIN said USING (doc_id)),
+counted AS (SELECT part, good, toxic, fails, count(*) AS n FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, s.step, o[s.step] AS f, o[1:s.step - 1] AS before FROM orders, (SELECT unnest(range(1, 6)) AS step) s),
+marked AS (SELECT c.*, s.*, list_has_any(fails, before) AS gone, list_contains(fails, f) AS bad FROM counted c, steps s),
+report AS (
+  SELECT part, array_to_string(o, '') AS filter_order, step::INT AS step, f, sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN gone AND bad THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails = [f] THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN NOT gone AND bad AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN NOT gone AND bad AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM marked GROUP BY part, o, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM report
 """,
 }
 
