@@ -4,10 +4,13 @@ Pieces (documents, or parts of those longer than a sequence) are dealt into part
 its own by best-fit decreasing and bounds its bin count from below by dual-feasible functions. While the sum of the
 bin counts is above the bound of the whole, partitions exchange pieces: those whose count is above their bound, or
 that have a bin's worth of room left, give those of their emptiest bins, certified others only those of the emptiest
-one. Groups of partitions pack these again, then groups of groups, up to one; then all partitions look again. Where a
-turn gains nothing, as bounds of many partitions are each rounded up, all give like those that are not certified, until
-the bound is met or that gains nothing either. A new packing replaces the old one where it has fewer bins, or bins that leave
-more of their room in one place.
+one. Groups of partitions pack these again, then groups of groups, up to one; then all partitions look again, and give
+like those that are not certified, as bounds of many partitions are each rounded up. Turns end when the bound is met or
+when one closes less than a tenth of the gap: their number is logarithmic in the gap. A new packing replaces the old one
+where it has fewer bins, or bins that leave more of their room in one place.
+
+A bin is known by its partition and its number there. Every packing is written once; what moves on is read from it by its
+bins, and only pieces of open bins are packed and written again.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm.common import discard, saved, small_batches
@@ -34,8 +37,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
 PACKED = PIECES + ", uid long, part long, bin long, offset long, open boolean, part_bins long, part_bound long"
 PACKED_NAMES = [c.split()[0] for c in PACKED.split(", ")]
-#: Partition numbers of one level of exchange, and bin numbers of a partition.
-LEVEL, BINS = 1 << 30, 1 << 20
+#: Partition numbers of one level of exchange, and bin numbers of a partition: more than the pieces of a group.
+LEVEL, BINS = 1 << 30, 1 << 24
+#: Rounding functions u^(1), u^(2), ... that bounds try.
+ROUNDINGS = 12
+#: A turn that closes a smaller share of the gap to the bound than one in this many is the last.
+SHARE = 10
 
 
 @lru_cache(maxsize=2)
@@ -85,22 +92,23 @@ def tokenized(docs: DataFrame, limit: int = SEQUENCE, ranks_path: str | None = N
 def lower_bound(counts: np.ndarray, limit: int) -> int:
     """Bins that any packing of counts[length] pieces of each length needs, by dual-feasible functions.
 
-    The identity, the threshold functions (long pieces count whole, short ones nothing) and the rounding functions
-    of Fekete and Schepers, each an integer sum.
+    The threshold functions (long pieces count whole, short ones nothing; the first leaves all as they are), each by
+    itself and followed by the rounding functions of Fekete and Schepers, as integer sums.
     """
     lengths = np.arange(len(counts), dtype=np.int64)
     have = np.flatnonzero(counts)
     if not len(have):
         return 0
     n, x = counts[have].astype(np.int64), lengths[have]
-    best = -(-int((n * x).sum()) // limit)
-    for eps in x[x <= limit // 2]:  # pieces above limit - eps fill a bin, those below eps count nothing
-        size = np.where(x > limit - eps, limit, np.where(x < eps, 0, x))
-        best = max(best, -(-int((n * size).sum()) // limit))
-    for k in range(1, 33):  # u^(k): x (k+1) / limit rounded down to 1/k, exact multiples left as they are
-        scaled = x * (k + 1)
-        num = np.where(scaled % limit == 0, x * k, (scaled // limit) * limit)  # of k * limit
-        best = max(best, -(-int((n * num).sum()) // (k * limit)))
+    thresholds, best = np.r_[0, x[x <= limit // 2]], 0
+    for at in range(0, len(thresholds), 256):
+        eps = thresholds[at : at + 256, None]
+        size = np.where(x > limit - eps, limit, np.where(x < eps, 0, x))  # a row for each threshold
+        best = max(best, -(-int((size @ n).max()) // limit))
+        for k in range(1, ROUNDINGS + 1):  # u^(k): x (k+1) / limit rounded down to 1/k, exact multiples left as they are
+            scaled = size * (k + 1)
+            num = np.where(scaled % limit == 0, size * k, (scaled // limit) * limit)  # of k * limit
+            best = max(best, -(-int((num @ n).max()) // (k * limit)))
     return best
 
 
@@ -141,11 +149,10 @@ def emptiest(bins: np.ndarray, fill: np.ndarray, limit: int, give: int, certifie
 
 @dataclass(frozen=True)
 class Exchange:
-    """The size of a bin, the most pieces that a partition gives, and whether certified ones give like all others."""
+    """The size of a bin and the most pieces that a partition gives."""
 
     limit: int
     give: int
-    all_give: bool = False
 
 
 def with_places(rows: pa.Table, part: int, bins: np.ndarray, offsets: np.ndarray, how: Exchange) -> pa.Table:
@@ -153,10 +160,12 @@ def with_places(rows: pa.Table, part: int, bins: np.ndarray, offsets: np.ndarray
     limit = how.limit
     lengths = rows.column("length").to_numpy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
+    if len(fill) > BINS or len(fill) and fill.max() > limit:
+        raise ValueError(f"partition {part}: {len(fill)} bins, the fullest of {fill.max()}")
     bound = lower_bound(np.bincount(lengths, minlength=limit + 1), limit)
     same = lambda x: np.full(len(rows), x, np.int64)
     certified = len(fill) <= bound and len(fill) * limit - fill.sum() < limit
-    loose = emptiest(bins, fill, limit, how.give, certified and not how.all_give)
+    loose = emptiest(bins, fill, limit, how.give, certified)
     columns = [*(rows.column(c) for c in (*NAMES, "uid")), *map(pa.array, (same(part), bins, offsets, loose, same(len(fill)), same(bound)))]
     return pa.table(columns, names=PACKED_NAMES)
 
@@ -169,7 +178,9 @@ def pack_group(rows: pa.Table, part: int, how: Exchange) -> pa.Table:
 
 def numbered_bins(rows: pa.Table) -> np.ndarray:
     """The bins of rows of several partitions, from 0."""
-    return np.unique(rows.column("part").to_numpy() * BINS + rows.column("bin").to_numpy(), return_inverse=True)[1].ravel()
+    parts = np.unique(rows.column("part").to_numpy(), return_inverse=True)[1].ravel()
+    bins = np.unique(rows.column("bin").to_numpy(), return_inverse=True)[1].ravel()
+    return np.unique(parts * (bins.max(initial=0) + 1) + bins, return_inverse=True)[1].ravel()
 
 
 def repack_group(rows: pa.Table, part: int, how: Exchange) -> pa.Table:
@@ -183,11 +194,6 @@ def repack_group(rows: pa.Table, part: int, how: Exchange) -> pa.Table:
     return with_places(rows, part, bins, rows.column("offset").to_numpy(), how)
 
 
-def reopened(rows: pa.Table, part: int, how: Exchange) -> pa.Table:
-    """A partition as it is, with what is open now."""
-    return with_places(rows, part, numbered_bins(rows), rows.column("offset").to_numpy(), how)
-
-
 def by_part(rows: DataFrame, column: str, work, how: Exchange) -> DataFrame:
     return rows.groupBy(column).applyInArrow(lambda key, group: work(group, key[0].as_py(), how), PACKED)
 
@@ -196,14 +202,32 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def open_bins(packed: DataFrame, how: Exchange) -> DataFrame:
+    """part and bin of each partition's emptiest bins, of up to how.give pieces together, or of the emptiest one."""
+    bins = packed.groupBy("part", "bin").agg(F.sum("length").alias("fill"), F.count("*").alias("n")).filter(F.col("fill") < how.limit)
+    order = Window.partitionBy("part").orderBy("fill", "bin")
+    placed = bins.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
+    return placed.filter((F.col("upto") <= how.give) | (F.col("place") == 1)).select("part", "bin")
+
+
+def grouped_parts(loose: DataFrame, turn: int) -> tuple[DataFrame, int]:
+    """loose with g, groups of FAN_IN of its partitions dealt by hash, and their number."""
+    parts = loose.select("part").distinct()
+    place = F.row_number().over(Window.orderBy(F.xxhash64("part", F.lit(turn)), "part")) - 1  # a row for each partition
+    numbered = saved(parts.select("part", F.floor(place / FAN_IN).alias("g")))
+    return loose.join(numbered, "part"), -(-numbered.count() // FAN_IN)
+
+
 def pack(pieces: DataFrame, limit: int = SEQUENCE, part_pieces: int = PART_PIECES) -> DataFrame:
     """PIECES with sequence_id (any distinct numbers) and offset, gapless from 0 in each sequence.
 
     An empty table gives an empty table; pieces of equal length are taken by doc_id and piece; repeated rows are
-    pieces of their own, and dealt out like any others. Lengths must be 1 to limit. `certified`: the sequence's
-    partition meets its own bound; `bins_above_bound`: sequences of the whole beyond its bound, 0 where the bound
+    pieces of their own, and dealt out like any others. Lengths must be 1 to limit. `certified`: the partition that packed
+    the sequence met its own bound; `bins_above_bound`: sequences of the whole beyond its bound, 0 where the bound
     certifies them.
     """
+    if FAN_IN * GIVE * part_pieces >= BINS:
+        raise ValueError(f"a group of partitions of {part_pieces} pieces may need more than {BINS} bins")
     spark = pieces.sparkSession
     pieces = saved(pieces.select(NAMES).withColumn("uid", F.monotonically_increasing_id()))
     counts = np.zeros(limit + 1, np.int64)  # of each length
@@ -214,36 +238,30 @@ def pack(pieces: DataFrame, limit: int = SEQUENCE, part_pieces: int = PART_PIECE
     tasks = max(spark.sparkContext.defaultParallelism, parts // 8)
     keyed = pieces.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)))
     packed = saved(by_part(keyed.repartition(tasks, "part"), "part", pack_group, how))
+    discard(pieces)
     bins_of = lambda df: df.select("part", "bin").distinct().count()
-    have, level, turn = bins_of(packed), 0, 0
+    have, level, turn, settled = bins_of(packed), 0, 0, [packed]
+    loose, closed = packed.filter("open"), [packed.filter("NOT open")]
     while parts > 1 and have > need:
-        before, closed, old = have, [], [packed]
-        groups, turn = -(-parts // FAN_IN), turn + 1
-        group, loose = F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(groups)), packed
+        before, turn, settled = have, turn + 1, closed
         while True:
             level += 1
-            closed.append(loose.filter("NOT open"))
-            moving = loose.filter("open")
-            was = bins_of(moving)
-            loose = saved(by_part(moving.withColumn("g", group + level * LEVEL), "g", repack_group, how))
-            old.append(loose)
-            have += bins_of(loose) - was
-            if groups == 1 or have <= need:
+            moving, groups = grouped_parts(loose, level)
+            was = bins_of(loose)
+            packed = saved(by_part(moving.withColumn("g", F.col("g") + level * LEVEL), "g", repack_group, how))
+            have += bins_of(packed) - was
+            if groups <= 1 or have <= need:
+                settled = [*settled, packed]
                 break
-            groups = -(-groups // FAN_IN)
-            group = F.floor(F.pmod(F.col("part"), F.lit(LEVEL)) / FAN_IN).cast("long")
-        packed = saved(union([*closed, loose]))
-        for df in old:
-            discard(df)
-        if have <= need or (have == before and how.all_give):
+            settled = [*settled, packed.filter("NOT open")]
+            loose = packed.filter("open")
+        if have <= need or (turn > 1 and (before - have) * SHARE < before - need):
             break
-        how = Exchange(limit, how.give, have == before)
-        parts = packed.select("part").distinct().count()
-        packed, old = saved(by_part(packed, "part", reopened, how)), packed
-        discard(old)
-    discard(pieces)
+        opened = saved(open_bins(union(settled), how))
+        closed = [df.join(opened, ["part", "bin"], "left_anti") for df in settled]
+        loose = union([df.join(opened, ["part", "bin"], "left_semi") for df in settled])
     number = F.col("part") * F.lit(BINS) + F.col("bin")
-    return packed.select(*NAMES, number.alias("sequence_id"), "offset", (F.col("part_bins") <= F.col("part_bound")).alias("certified"), F.lit(int(have - need)).cast("long").alias("bins_above_bound"))
+    return union(settled).select(*NAMES, number.alias("sequence_id"), "offset", (F.col("part_bins") <= F.col("part_bound")).alias("certified"), F.lit(int(have - need)).cast("long").alias("bins_above_bound"))
 
 
 def pack_documents(docs: DataFrame, limit: int = SEQUENCE, ranks_path: str | None = None, part_pieces: int = PART_PIECES) -> DataFrame:

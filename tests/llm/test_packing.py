@@ -102,3 +102,31 @@ def test_documents_of_every_kind(spark):
     assert sorted(map(str, {r.doc_id for r in got})) == ["1", "2", "3", "4", "None"] and [r.length for r in got if r.doc_id in (1, 2)] == [1, 1]
     assert sum(r.length for r in got if r.doc_id == 3) == 2 * 5002 and sum(r.doc_id is None for r in got) == 2
     assert packing.pack_documents(docs.limit(0)).collect() == []
+
+
+def test_bins_of_many_partitions_stay_apart(spark, monkeypatch):
+    """Most pieces over half a sequence, so that a group has nearly as many bins as pieces, over several levels of groups;
+    the bin numbers leave as little room as the check of sizes allows."""
+    monkeypatch.setattr(packing, "BINS", packing.FAN_IN * packing.GIVE * 20 + 1)
+    rng = np.random.default_rng(8)
+    lengths = np.where(rng.random(192 * 20) < 0.005, 600, 1500)
+    rows = packing.pack(pieces_of(spark, lengths), part_pieces=20).collect()
+    assert len(rows) == len(lengths) and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    bound = packing.lower_bound(np.bincount(lengths, minlength=2049), 2048)
+    assert fits(rows, 2048) - bound == rows[0].bins_above_bound >= 0
+    with pytest.raises(ValueError):
+        packing.pack(pieces_of(spark, lengths), part_pieces=30)
+
+
+def test_a_group_larger_than_a_sequence_number_allows(spark):
+    """One group of 1.3 million pieces that all need bins of their own: numbers of one partition never meet another's."""
+    rows = packing.pa.table({c: np.zeros(1_300_000, np.int64) for c in packing.NAMES} | {"length": np.full(1_300_000, 1500), "uid": np.arange(1_300_000), "part": np.arange(1_300_000) // 170_000, "bin": np.arange(1_300_000) % 170_000, "offset": np.zeros(1_300_000, np.int64)})
+    out = packing.repack_group(rows, 5, packing.Exchange(2048, 160_000))
+    bins = out.column("bin").to_numpy()
+    assert len(np.unique(bins)) == 1_300_000 and bins.max() < packing.BINS
+
+
+def test_overfull_bins_are_an_error():
+    rows = packing.pa.table({c: np.zeros(3, np.int64) for c in packing.NAMES} | {"length": np.full(3, 1500), "uid": np.arange(3)})
+    with pytest.raises(ValueError):
+        packing.with_places(rows, 0, np.array([0, 0, 1]), np.array([0, 1500, 0]), packing.Exchange(2048, 10))
