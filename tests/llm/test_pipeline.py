@@ -128,6 +128,28 @@ def test_mix_counts_equal_brute_force(spark):
     assert all(abs(got[i]["target"] - target[s]) < 1e-6 for i, _, s in rows)
 
 
+def test_rows_of_one_id_and_text_are_spread(spark):
+    """Null ids, one text in most rows, empty texts: every range of the queues gets its share, sums stay right."""
+    rows = [(None, "a b c", "s")] * 3000 + [(None, None, "s")] * 500 + [(7, "x " * (i % 5), "t") for i in range(300)] + [(i, "y y", None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    sized = mixing.sized_rows(docs.select(mixing.F.monotonically_increasing_id().alias("row"), "*"), 0)
+    dealt = sized.repartitionByRange(4, "source", *mixing.ORDER).groupBy(mixing.F.spark_partition_id()).count().collect()
+    assert len(dealt) == 4 and max(r["count"] for r in dealt) < 0.4 * len(rows)
+    _, target = brute_mix(rows)
+    taken, _ = brute_mix(rows)
+    by_key: dict = {}
+    for r, n in zip(rows, taken):
+        key = (str(r[0]), r[2], len((r[1] or "").split()))
+        by_key[key] = by_key.get(key, 0) + n
+    got: dict = {}
+    for r in mixing.mix_counts(docs).collect():
+        key = (str(r.doc_id), r.source, r.size)
+        got[key] = got.get(key, 0) + r.times
+        assert abs(r.target - target[r.source]) < 1e-6
+    assert {k: n for k, n in got.items() if k[2]} == {k: n for k, n in by_key.items() if k[2]}
+    assert mixing.mix(docs).filter("text IS NOT NULL").count() == sum(n for (*_, n) in [(k, v) for k, v in got.items() if k != ("None", "s", 0)])
+
+
 def test_empty_tables_and_clashing_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
