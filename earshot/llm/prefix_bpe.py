@@ -17,6 +17,7 @@ from functools import lru_cache
 from hashlib import sha256
 from itertools import chain, islice
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from earshot.llm.common import small_batches
 
-#: Pieces that one task remembers with their tokens, the longest of them, and pieces of a text handled at once.
-CACHED, CACHED_CHARS, AT_ONCE = 200_000, 64, 200_000
+#: Pieces that one task remembers with their tokens (twice), the longest of them, and pieces of a text handled at once.
+CACHED, CACHED_CHARS, AT_ONCE = 150_000, 64, 200_000
+#: Pairs of tokens that a task remembers to stay apart or not.
+PAIRS = 1_000_000
 #: White space as the pattern means it: the separators U+001C to U+001F are none.
 SPACE = r"\p{White_Space}"
 
@@ -40,14 +43,17 @@ class Vocabulary:
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", SPACE))
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.usable, self.starts = {}, set()  # tokens that merges can give, and what they start with
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
+        self.usable: dict[bytes, int] = {}  # tokens that merges can give
+        self.places = ahocorasick.Automaton()
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
         for raw, rank in sorted(ranks.items(), key=lambda x: x[1]):
-            if len(raw) > 1 and not self._merge(raw, rank):
-                continue
-            self.usable[raw] = rank
-            self.starts.update(raw[:k] for k in range(1, len(raw)))
+            if len(raw) == 1 or self._merge(raw, rank):
+                self.usable[raw] = rank
+                self.places.add_word(raw.decode("latin-1"), (len(raw), rank))
+        self.places.make_automaton()
 
     def _merge(self, raw: bytes, rank: int) -> bool:
         """Note the two tokens that a token is merged from; False where merges never give it."""
@@ -75,44 +81,65 @@ class Vocabulary:
             else:
                 return True
 
-    def extend(self, raw: bytes, last: array, begin: int, stop_when=None) -> None:
-        """Fill last[i], the last token of raw[:i], for i after begin; what is before is there. stop_when(i) ends early."""
-        usable, starts, pairs = self.usable, self.starts, self.pairs
-        for at in range(max(0, begin - self.longest + 1), len(raw)):
-            before = last[at]
-            if before < 0 and at:
-                raise ValueError(f"no token ends at byte {at}")
-            for end in range(at + 1, min(len(raw), at + self.longest) + 1):
-                part = raw[at:end]
-                token = usable.get(part)
-                if token is not None and last[end] < 0:
-                    fits = not at or pairs.get((before, token))
-                    if fits is None:
-                        fits = pairs[before, token] = self.apart(before, token)
-                        if len(pairs) > 2_000_000:
-                            pairs.clear()
-                    if fits:
-                        last[end] = token
-                if part not in starts:
-                    break
-            if stop_when and at > begin and stop_when(at):
+    def extend(self, raw: bytes, last, begin: int, stop_when=None) -> None:
+        """Fill last[i], the last token of raw[:i], for i after begin; what is before is there. stop_when(i) ends early.
+
+        All places where tokens lie come from one walk through an automaton, by their ends, the longest first.
+        """
+        known, parted, settled = self.pairs, self.apart, begin
+        first = max(0, begin - self.longest + 1)
+        for at, (size, token) in self.places.iter(raw[first:].decode("latin-1")):
+            end = first + at + 1
+            if last[end] >= 0:
+                continue
+            if end > settled + 1:
+                raise ValueError(f"no token ends at byte {settled + 1}")
+            if end > size:
+                before = last[end - size]
+                pair = before << 20 | token
+                fits = known.get(pair)
+                if fits is None:
+                    if len(known) >= PAIRS:
+                        known.clear()
+                    fits = known[pair] = parted(before, token)
+                if not fits:
+                    continue
+            last[end], settled = token, end
+            if stop_when and stop_when(end):
                 return
-        if len(raw) and last[len(raw)] < 0:
-            raise ValueError(f"no token ends at byte {len(raw)}")
+        if settled < len(raw):
+            raise ValueError(f"no token ends at byte {settled + 1}")
 
     def of_piece(self, piece: str) -> tuple[int, ...]:
         """The tokens of one match of the pattern; a match that is a token by itself is that token."""
         found = self.known.get(piece)
         if found is None:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            found = (whole,) if whole is not None else tuple(Prefixes(self, raw).ids())
+            found = self.before.get(piece)
+            if found is None:
+                raw = piece.encode()
+                whole = self.ranks.get(raw)
+                if whole is not None:
+                    found = (whole,)
+                else:
+                    last = [-1] * (len(raw) + 1) if len(raw) < 1000 else array("i", [-1]) * (len(raw) + 1)
+                    self.extend(raw, last, 0)
+                    found = tuple(self.walked(last))
             if len(piece) <= CACHED_CHARS:
-                if len(self.known) >= CACHED:
-                    self.known.clear()
+                if len(self.known) >= CACHED:  # what was not asked for since the last time goes
+                    self.before, self.known = self.known, {}
                 self.known[piece] = found
         return found
 
+    def walked(self, last) -> list[int]:
+        """The tokens of a table of prefixes, from its end back."""
+        at, out, sizes = len(last) - 1, [], self.sizes
+        while at:
+            token = last[at]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return out
+
     def blocks(self, text: str) -> Iterator[list[int]]:
         """The tokens of a text, a bounded number of pieces at a time."""
         if len(text) <= AT_ONCE:
@@ -152,19 +179,15 @@ class Prefixes:
             if alike < self.vocabulary.longest:
                 return False
             self.last[at + 1 :] = old[at - shift + 1 :]
-            stop.at = at
+            done.append(at)
             return True
 
-        stop.at = len(self.raw)
+        done: list[int] = []
         self.vocabulary.extend(self.raw, self.last, start, stop)
-        return stop.at - start
+        return (done or [len(self.raw)])[0] - start
 
     def ids(self) -> list[int]:
-        at, out = len(self.raw), []
-        while at:
-            out.append(self.last[at])
-            at -= len(self.vocabulary.bytes[self.last[at]])
-        return out[::-1]
+        return self.vocabulary.walked(self.last)
 
 
 class Encoded:
