@@ -21,18 +21,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.common import discard, saved, small_batches
+from earshot.llm.common import saved, small_batches
 
 #: Text of a shard (one document more may pass it) and of a stretch that is split into words at once.
 SHARD_BYTES, STRETCH = 4 << 20, 1 << 20
-#: Words that are numbered in one sort, and the most words that are broadcast because very many shards hold them.
-BUCKET_WORDS, HOT_WORDS, HOT_SHARDS = 1_000_000, 50_000, 10_000
+#: Rows (shard, word) that are numbered in one sort.
+BUCKET_WORDS = 1_000_000
+#: Shards that are looked through for words which many hold, in how many of them a word must be, and how many words at most.
+SAMPLED, HOT_SHARDS, HOT_WORDS = 32, 8, 50_000
 
 FILTERS = "ABCDE"
 A, B, C, D, E = (1 << i for i in range(5))
 # The signs that filter D looks for.
 SIGNS = b"#$%&*|"
-_SIGN = np.isin(np.arange(256), np.frombuffer(SIGNS, np.uint8))
 _SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 
 DOC = "struct<doc_id: long, part: string, flags: int, hash: binary>"
@@ -46,7 +47,7 @@ def sign_flags(raw: bytes) -> int:
     """The filters C and D that a text fails, from its UTF-8 bytes."""
     x = np.frombuffer(raw, np.uint8)
     upper, points = np.count_nonzero(x - np.uint8(65) < 26), np.count_nonzero(x & 0xC0 != 0x80)
-    return C * (100 * upper > 2 * points) + D * bool(_SIGN[x].any())
+    return C * (100 * upper > 2 * points) + D * any(sign in raw for sign in SIGNS)
 
 
 def stretches(raw: bytes) -> Iterator[bytes]:
@@ -59,39 +60,36 @@ def stretches(raw: bytes) -> Iterator[bytes]:
         at = end
 
 
+class Numbers(dict):
+    """Words under numbers in the order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Shard:
-    """Documents and their words under numbers in the order of first use."""
+    """Documents, their rows of a matrix, and its columns: words under the shard's own numbers."""
 
     def __init__(self):
-        self.docs, self.known, self.size, self.pending, self.sizes, self.codes, self.lengths = [], {}, 0, [], 0, [], []
+        self.docs, self.known, self.size, self.indices, self.counts, self.lengths = [], Numbers(), 0, [], [], []
 
     def add(self, doc_id, part: str, raw: bytes) -> None:
         self.docs.append((doc_id, part, sign_flags(raw), hashlib.sha256(raw).digest()))
-        self.lengths.append(0)
         self.size += len(raw)
-        for stretch in stretches(raw):
-            words = stretch.split()  # of bytes: at the six separators alone
-            self.lengths[-1] += len(words)
-            self.pending += words
-            self.sizes += len(stretch)
-            if self.sizes >= STRETCH:
-                self.encode()
-
-    def encode(self) -> None:
-        found = pa.array(self.pending, pa.binary()).dictionary_encode()
-        numbers = np.fromiter((self.known.setdefault(w, len(self.known)) for w in found.dictionary.to_pylist()), np.int64, len(found.dictionary))
-        self.codes.append(numbers[found.indices.to_numpy()])
-        self.pending, self.sizes = [], 0
+        # words of bytes: split() cuts them at the six separators alone
+        codes = [np.fromiter(map(self.known.__getitem__, stretch.split()), np.int32) for stretch in stretches(raw)]
+        indices, counts = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int32), return_counts=True)
+        self.indices.append(indices)
+        self.counts.append(counts.astype(np.int32))
+        self.lengths.append(len(indices))
 
     def batch(self, shard: int) -> pa.RecordBatch:
-        self.encode()
-        row, width = np.repeat(np.arange(len(self.docs)), self.lengths), max(len(self.known), 1)
-        cells, counts = np.unique(row * width + np.concatenate(self.codes), return_counts=True)
-        indptr = np.searchsorted(cells, np.arange(len(self.docs) + 1) * width)
-        one = lambda x, kind: pa.array([x], pa.list_(kind))
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         docs = pa.array([[dict(zip(("doc_id", "part", "flags", "hash"), d)) for d in self.docs]], _DOC)
-        words = pa.ListArray.from_arrays(pa.array([0, len(self.known)], pa.int32()), pa.array(list(self.known), pa.binary()).cast(pa.string()))
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), docs, words, *(one(x, pa.int32()) for x in (indptr, cells % width, counts))], names=["shard", "docs", "words", "indptr", "indices", "counts"])
+        words = one(pa.array(list(self.known), pa.binary()).cast(pa.string()))
+        numbers = (np.cumsum([0, *self.lengths]), np.concatenate(self.indices), np.concatenate(self.counts))
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), docs, words, *(one(pa.array(x.astype(np.int32))) for x in numbers)], names=["shard", "docs", "words", "indptr", "indices", "counts"])
 
 
 def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -112,47 +110,49 @@ def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return docs.mapInArrow(run, LOCAL)
 
 
-def dictionary_of(shards: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
-    """word, shards (how many hold it) and term: numbers from 0 without gaps. Words are dealt into buckets by hash, sorted
-    in each, and counts of buckets say where each begins."""
-    words = saved(shards.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("shards")))
-    buckets = words.count() // bucket_words + 1
-    dealt = words.withColumn("b", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    starts = dealt.groupBy("b").agg(F.count("*").alias("n")).select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("b").orderBy("word")) - 1
-    out = saved(dealt.withColumn("place", place).join(starts, "b").select("word", "shards", (F.col("start") + F.col("place")).alias("term")))
-    discard(words)
-    return out
-
-
 def hot_limit(places: int, hot_words: int = HOT_WORDS, hot_shards: int = HOT_SHARDS) -> int:
     """In how many shards a word is hot: of `places` (shard, word) pairs, no more than hot_words words can be in more."""
     return max(hot_shards, places // hot_words)
 
 
+def hot_words_of(shards: DataFrame, hot_words: int, hot_shards: int) -> DataFrame:
+    """word and term (from 0) of the words that many of a few shards hold, at most hot_words, for a broadcast."""
+    some = [r["shard"] for r in shards.select("shard").orderBy(F.xxhash64("shard")).limit(SAMPLED).collect()]
+    seen = shards.filter(F.col("shard").isin(some))
+    limit = hot_limit(seen.agg(F.sum(F.size("words"))).first()[0] or 0, hot_words, hot_shards)
+    found = seen.select(F.explode("words").alias("word")).groupBy("word").count().filter(F.col("count") > limit).select("word").collect()
+    return shards.sparkSession.createDataFrame([(w, i) for i, w in enumerate(sorted(r["word"] for r in found))], "word string, term long")
+
+
 def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_words: int = BUCKET_WORDS, hot_words: int = HOT_WORDS, hot_shards: int = HOT_SHARDS) -> tuple[DataFrame, DataFrame]:
     """(dictionary(word, shards, term), CSR shards) of docs(doc_id, part, text).
 
-    Row i of a shard holds the entries indptr[i] to indptr[i + 1] of terms and counts. Each shard's words are joined to the
-    dictionary; those in more shards than hot_limit() are at most hot_words many, and broadcast, so that no other word has
-    more than that many rows in the join.
+    Row i of a shard holds the entries indptr[i] to indptr[i + 1] of terms and counts; terms are numbers from 0 without
+    gaps. Words that very many shards hold are found in a sample of shards and numbered by a broadcast of bounded size. All
+    others go to buckets by hash, where a sort numbers each word as it numbers the rows that ask for it; numbers of
+    buckets follow one another. The dictionary is computed when it is used.
     """
     shards = saved(shards_of(docs, shard_bytes))
-    dictionary = dictionary_of(shards, bucket_words)
-    limit = hot_limit(dictionary.agg(F.sum("shards")).first()[0] or 0, hot_words, hot_shards)
-    places = shards.select("shard", F.posexplode("words").alias("pos", "word"))
-    hot = F.broadcast(dictionary.filter(F.col("shards") > limit).select("word", "term"))
-    cold = dictionary.filter(F.col("shards") <= limit).select("word", "term")
-    told = places.join(hot, "word").unionByName(places.join(hot, "word", "left_anti").join(cold, "word"))
-    terms = saved(told.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms")))
+    hot = hot_words_of(shards, hot_words, hot_shards)
+    buckets = (shards.agg(F.sum(F.size("words"))).first()[0] or 0) // bucket_words + 1
+    places = shards.select("shard", F.posexplode("words").alias("pos", "word")).join(F.broadcast(hot), "word", "left")
+    cold = places.filter("term IS NULL").select("shard", "pos", "word", F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("b"))
+    ranked = cold.withColumn("rank", F.dense_rank().over(Window.partitionBy("b").orderBy("word")))
+    told = saved(ranked.select("shard", "pos", "b", "rank"))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    starts = told.groupBy("b").agg(F.max("rank").alias("n")).select("b", (F.coalesce(F.sum("n").over(before), F.lit(0)) + hot.count() - 1).alias("start"))
+    number = (F.col("start") + F.col("rank")).alias("term")
+    terms = told.join(starts, "b").select("shard", "pos", number).unionByName(places.filter("term IS NOT NULL").select("shard", "pos", "term"))
+    words = ranked.join(starts, "b").select("word", number).unionByName(places.filter("term IS NOT NULL").select("word", "term"))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        own = right.column("terms")[0].values.to_numpy() if len(right) else np.zeros(0, np.int64)
+        own = np.zeros(len(right), np.int64)
+        own[right.column("pos").to_numpy()] = right.column("term").to_numpy()
         ids = own[left.column("indices")[0].values.to_numpy()]
         return pa.table([*(left.column(c) for c in ("shard", "docs", "indptr")), pa.array([ids], pa.list_(pa.int64())), left.column("counts")], names=["shard", "docs", "indptr", "terms", "counts"])
 
-    return dictionary, shards.drop("words").groupBy("shard").cogroup(terms.groupBy("shard")).applyInArrow(run, CSR)
+    matrix = shards.drop("words").groupBy("shard").cogroup(terms.groupBy("shard")).applyInArrow(run, CSR)
+    return words.groupBy("word", "term").agg(F.count("*").alias("shards")), matrix
 
 
 def row_sums(matrix: DataFrame) -> DataFrame:
