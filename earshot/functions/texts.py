@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 #: Cells that count as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+_DIGITS = "[0-9](?:_?[0-9])*"
+#: How a number may be spelled: decimal, with an exponent, single underscores between digits; or infinite.
+SPELLED = rf"^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf(?:inity)?))$"
+#: White space at a cell's ends.
+SPACES = " \t\n\x0b\x0c\r"
 #: Units of a size text.
 UNITS = {"B": 1, "KB": 10**3, "MB": 10**6, "GB": 10**9}
 
@@ -24,9 +29,9 @@ def present(x: Column) -> Column:
 
 
 def number(x: Column) -> Column:
-    """The double that a cell spells; null for anything else, and for NaN."""
-    found = F.trim(x).try_cast("double")
-    return F.when(~F.isnan(found), found)
+    """The double that a cell spells; null for anything else, and for NaN. Casts alone would also read 0.5d or 0x1p-1."""
+    cell = F.trim(x, F.lit(SPACES))
+    return F.when(cell.rlike(SPELLED), F.replace(cell, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def number_or(x: Column, default: float = 0.0) -> Column:

@@ -106,16 +106,20 @@ def sequential_ids(rows: DataFrame, order: list[str], prefix: str, name: str) ->
     return numbered.withColumn(name, texts.padded_id(prefix, F.col("_number"), 6)).drop("_number")
 
 
-def rated_responses(rows: DataFrame) -> DataFrame:
-    """Responses with raw ratings (text, 0 to 100) as five-point values: ids in order of their rows, nulls for blanks and
-    for ratings out of range; rows of a blank recording are left out."""
+def rated_rows(rows: DataFrame) -> DataFrame:
+    """Raw ratings (text, 0 to 100) as five-point values, nulls for blanks and for ratings out of range; rows of a blank
+    recording are left out. One narrow pass."""
     kept = rows.filter(F.trim(F.coalesce("recording", F.lit(""))) != "")
     raw = {i: scores.within(texts.number(F.col(i)), 0, 100) for i in ITEMS}
     of = {i: likert(x) for i, x in raw.items()}
-    out = kept.select("row", F.trim("recording").alias("recording"), F.trim("participant").alias("participant"), F.trim("language").alias("language"), scores.safe_id(F.trim("recording"), "RATED_").alias("clip_id"),
+    return kept.select("row", F.trim("recording").alias("recording"), F.trim("participant").alias("participant"), F.trim("language").alias("language"), scores.safe_id(F.trim("recording"), "RATED_").alias("clip_id"),
                       *[c.alias(i) for i, c in of.items()], texts.number(F.col("loud")).alias("loud"))
+
+
+def rated_responses(rows: DataFrame) -> DataFrame:
+    """rated_rows() with ids in order of their rows, and coordinates."""
     named = {i: F.col(i) for i in ITEMS}
-    return sequential_ids(out, ["row"], "RATED_", "response_id").withColumns({"iso_pleasant": pleasantness(named), "iso_eventful": eventfulness(named)})
+    return sequential_ids(rated_rows(rows), ["row"], "RATED_", "response_id").withColumns({"iso_pleasant": pleasantness(named), "iso_eventful": eventfulness(named)})
 
 
 def rated_clips(responses: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.functions import texts
+
 # Texts of truth values.
 TRUTHS = ("true", "True", "TRUE", "1", "false", "False", "FALSE", "0")
 
@@ -38,8 +40,7 @@ class Field:
         if self.kind == "integer":
             return F.when(F.trim(raw).rlike("^[+-]?[0-9]+$"), F.trim(raw).try_cast("bigint"))
         if self.kind == "number":
-            found = F.trim(raw).try_cast("double")
-            return F.when(~F.isnan(found), found)
+            return texts.number(raw)
         return raw
 
     def broken(self) -> list[tuple[str, Column]]:

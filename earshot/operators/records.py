@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.functions import texts
 from earshot.operators.samples import broken, each, given, is_object, kind_is, members, no_parts, part, plain
 
 # Record types of the strict profile.
@@ -37,7 +38,7 @@ def payload(**fields: Column) -> Column:
 
 def bad_share(v: Column) -> Column:
     """Whether a value is outside 0 to 1, or spells no number; truth values are 0 and 1."""
-    return ~(kind_is(v, "BOOLEAN") | F.coalesce(plain(v).try_cast("double").between(0.0, 1.0), F.lit(False)))
+    return ~(kind_is(v, "BOOLEAN") | F.coalesce(texts.number(plain(v)).between(0.0, 1.0), F.lit(False)))
 
 
 def named_shares(v: Column) -> Column:
@@ -59,14 +60,16 @@ def record_findings(records: DataFrame, clips: DataFrame, types: tuple[str, ...]
     """row_key, rule and part of every rule that a row of records breaks.
 
     records has row_key, feature_id, clip_id, feature_type, provenance_json and feature_value_json, and may have
-    feature_json (read where the latter is blank), feature_path and notes; clips has clip_id, files the paths that are
+    feature_json (read where the latter is empty), feature_path and notes; clips has clip_id, files the paths that are
     there (path; without it, files are not checked). All rules but the unknown clip, the repeated id and the missing
     file are one pass over the rows, which parses each JSON text once. Of rows that share an id, all but the one of
     the smallest row_key are findings: minima are pre-aggregated, so a hot id is no large group. Null cells are blank;
     an empty table gives no findings. JSON with NaN or repeated keys counts as no JSON.
     """
-    text = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in records.columns else F.lit("") for c in ("feature_id", "clip_id", "feature_type", "provenance_json", "feature_value_json", "feature_json", "feature_path", "notes")}
-    value_text = F.when(text["feature_value_json"] != "", text["feature_value_json"]).otherwise(text["feature_json"])
+    raw = {c: F.coalesce(F.col(c), F.lit("")) if c in records.columns else F.lit("") for c in ("feature_id", "clip_id", "feature_type", "provenance_json", "feature_value_json", "feature_json", "feature_path", "notes")}
+    text = {c: F.trim(x) for c, x in raw.items()}
+    # of the two columns the first that is not empty is read, even where it holds nothing but spaces
+    value_text = F.when(raw["feature_value_json"] != "", text["feature_value_json"]).otherwise(text["feature_json"])
     rows = records.select("row_key", *[x.alias(c) for c, x in text.items()], value_text.alias("_text"))
     rows = rows.withColumn("_value", F.try_parse_json("_text")).withColumn("_prov", F.try_parse_json("provenance_json"))
     value = F.col("_value")

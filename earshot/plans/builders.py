@@ -78,15 +78,15 @@ _RATED_ROWS = f"""raw AS ({RATED}), kept AS (SELECT row, trim(recording) AS reco
 rated AS (SELECT *, printf('RATED_%06d', row_number() OVER (ORDER BY row)) AS response_id FROM kept)"""
 
 
-def _rated(spark, sf_dir):
-    return builders.rated_responses(spark.sql(RATED.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events")))
+def _raw_ratings(spark, sf_dir):
+    return spark.sql(RATED.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
 
 
 @query(f"WITH {_RATED_ROWS} SELECT response_id, clip_id, recording, participant, language, {_ITEMS}, loud, {even(P_SQL, 6)} AS iso_pleasant, {even(E_SQL, 6)} AS iso_eventful FROM rated")
 def b04_rated_responses(spark, sf_dir):
     """Ratings of 0 to 100 as five-point values with sequential ids."""
     rounded = {c: scores.half_even(F.col(c), 6) for c in ("iso_pleasant", "iso_eventful")}
-    return _rated(spark, sf_dir).withColumns(rounded).select("response_id", "clip_id", "recording", "participant", "language", *ITEMS, "loud", "iso_pleasant", "iso_eventful")
+    return builders.rated_responses(_raw_ratings(spark, sf_dir)).withColumns(rounded).select("response_id", "clip_id", "recording", "participant", "language", *ITEMS, "loud", "iso_pleasant", "iso_eventful")
 
 
 _MEANS = ", ".join(f"sum(round_even({i} * 10000, 0)::BIGINT)::DOUBLE / (count({i}) * 10000) AS {i}" for i in ITEMS)
@@ -95,8 +95,8 @@ _MEANS = ", ".join(f"sum(round_even({i} * 10000, 0)::BIGINT)::DOUBLE / (count({i
 @query(f"WITH {_RATED_ROWS}, m AS (SELECT clip_id, count(*) AS n_responses, count(DISTINCT participant) AS n_participants, count(DISTINCT language) AS n_languages, arg_min(recording, row) AS recording, {_MEANS}, sum(round_even(loud * 100, 0)::BIGINT)::DOUBLE / (count(loud) * 100) AS loud FROM rated GROUP BY clip_id) "
        + "SELECT clip_id, n_responses, n_participants, n_languages, recording, 'rated/' || recording || '.wav' AS audio_asset, " + ", ".join(f"printf('%.6g', {x})::DOUBLE AS {n}" for x, n in [*((i, i) for i in ITEMS), ("loud", "loud")]) + f", {even(P_SQL, 4)} AS iso_pleasant, {even(E_SQL, 4)} AS iso_eventful FROM m")
 def b04_rated_clips(spark, sf_dir):
-    """Clips of rated responses, numbers by six digits."""
-    clips = builders.rated_clips(_rated(spark, sf_dir))
+    """Clips of rated responses, numbers by six digits (A03, P10): no id of a response is needed, so one shuffle."""
+    clips = builders.rated_clips(builders.rated_rows(_raw_ratings(spark, sf_dir)))
     six = {c: builders.six_digits(F.col(c)) for c in (*ITEMS, "loud")}
     rounded = {c: scores.half_even(F.col(c), 4) for c in ("iso_pleasant", "iso_eventful")}
     return clips.withColumns(six | rounded).select("clip_id", "n_responses", "n_participants", "n_languages", "recording", "audio_asset", *ITEMS, "loud", "iso_pleasant", "iso_eventful")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import scores, texts
 from earshot.functions.scores import ITEMS
-from earshot.operators import harmonise, records
+from earshot.operators import checks, harmonise, records
 from earshot.plans.base import query
 from earshot.sources import surveys
 from earshot.sources.surveys import FRAMES_SQL, PLACES_SQL, STIMULUS_SQL, table
@@ -24,6 +24,24 @@ def p14_cells(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", texts.blank_to_null(cell).alias("kept"), texts.whole_number(cell).alias("whole"), texts.number_or(cell).alias("number"))
 
 
+#: Spellings of numbers with the value that SQL gives; None for none.
+SPELLED = [("1.5", "1.5"), ("0.5d", None), ("0.5f", None), ("0x1p-1", None), (" 2. ", "2"), (".25", "0.25"), ("1e3", "1000"), ("-7", "-7"), ("+1_000", "1000"), ("1__0", None), ("_1", None), (".", None), ("1e", None), ("NaN", None)]
+_SPELLINGS = "CASE p_partkey % {n} {cases} END".format(n=len(SPELLED), cases=" ".join(f"WHEN {i} THEN '{x}'" for i, (x, _) in enumerate(SPELLED)))
+
+
+@query("SELECT p_partkey, CASE p_partkey % {n} {cases} ELSE -1 END::DOUBLE AS number FROM part".format(n=len(SPELLED), cases=" ".join(f"WHEN {i} THEN {v}" for i, (_, v) in enumerate(SPELLED) if v)))
+def p15_spelled_numbers(spark, sf_dir):
+    """Texts as numbers, -1 for all that spell none."""
+    return table(spark, sf_dir, "part").select("p_partkey", texts.number_or(F.expr(_SPELLINGS), -1.0).alias("number"))
+
+
+@query("SELECT p_partkey AS row_key, 'cell' AS field, 'type' AS rule FROM part WHERE p_partkey % {n} IN ({bad})".format(n=len(SPELLED), bad=", ".join(str(i) for i, (_, v) in enumerate(SPELLED) if v is None)))
+def v01_spelled_numbers(spark, sf_dir):
+    """Cells of a column of numbers that spell none."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_SPELLINGS).alias("cell"))
+    return checks.row_findings(rows, "p_partkey", [checks.Field("cell", "number")])
+
+
 @query(f"WITH {PLACES_SQL} SELECT response_key, concat_ws('_', 'SITE', location, session, grp) AS clip_id, printf('R_%06d', response_key) AS response_id FROM places")
 def p16_composite_ids(spark, sf_dir):
     rows = surveys.place_responses(spark, sf_dir)
@@ -100,8 +118,8 @@ CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '{"tool":"x"}' WHEN 2 THEN '[1]' WH
 CASE event_id % 13 WHEN 0 THEN concat('{"class_ratio":{"sky":0.5,"road":', event_id % 3, '},"sampled_frame_count":3,"frame_sampling_rule":"all"}') WHEN 1 THEN '{"class_ratio":{},"sampled_frame_count":2.5,"frame_sampling_rule":null}'
 WHEN 2 THEN '7' WHEN 3 THEN '{"class_ratio":[1],"sampled_frame_count":0.5,"frame_sampling_rule":" "}' WHEN 4 THEN '{"class_ratio":{"sky":"0.5","sea":"much","tree":true,"road":null},"sampled_frame_count":"2.5"}'
 WHEN 5 THEN '{"class_ratio":{"sky":1},"sampled_frame_count":" 4 ","frame_sampling_rule":"all","grouped_categories":[0.5]}' WHEN 6 THEN '{"class_ratio":{"sky":1},"sampled_frame_count":true,"frame_sampling_rule":2,"grouped_categories":{"nature":1.5,"built":0}}'
-WHEN 7 THEN '{"class_ratio":{"sky":1},"sampled_frame_count":-3,"frame_sampling_rule":"all","grouped_categories":null,"status":"Placeholder"}' WHEN 8 THEN '{"class_ratio":{"sky":1},"sampled_frame_count":null,"frame_sampling_rule":"all"}' WHEN 9 THEN ' ' WHEN 10 THEN '{broken' END AS feature_value_json,
-CASE WHEN event_id % 13 = 9 THEN '{"class_ratio":{"sky":2},"sampled_frame_count":1,"frame_sampling_rule":"all"}' END AS feature_json,
+WHEN 7 THEN '{"class_ratio":{"sky":1},"sampled_frame_count":-3,"frame_sampling_rule":"all","grouped_categories":null,"status":"Placeholder"}' WHEN 8 THEN '{"class_ratio":{"sky":1},"sampled_frame_count":null,"frame_sampling_rule":"all"}' WHEN 9 THEN '' WHEN 10 THEN '{broken' WHEN 11 THEN ' ' END AS feature_value_json,
+CASE WHEN event_id % 13 IN (9, 11) THEN '{"class_ratio":{"sky":2},"sampled_frame_count":1,"frame_sampling_rule":"all"}' END AS feature_json,
 CASE WHEN event_id % 3 = 0 THEN concat('features/', event_id % 1000, '.npy') END AS feature_path, CASE WHEN event_id % 4 = 0 THEN 'a PLACEHOLDER row' END AS notes FROM events"""
 TYPES = ("visual_semantic_summary", "visual_clip_embedding", "other")
 
@@ -142,6 +160,19 @@ def b11_record_findings(spark, sf_dir):
     return records.record_findings(feature_rows(spark, sf_dir), feature_clips(spark, sf_dir), TYPES, files)
 
 
+#: Spellings of shares, and whether they are numbers of 0 to 1.
+SHARES = [("0.5", True), ("0.5d", False), ("0x1p-1", False), (" 0.5 ", True), ("1_0e-1", True), ("1__0e-1", False), ("1f", False), ("inf", False), ("nan", False), ("1.", True), (".5", True), ("", False), ("1.5", False), ("5e-1", True)]
+
+
+@query(f"SELECT event_id AS row_key, 'F13' AS rule, 'x' || (event_id % {len(SHARES)}) AS part FROM events WHERE event_id % {len(SHARES)} IN ({', '.join(str(i) for i, (_, fine) in enumerate(SHARES) if not fine)})")
+def f13_spelled_shares(spark, sf_dir):
+    """Shares as texts: what spells a number elsewhere in the library, and no more."""
+    cases = " ".join(f"WHEN {i} THEN '{x}'" for i, (x, _) in enumerate(SHARES))
+    rows = table(spark, sf_dir, "events").selectExpr("event_id AS row_key", f"concat('{{\"class_ratio\":{{\"x', event_id % {len(SHARES)}, '\":\"', CASE event_id % {len(SHARES)} {cases} END, '\"}},\"sampled_frame_count\":1,\"frame_sampling_rule\":\"all\"}}') AS feature_value_json")
+    whole = rows.select("row_key", F.concat(F.lit("f"), F.col("row_key").cast("string")).alias("feature_id"), F.lit("c").alias("clip_id"), F.lit("visual_semantic_summary").alias("feature_type"), F.lit("{}").alias("provenance_json"), "feature_value_json")
+    return records.record_findings(whole, spark.createDataFrame([("c",)], "clip_id string"), TYPES)
+
+
 _WIDE_SQL = f"""r AS ({RECORDS}), c AS (SELECT DISTINCT concat('c', user_id) AS clip_id FROM events WHERE user_id % 7 <> 0),
 issues AS (SELECT 'F18' AS rule, string_agg(feature_id, ',' ORDER BY feature_id) AS detail FROM (SELECT feature_id FROM r WHERE feature_id IS NOT NULL GROUP BY feature_id HAVING count(*) > 1 ORDER BY feature_id LIMIT 10) HAVING count(*) > 0
 UNION ALL SELECT 'F19', string_agg(coalesce(clip_id, 'nan'), ',' ORDER BY row_key) FROM (SELECT row_key, clip_id FROM r WHERE clip_id IS NULL OR clip_id NOT IN (SELECT clip_id FROM c) ORDER BY row_key LIMIT 10) HAVING count(*) > 0

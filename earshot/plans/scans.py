@@ -36,8 +36,18 @@ def s07_json_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select(F.to_json(F.struct("s_suppkey", "s_name")).alias("value"))
     blank = table(spark, sf_dir, "nation").select(F.lit("  ").alias("value"))
     rows.unionByName(blank).write.text(path)
-    found = spark.read.text(path).filter(F.trim("value") != "")
-    return found.select(F.from_json("value", "s_suppkey long, s_name string").alias("r")).select("r.*")
+    return readers.json_lines(spark, path, "*.txt").select(F.from_json("value", "s_suppkey long, s_name string").alias("r")).select("r.*")
+
+
+@query("SELECT c_custkey, true AS numbered FROM customer")
+def s07_line_numbers(spark, sf_dir):
+    """Lines of files, each followed by a blank one and holding its own number, which the reader must find."""
+    path = _folder(spark, "numbered")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in the file that a task writes
+    rows = table(spark, sf_dir, "customer").repartition(5, "c_custkey").select("c_custkey", (2 * place + 1).alias("line"))
+    rows.select(F.concat(F.to_json(F.struct("c_custkey", "line")), F.lit("\n"))).write.text(path)
+    found = readers.json_lines(spark, path, "*.txt").select("line", F.from_json("value", "c_custkey long, line long").alias("r"))
+    return found.select("r.c_custkey", (F.col("r.line") == F.col("line")).alias("numbered"))
 
 
 @query("SELECT 'c' || p_partkey // 2 AS clip_id, max(p_partkey) AS frames FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1")

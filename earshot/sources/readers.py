@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import texts
 from earshot.operators.samples import is_list, is_object, members, part
+from earshot.sources import splits
 
 KINDS = {"string": texts.present, "number": lambda c: texts.number(texts.present(c)), "integer": lambda c: texts.whole_number(texts.present(c))}
 
@@ -45,13 +46,11 @@ def one_source(**options: str | None) -> tuple[str, str]:
 
 
 def csv_texts(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """A CSV file or folder with a header as columns of text, empty for empty cells; an empty table where
-    nothing is there (S02)."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
+    """The named columns of a CSV file or folder as text, empty for empty cells; an empty table where nothing is there
+    (S02). Each file has a header, in any order; tasks read parts of a file, though cells may hold line ends."""
     if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    cells = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').option("multiLine", True).csv(path)
-    return cells.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in columns])
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    return splits.csv_columns(*splits.csv_scan(spark, path), list(columns))
 
 
 def csv_typed(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
@@ -59,10 +58,11 @@ def csv_typed(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFram
     return csv_texts(spark, path, list(kinds)).select(*[KINDS[k](F.col(f"`{c}`")).alias(c) for c, k in kinds.items()])
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, value of every line that is not blank, of a file or of the .jsonl files of a folder."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path) if not path.endswith(".jsonl") else spark.read.text(path)
-    return lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value").filter(F.trim("value") != "")
+def json_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """file, line (from 1, blank ones counted) and value of every line that is not blank, of a file or of the files of a
+    folder whose names are of a kind (S07). Sorted by file and line they are in the order of a reader that takes files by name."""
+    lines = splits.with_line_numbers(splits.lines_of(spark, path, None if path.endswith(".jsonl") else glob))
+    return lines.select(F.element_at(F.split("file", "/"), -1).alias("file"), "line", F.regexp_replace("value", "\r$", "").alias("value")).filter(F.trim("value") != "")
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -61,7 +61,7 @@ def test_lines_of_a_folder(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"a":1}\n\n  \n{"a":2}\n')
     (tmp_path / "a.jsonl").write_text('{"a":3}\n')
     (tmp_path / "c.txt").write_text("no\n")
-    assert sorted(map(tuple, readers.json_lines(spark, str(tmp_path)).collect())) == [("a.jsonl", '{"a":3}'), ("b.jsonl", '{"a":1}'), ("b.jsonl", '{"a":2}')]
+    assert sorted(map(tuple, readers.json_lines(spark, str(tmp_path)).collect())) == [("a.jsonl", 1, '{"a":3}'), ("b.jsonl", 1, '{"a":1}'), ("b.jsonl", 4, '{"a":2}')]
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "w.json").write_text('{\n"x": 1}')
     assert readers.json_documents(spark, str(tmp_path / "d")).collect()[0]["value"] == '{\n"x": 1}'
