@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from earshot.llm.common import saved, small_batches
 
 #: Text of a shard (one document more may pass it) and of a stretch that is split into words at once.
 SHARD_BYTES, STRETCH = 4 << 20, 1 << 20
-#: Rows (shard, word) that are numbered in one sort.
+#: Words, counted once a shard, that a bucket numbers.
 BUCKET_WORDS = 1_000_000
 #: Shards that are looked through for words which many hold, in how many of them a word must be, and how many words at most.
 SAMPLED, HOT_SHARDS, HOT_WORDS = 32, 8, 50_000
@@ -37,10 +39,29 @@ SIGNS = b"#$%&*|"
 _SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 
 DOC = "struct<doc_id: long, part: string, flags: int, hash: binary>"
-LOCAL = f"shard long, docs array<{DOC}>, words array<string>, indptr array<int>, indices array<int>, counts array<int>"
+LOCAL = f"shard long, docs array<{DOC}>, n_words long, words binary, cells binary"
+CHUNK = "b long, shard long, words binary, at binary, terms binary"
+TOLD = "b long, shard long, at binary, terms binary, words binary, n long"
 CSR = f"shard long, docs array<{DOC}>, indptr array<int>, terms array<long>, counts array<int>"
 ROWS = "doc_id long, part string, flags int, hash binary, n_words long, n_distinct long"
 _DOC = pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("flags", pa.int32()), ("hash", pa.binary())]))
+#: Rows of TOLD that hold a bucket's words instead of an answer, and the bucket of words that need none.
+DICTIONARY, HOT = -1, -1
+
+
+def packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.astype("<i4").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), "<i4")
+
+
+def table_of(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def sign_flags(raw: bytes) -> int:
@@ -85,11 +106,23 @@ class Shard:
         self.lengths.append(len(indices))
 
     def batch(self, shard: int) -> pa.RecordBatch:
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        """The shard as a row of LOCAL: words joined by spaces in the order of their hashes, cells as indptr, indices, counts."""
+        words = list(self.known)
+        order = np.argsort(hashes(words), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        cells = packed(np.concatenate([np.cumsum([0, *self.lengths]), place[np.concatenate(self.indices)], *self.counts]))
         docs = pa.array([[dict(zip(("doc_id", "part", "flags", "hash"), d)) for d in self.docs]], _DOC)
-        words = one(pa.array(list(self.known), pa.binary()).cast(pa.string()))
-        numbers = (np.cumsum([0, *self.lengths]), np.concatenate(self.indices), np.concatenate(self.counts))
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), docs, words, *(one(pa.array(x.astype(np.int32))) for x in numbers)], names=["shard", "docs", "words", "indptr", "indices", "counts"])
+        joined = zstandard.compress(b" ".join([words[i] for i in order.tolist()]), 1)
+        return pa.RecordBatch.from_arrays([pa.array([shard]), docs, pa.array([len(words)]), pa.array([joined], pa.binary()), pa.array([cells], pa.binary())], names=["shard", "docs", "n_words", "words", "cells"])
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+
+
+def words_of(raw: bytes) -> list[bytes]:
+    return zstandard.decompress(raw).split()
 
 
 def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -115,58 +148,122 @@ def hot_limit(places: int, hot_words: int = HOT_WORDS, hot_shards: int = HOT_SHA
     return max(hot_shards, places // hot_words)
 
 
-def hot_words_of(shards: DataFrame, hot_words: int, hot_shards: int) -> DataFrame:
-    """word and term (from 0) of the words that many of a few shards hold, at most hot_words, for a broadcast."""
+def hot_words_of(shards: DataFrame, hot_words: int, hot_shards: int) -> dict[bytes, int]:
+    """The words that many of a few shards hold, numbered from 0: at most hot_words."""
     some = [r["shard"] for r in shards.select("shard").orderBy(F.xxhash64("shard")).limit(SAMPLED).collect()]
     seen = shards.filter(F.col("shard").isin(some))
-    limit = hot_limit(seen.agg(F.sum(F.size("words"))).first()[0] or 0, hot_words, hot_shards)
-    found = seen.select(F.explode("words").alias("word")).groupBy("word").count().filter(F.col("count") > limit).select("word").collect()
-    return shards.sparkSession.createDataFrame([(w, i) for i, w in enumerate(sorted(r["word"] for r in found))], "word string, term long")
+    limit = hot_limit(seen.agg(F.sum("n_words")).first()[0] or 0, hot_words, hot_shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("words").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(words_of(raw), pa.binary())], names=["word"])
 
+    found = seen.select("words").mapInArrow(run, "word binary").groupBy("word").count().filter(F.col("count") > limit).select("word").collect()
+    return {w: i for i, w in enumerate(sorted(bytes(r["word"]) for r in found))}
 
-def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_words: int = BUCKET_WORDS, hot_words: int = HOT_WORDS, hot_shards: int = HOT_SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(dictionary(word, shards, term), CSR shards) of docs(doc_id, part, text).
 
-    Row i of a shard holds the entries indptr[i] to indptr[i + 1] of terms and counts; terms are numbers from 0 without
-    gaps. Words that very many shards hold are found in a sample of shards and numbered by a broadcast of bounded size. All
-    others go to buckets by hash, where a sort numbers each word as it numbers the rows that ask for it; numbers of
-    buckets follow one another. The dictionary is computed when it is used.
-    """
+def chunks_of(shards: DataFrame, hot: dict[bytes, int], buckets: int) -> DataFrame:
+    """CHUNK: each shard's words by bucket, a stretch of the hashes; those in hot with their numbers instead, in HOT."""
+    shared = shards.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for batch in batches:
+            for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("words").to_pylist()):
+                words = words_of(raw)
+                term = np.array([get(w, -1) for w in words], np.int64)
+                at = np.flatnonzero(term < 0)
+                cold = [words[i] for i in at.tolist()]
+                bucket = hashes(cold) * buckets >> 32
+                cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, int)
+                known = np.flatnonzero(term >= 0)
+                rows = [(HOT, shard, None, packed(known), packed(term[known]))] if len(known) else []
+                rows += [(int(bucket[a]), shard, zstandard.compress(b" ".join(cold[a:b]), 1), packed(np.diff(at[a:b], prepend=0)), None) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                yield from table_of(rows, CHUNK).to_batches()
+
+    return shards.select("shard", "words").mapInArrow(run, CHUNK)
+
+
+def numbered(chunks: DataFrame) -> DataFrame:
+    """TOLD: the numbers that a bucket gives to the words of each of its chunks, and a row with its distinct words."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        words = [words_of(raw) for raw in rows.column("words").to_pylist()]
+        found = pa.chunked_array([pa.array(w, pa.binary()) for w in words]).combine_chunks().dictionary_encode()
+        terms = np.split(found.indices.to_numpy(), np.cumsum([len(w) for w in words])[:-1])
+        b = key[0].as_py()
+        out = [(b, shard, at, packed(t), None, None) for shard, at, t in zip(rows.column("shard").to_pylist(), rows.column("at").to_pylist(), terms)]
+        listed = zstandard.compress(b" ".join(found.dictionary.to_pylist()), 1)
+        seen = packed(np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)))
+        return table_of([*out, (b, DICTIONARY, None, seen, listed, len(found.dictionary))], TOLD)
+
+    return chunks.filter(F.col("b") != HOT).groupBy("b").applyInArrow(run, TOLD)
+
+
+def assembled(docs: DataFrame, make, schema: str, shard_bytes: int = SHARD_BYTES, bucket_words: int = BUCKET_WORDS, hot_words: int = HOT_WORDS, hot_shards: int = HOT_SHARDS) -> tuple[DataFrame, DataFrame]:
+    """(dictionary, what make(shard, docs, indptr, terms, counts) returns for every shard) of docs(doc_id, part, text); see
+    term_matrix()."""
     shards = saved(shards_of(docs, shard_bytes))
     hot = hot_words_of(shards, hot_words, hot_shards)
-    buckets = (shards.agg(F.sum(F.size("words"))).first()[0] or 0) // bucket_words + 1
-    places = shards.select("shard", F.posexplode("words").alias("pos", "word")).join(F.broadcast(hot), "word", "left")
-    cold = places.filter("term IS NULL").select("shard", "pos", "word", F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("b"))
-    ranked = cold.withColumn("rank", F.dense_rank().over(Window.partitionBy("b").orderBy("word")))
-    told = saved(ranked.select("shard", "pos", "b", "rank"))
+    buckets = (shards.agg(F.sum("n_words")).first()[0] or 0) // bucket_words + 1
+    chunks = saved(chunks_of(shards, hot, buckets))
+    told = saved(numbered(chunks))
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    starts = told.groupBy("b").agg(F.max("rank").alias("n")).select("b", (F.coalesce(F.sum("n").over(before), F.lit(0)) + hot.count() - 1).alias("start"))
-    number = (F.col("start") + F.col("rank")).alias("term")
-    terms = told.join(starts, "b").select("shard", "pos", number).unionByName(places.filter("term IS NOT NULL").select("shard", "pos", "term"))
-    words = ranked.join(starts, "b").select("word", number).unionByName(places.filter("term IS NOT NULL").select("word", "term"))
+    listed = told.filter(F.col("shard") == DICTIONARY).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) + len(hot))
+    known = chunks.filter(F.col("b") == HOT).select("shard", F.lit(None).cast("long").alias("start"), "at", "terms")
+    answers = told.filter(F.col("shard") != DICTIONARY).join(listed.select("b", "start"), "b").select("shard", "start", "at", "terms").unionByName(known)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        own = np.zeros(len(right), np.int64)
-        own[right.column("pos").to_numpy()] = right.column("term").to_numpy()
-        ids = own[left.column("indices")[0].values.to_numpy()]
-        return pa.table([*(left.column(c) for c in ("shard", "docs", "indptr")), pa.array([ids], pa.list_(pa.int64())), left.column("counts")], names=["shard", "docs", "indptr", "terms", "counts"])
+        own = np.zeros(left.column("n_words")[0].as_py(), np.int64)
+        for start, at, terms in zip(*(right.column(c).to_pylist() for c in ("start", "at", "terms"))):
+            own[unpacked(at) if start is None else np.cumsum(unpacked(at))] = unpacked(terms) + np.int64(start or 0)
+        cells, n = unpacked(left.column("cells")[0].as_py()), len(left.column("docs")[0]) + 1
+        indptr, (indices, counts) = cells[:n], np.split(cells[n:], 2)
+        return make(left.column("shard"), left.column("docs"), indptr, own[indices], counts)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, raw, seen in zip(*(batch.column(c).to_pylist() for c in ("start", "words", "terms"))):
+                words, n = words_of(raw), unpacked(seen).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(start + np.arange(len(words))), pa.array(n)], names=["word", "term", "shards"])
 
-    matrix = shards.drop("words").groupBy("shard").cogroup(terms.groupBy("shard")).applyInArrow(run, CSR)
-    return words.groupBy("word", "term").agg(F.count("*").alias("shards")), matrix
+    common = chunks.filter(F.col("b") == HOT).select("terms").mapInArrow(_each_number, "term long").groupBy("term").agg(F.count("*").alias("shards"))
+    names = docs.sparkSession.createDataFrame([(w.decode(), i) for w, i in hot.items()], "word string, term long")
+    dictionary = listed.select("start", "words", "terms").mapInArrow(entries, "word string, term long, shards long").unionByName(common.join(names, "term").select("word", "term", "shards"))
+    return dictionary, shards.drop("words").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, schema)
 
 
-def row_sums(matrix: DataFrame) -> DataFrame:
-    """ROWS of CSR shards: each document's sum of counts and number of entries."""
+def _each_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column("terms").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(raw).astype(np.int64))], names=["term"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                docs, indptr = batch.column("docs")[i].values, batch.column("indptr")[i].values.to_numpy()
-                upto = np.r_[0, np.cumsum(batch.column("counts")[i].values.to_numpy(), dtype=np.int64)]
-                numbers = (np.diff(upto[indptr]), np.diff(indptr).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*docs.flatten(), *map(pa.array, numbers)], names=["doc_id", "part", "flags", "hash", "n_words", "n_distinct"])
 
-    return matrix.mapInArrow(run, ROWS)
+def term_matrix(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(dictionary(word, term, shards), CSR shards) of docs(doc_id, part, text).
+
+    Row i of a shard holds the entries indptr[i] to indptr[i + 1] of terms and counts; terms are numbers from 0 without
+    gaps. Words that very many shards hold are found in a sample of shards and numbered by a broadcast of bounded size. All
+    others are sent, once a shard, to buckets by hash, which number and answer; numbers of buckets follow one another.
+    """
+
+    def make(shard, docs, indptr, terms, counts) -> pa.Table:
+        one = lambda x, kind: pa.array([x], pa.list_(kind))
+        return pa.table([shard, docs, one(indptr, pa.int32()), one(terms, pa.int64()), one(counts, pa.int32())], names=["shard", "docs", "indptr", "terms", "counts"])
+
+    return assembled(docs, make, CSR, **options)
+
+
+def row_sums(docs: DataFrame, **options) -> DataFrame:
+    """ROWS of docs(doc_id, part, text): of each document's row of the matrix the sum of counts and the number of entries."""
+
+    def make(shard, docs, indptr, terms, counts) -> pa.Table:
+        upto = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+        numbers = (np.diff(upto[indptr]), np.diff(indptr).astype(np.int64))
+        return pa.table([*docs.combine_chunks().values.flatten(), *map(pa.array, numbers)], names=["doc_id", "part", "flags", "hash", "n_words", "n_distinct"])
+
+    return assembled(docs, make, ROWS, **options)[1]
 
 
 def failures(docs: DataFrame, **options) -> DataFrame:
@@ -178,7 +275,7 @@ def failures(docs: DataFrame, **options) -> DataFrame:
     stay spread.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = saved(row_sums(term_matrix(plain, **options)[1]))
+    rows = saved(row_sums(plain, **options))
     short, dull = F.col("n_words") < 200, 100 * F.col("n_distinct") < 50 * F.col("n_words")
     firsts = rows.filter("doc_id IS NOT NULL").groupBy("hash").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     named = rows.filter("doc_id IS NOT NULL").join(firsts, ["hash", "doc_id"], "left").withColumn("copy", F.col("first").isNull()).drop("first")
