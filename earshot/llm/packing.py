@@ -4,13 +4,13 @@ Pieces (documents, or parts of those longer than a sequence) are dealt into part
 its own by best-fit decreasing and bounds its bin count from below by dual-feasible functions. While the sum of the
 bin counts is above the bound of the whole, partitions exchange pieces: those whose count is above their bound, or
 that have a bin's worth of room left, give those of their emptiest bins, certified others only those of the emptiest
-one. Groups of partitions pack these again, then groups of groups, up to one; then all partitions look again, and give
-like those that are not certified, as bounds of many partitions are each rounded up. Turns end when the bound is met or
-when one closes less than a tenth of the gap: their number is logarithmic in the gap. A new packing replaces the old one
-where it has fewer bins, or bins that leave more of their room in one place.
+one. Groups of partitions pack these again, then groups of groups, up to one. If the bound of the whole is not met by then,
+a second turn follows in which all partitions give like those that are not certified, as bounds of many partitions are
+each rounded up. After it, a third could only pack the last group again. A new packing replaces the old one where it has
+fewer bins, or bins that leave more of their room in one place.
 
-A bin is known by its partition and its number there. Every packing is written once; what moves on is read from it by its
-bins, and only pieces of open bins are packed and written again.
+A bin is known by its partition and its number there. Every packing is written once, with what each turn opens; only pieces
+of open bins are packed and written again.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.common import discard, saved, small_batches
@@ -35,14 +35,12 @@ FAN_IN, GIVE = 8, 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
-PACKED = PIECES + ", uid long, part long, bin long, offset long, open boolean, part_bins long, part_bound long"
+PACKED = PIECES + ", uid long, part long, bin long, offset long, open boolean, spare boolean, part_bins long, part_bound long"
 PACKED_NAMES = [c.split()[0] for c in PACKED.split(", ")]
 #: Partition numbers of one level of exchange, and bin numbers of a partition: more than the pieces of a group.
 LEVEL, BINS = 1 << 30, 1 << 24
 #: Rounding functions u^(1), u^(2), ... that bounds try.
 ROUNDINGS = 12
-#: A turn that closes a smaller share of the gap to the bound than one in this many is the last.
-SHARE = 10
 
 
 @lru_cache(maxsize=2)
@@ -135,16 +133,15 @@ def best_fit_decreasing(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np
     return bins, offsets, np.array(fill, np.int64)
 
 
-def emptiest(bins: np.ndarray, fill: np.ndarray, limit: int, give: int, certified: bool) -> np.ndarray:
-    """For each piece, whether it lies in a bin that is open for exchange: the emptiest ones, of up to `give` pieces
-    together, or of a certified partition the emptiest alone."""
+def emptiest(bins: np.ndarray, fill: np.ndarray, limit: int, give: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece, whether it lies in the emptiest bin, if that is not full, and in the emptiest ones of up to `give`
+    pieces together."""
     order = np.argsort(fill, kind="stable")
     order = order[fill[order] < limit]
-    loose = np.zeros(len(fill), bool)
-    if not certified:
-        loose[order[np.bincount(bins, minlength=len(fill))[order].cumsum() <= give]] = True
-    loose[order[:1]] = True
-    return loose[bins]
+    first, many = np.zeros(len(fill), bool), np.zeros(len(fill), bool)
+    first[order[:1]] = True
+    many[order[np.bincount(bins, minlength=len(fill))[order].cumsum() <= give]] = True
+    return first[bins], (first | many)[bins]
 
 
 @dataclass(frozen=True)
@@ -165,8 +162,8 @@ def with_places(rows: pa.Table, part: int, bins: np.ndarray, offsets: np.ndarray
     bound = lower_bound(np.bincount(lengths, minlength=limit + 1), limit)
     same = lambda x: np.full(len(rows), x, np.int64)
     certified = len(fill) <= bound and len(fill) * limit - fill.sum() < limit
-    loose = emptiest(bins, fill, limit, how.give, certified)
-    columns = [*(rows.column(c) for c in (*NAMES, "uid")), *map(pa.array, (same(part), bins, offsets, loose, same(len(fill)), same(bound)))]
+    first, many = emptiest(bins, fill, limit, how.give)
+    columns = [*(rows.column(c) for c in (*NAMES, "uid")), *map(pa.array, (same(part), bins, offsets, first if certified else many, many, same(len(fill)), same(bound)))]
     return pa.table(columns, names=PACKED_NAMES)
 
 
@@ -202,22 +199,6 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def open_bins(packed: DataFrame, how: Exchange) -> DataFrame:
-    """part and bin of each partition's emptiest bins, of up to how.give pieces together, or of the emptiest one."""
-    bins = packed.groupBy("part", "bin").agg(F.sum("length").alias("fill"), F.count("*").alias("n")).filter(F.col("fill") < how.limit)
-    order = Window.partitionBy("part").orderBy("fill", "bin")
-    placed = bins.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
-    return placed.filter((F.col("upto") <= how.give) | (F.col("place") == 1)).select("part", "bin")
-
-
-def grouped_parts(loose: DataFrame, turn: int) -> tuple[DataFrame, int]:
-    """loose with g, groups of FAN_IN of its partitions dealt by hash, and their number."""
-    parts = loose.select("part").distinct()
-    place = F.row_number().over(Window.orderBy(F.xxhash64("part", F.lit(turn)), "part")) - 1  # a row for each partition
-    numbered = saved(parts.select("part", F.floor(place / FAN_IN).alias("g")))
-    return loose.join(numbered, "part"), -(-numbered.count() // FAN_IN)
-
-
 def pack(pieces: DataFrame, limit: int = SEQUENCE, part_pieces: int = PART_PIECES) -> DataFrame:
     """PIECES with sequence_id (any distinct numbers) and offset, gapless from 0 in each sequence.
 
@@ -240,26 +221,23 @@ def pack(pieces: DataFrame, limit: int = SEQUENCE, part_pieces: int = PART_PIECE
     packed = saved(by_part(keyed.repartition(tasks, "part"), "part", pack_group, how))
     discard(pieces)
     bins_of = lambda df: df.select("part", "bin").distinct().count()
-    have, level, turn, settled = bins_of(packed), 0, 0, [packed]
-    loose, closed = packed.filter("open"), [packed.filter("NOT open")]
-    while parts > 1 and have > need:
-        before, turn, settled = have, turn + 1, closed
+    have, level, settled = bins_of(packed), 0, [packed]
+    for turn in ("open", "spare"):  # the column that says what a turn opens
+        if parts == 1 or have <= need:
+            break
+        loose, settled, groups = union(settled).filter(turn), [df.filter(f"NOT {turn}") for df in settled], parts
         while True:
-            level += 1
-            moving, groups = grouped_parts(loose, level)
+            level, groups = level + 1, -(-groups // FAN_IN)
+            place = F.pmod("part", F.lit(LEVEL))  # in its level
+            group = F.floor(place / FAN_IN) if turn == "open" else F.pmod(place, F.lit(groups))
             was = bins_of(loose)
-            packed = saved(by_part(moving.withColumn("g", F.col("g") + level * LEVEL), "g", repack_group, how))
+            packed = saved(by_part(loose.withColumn("g", group.cast("long") + level * LEVEL), "g", repack_group, how))
             have += bins_of(packed) - was
-            if groups <= 1 or have <= need:
-                settled = [*settled, packed]
+            if groups == 1 or have <= need:
+                settled.append(packed)
                 break
-            settled = [*settled, packed.filter("NOT open")]
-            loose = packed.filter("open")
-        if have <= need or (turn > 1 and (before - have) * SHARE < before - need):
-            break
-        opened = saved(open_bins(union(settled), how))
-        closed = [df.join(opened, ["part", "bin"], "left_anti") for df in settled]
-        loose = union([df.join(opened, ["part", "bin"], "left_semi") for df in settled])
+            settled.append(packed.filter(f"NOT {turn}"))
+            loose = packed.filter(turn)
     number = F.col("part") * F.lit(BINS) + F.col("bin")
     return union(settled).select(*NAMES, number.alias("sequence_id"), "offset", (F.col("part_bins") <= F.col("part_bound")).alias("certified"), F.lit(int(have - need)).cast("long").alias("bins_above_bound"))
 
