@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 
 from earshot.functions import scores, texts
 from earshot.functions.scores import ITEMS
-from earshot.operators import aggregates, builders, harmonise, numbering
+from earshot.operators import aggregates, builders, harmonise, numbering, upserts
 from earshot.plans.base import query
 from earshot.plans.registry import COORDINATES, E_SQL, P_SQL, even
 from earshot.sources import surveys
@@ -239,6 +240,21 @@ def u03_replaced_summaries(spark, sf_dir):
     return builders.replaced_by_id(rows, rows.filter("feature_type = 'visual_semantic_summary' AND pos % 3 = 0"), "visual_semantic_summary")
 
 
+_LAID = FEATURES.replace("SELECT event_id AS pos,", "SELECT event_id AS pos, concat('d', user_id % 3) AS dataset_id,")
+
+
+@query(f"WITH f AS ({_LAID}), n AS (SELECT * FROM f WHERE pos % 2 = 0 AND feature_type = 'visual_clip_embedding' AND clip_id <> '' AND dataset_id = 'd1') SELECT * FROM f WHERE NOT (feature_type = 'visual_clip_embedding' AND (dataset_id, clip_id) IN (SELECT (dataset_id, clip_id) FROM n)) UNION ALL SELECT * FROM n")
+def u02_upsert_by_folder(spark, sf_dir):
+    """A table by dataset and bucket, of which an upsert rewrites what holds its clips, twice over, as after a failure."""
+    rows = spark.sql(_LAID.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    path, kind = f"{numbering.shared_folder(spark)}/features-{uuid.uuid4().hex}", "pos long, dataset_id string, feature_id string, clip_id string, feature_type string"
+    upserts.write_table(rows, path, 4)
+    new = rows.filter("pos % 2 = 0 AND feature_type = 'visual_clip_embedding' AND clip_id <> '' AND dataset_id = 'd1'")
+    for _ in range(2):
+        upserts.upsert_clips(path, new, kind, "visual_clip_embedding", 4)
+    return upserts.read_table(spark, path, kind).drop("bucket")
+
+
 @query(f"WITH {PLACES_SQL} " + " UNION ALL ".join(f"SELECT response_key, '{i}' AS item, {i} AS value, '{i}' AS original_field, 'raw_response' AS value_type, NULL::VARCHAR AS aggregation FROM places" for i in ITEMS))
 def h03_item_objects(spark, sf_dir):
     """The items of responses as records with where they come from."""

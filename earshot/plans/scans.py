@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from earshot.operators.numbering import shared_folder
 from earshot.plans.base import query
-from earshot.sources import readers
+from earshot.sources import packed, readers
 from earshot.sources.surveys import table
 
 CELLS = """SELECT c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN 'NA' WHEN 1 THEN '' WHEN 2 THEN 'a "quoted", cell' WHEN 3 THEN 'None' ELSE c_name END AS name,
@@ -64,6 +65,21 @@ def s10_summary_index(spark, sf_dir):
     return index.select("clip_id", F.try_variant_get("summary", "$.frames", "bigint").alias("frames"))
 
 
+@query("SELECT 'c' || p_partkey % 37 AS clip_id, max(p_partkey) AS frames FROM part GROUP BY 1")
+def s10_packed_files(spark, sf_dir):
+    """Documents of three shapes and twenty entries, each a file, read by ranges; the last entry of the last file stays."""
+    path = _folder(spark, "packed")
+    own = Window.partitionBy("g").orderBy("p_partkey")  # twenty rows
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("p_partkey div 20").alias("g")).withColumn("n", F.row_number().over(own)).withColumn("most", F.count("*").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    begin = "CASE WHEN n > 1 THEN ',' WHEN g % 3 = 0 THEN '[' WHEN g % 3 = 1 THEN '{\"version\":\"}\",\"summaries\":[' ELSE '{' END"
+    body = "CASE WHEN g % 3 = 2 THEN concat('\"c', p_partkey % 37, '\":{') ELSE concat('{\"clip_id\":\"c', p_partkey % 37, '\",') END"
+    end = "CASE WHEN n < most THEN '' WHEN g % 3 = 0 THEN ']' WHEN g % 3 = 1 THEN ']}' ELSE '}' END"
+    text = f"concat({begin}, {body}, '\"notes\":[\"}}\",{{}}],\"frames\":', p_partkey, '}}', {end}) AS value"
+    rows.repartition("g").sortWithinPartitions("g", "n").selectExpr("format_string('%010d', g) AS g", text).write.partitionBy("g").text(path)
+    index = packed.packed_index(spark, f"{path}/*", "*.txt")
+    return index.select("clip_id", F.try_variant_get("summary", "$.frames", "bigint").alias("frames"))
+
+
 _ENDS = "CASE p_partkey % 4 WHEN 0 THEN '.csv' WHEN 1 THEN '_summary.json' WHEN 2 THEN '.summary.csv' ELSE '.txt' END"
 
 
