@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import texts
@@ -143,6 +143,13 @@ def roll_up(package: str, resources: list[Resource], findings: DataFrame) -> Dat
     return joined.select("package", "resource", "findings", (F.col("findings") == 0).alias("valid"))
 
 
+def written_with_counts(findings: DataFrame, path: str, counts: dict[str, Column]) -> dict[str, int]:
+    """Write findings, and count what holds of them in the same pass: no second job, nor one for each count."""
+    seen = Observation()
+    findings.observe(seen, *[F.count_if(cond).alias(name) for name, cond in counts.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def described(spark: SparkSession, package: str, resources: list[Resource]) -> DataFrame:
     """package, resource, position, field, kind, constraints (JSON): what the schemas declare, one row for each field."""
     rows = [(package, r.name, i, f.name, f.kind or "any", json.dumps(f.constraints(), sort_keys=True)) for r in resources for i, f in enumerate(r.fields, 1)]

@@ -56,12 +56,12 @@ def number_or(a: Column, b: Column) -> Column:
     return F.when(found >= 0, F.floor(found)).otherwise(F.ceil(found))
 
 
-def record_findings(records: DataFrame, clips: DataFrame, types: tuple[str, ...], files: DataFrame | None = None) -> DataFrame:
+def record_findings(records: DataFrame, clips: DataFrame, types: tuple[str, ...], files: DataFrame | None = None, folder: str = "") -> DataFrame:
     """row_key, rule and part of every rule that a row of records breaks.
 
     records has row_key, feature_id, clip_id, feature_type, provenance_json and feature_value_json, and may have
     feature_json (read where the latter is empty), feature_path and notes; clips has clip_id, files the paths that are
-    there (path; without it, files are not checked). All rules but the unknown clip, the repeated id and the missing
+    there (path; without it, files are not checked), and feature_path is below folder unless it is absolute. All rules but the unknown clip, the repeated id and the missing
     file are one pass over the rows, which parses each JSON text once. Of rows that share an id, all but the one of
     the smallest row_key are findings: minima are pre-aggregated, so a hot id is no large group. Null cells are blank;
     an empty table gives no findings. JSON with NaN or repeated keys counts as no JSON.
@@ -104,8 +104,9 @@ def record_findings(records: DataFrame, clips: DataFrame, types: tuple[str, ...]
     out = own.unionByName(later).unionByName(unknown)
     if files is not None:
         placeholder = F.lower("notes").contains("placeholder") | (F.col("_sound") & F.lower(F.coalesce(plain(part(value, "status")), F.lit(""))).contains("placeholder"))
-        wanted = rows.filter((F.col("feature_path") != "") & ~placeholder).select("row_key", F.col("feature_path").alias("path"))
-        out = out.unionByName(wanted.join(files.select("path").distinct(), "path", "left_anti").select("row_key", F.lit("F10").alias("rule"), F.col("path").alias("part")))
+        place = F.when(F.col("feature_path").startswith("/") | F.lit(not folder), F.col("feature_path")).otherwise(F.concat(F.lit(f"{folder.rstrip('/')}/"), "feature_path"))
+        wanted = rows.filter((F.col("feature_path") != "") & ~placeholder).select("row_key", "feature_path", place.alias("path"))
+        out = out.unionByName(wanted.join(files.select("path").distinct(), "path", "left_anti").select("row_key", F.lit("F10").alias("rule"), F.col("feature_path").alias("part")))
     return out
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from earshot.operators import checks
 from earshot.operators.checks import Field, Resource
+from earshot.operators.numbering import shared_folder
 from earshot.plans.base import query
 from earshot.sources.surveys import table
 
@@ -60,6 +63,16 @@ def v12_package_roll_up(spark, sf_dir):
     return checks.roll_up("survey", resources, checks.package_findings(resources))
 
 
+@query(f"WITH {_PLAIN} SELECT 'survey' AS package, r AS resource, count(found.resource) AS findings, count(found.resource) = 0 AS valid, (SELECT count(*) FROM found) AS written FROM (VALUES ('clips'), ('places')) l(r) LEFT JOIN found ON found.resource = r GROUP BY r")
+def v12_written_roll_up(spark, sf_dir):
+    """The roll-up of findings that are written, counted while they are."""
+    resources, path = package(spark, sf_dir), f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
+    n = checks.written_with_counts(checks.package_findings(resources), path, {r.name: F.col("resource") == r.name for r in resources})
+    written = spark.read.parquet(path).agg(F.count("*").alias("written"))  # one row
+    rows = F.array(*[F.struct(F.lit("survey").alias("package"), F.lit(r.name).alias("resource"), F.lit(n[r.name]).cast("long").alias("findings"), F.lit(n[r.name] == 0).alias("valid")) for r in resources])
+    return written.select("written", F.explode(rows).alias("r")).select("r.*", "written")
+
+
 @query("SELECT 'clips' AS resource, field, rule, n FROM (SELECT 'fold' AS field, 'enum' AS rule, count(*) FILTER (c_custkey % 7 = 2) AS n FROM customer UNION ALL SELECT 'split', 'enum', count(*) FILTER (c_custkey % 3 = 2) FROM customer)")
 def v07_enumerations(spark, sf_dir):
     """How many values of each enumerated field of the clips are none of its values."""

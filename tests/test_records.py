@@ -25,6 +25,15 @@ def test_findings_of_nulls_repeats_and_empty_tables(spark):
     assert records.record_findings(spark.createDataFrame([], kind), clips, records.STRICT_TYPES).count() == 0
 
 
+def test_paths_are_below_the_datasets_folder(spark):
+    kind = "row_key long, feature_id string, clip_id string, feature_type string, provenance_json string, feature_value_json string, feature_path string"
+    rows = [(1, "a", "c", "other", "{}", "", "x.npy"), (2, "b", "c", "other", "{}", "", "/data/set/x.npy"), (3, "d", "c", "other", "{}", "", "y.npy"), (4, "e", "c", "other", "{}", "", "/x.npy"), (5, "f", "c", "other", "{}", "", " ")]
+    files = spark.createDataFrame([("/data/set/x.npy",), ("y.npy",)], "path string")
+    clips = spark.createDataFrame([("c",)], "clip_id string")
+    found = lambda folder: sorted((r.row_key, r.part) for r in records.record_findings(spark.createDataFrame(rows, kind), clips, records.STRICT_TYPES, files, folder).filter("rule = 'F10'").collect())
+    assert found("/data/set/") == [(3, "y.npy"), (4, "/x.npy")] and found("") == [(1, "x.npy"), (4, "/x.npy")]
+
+
 def test_mapping_paths_must_not_clash():
     with pytest.raises(ValueError):
         harmonise.nested([("a", "x.y"), ("b", "x.y")])
