@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from earshot.operators import descriptors, specs
+from earshot.functions import scores
+from earshot.operators import descriptors, records, specs
 from earshot.operators.numbering import shared_folder
 from earshot.plans import packages
 from earshot.plans.base import query
 from earshot.sources import readers, surveys
-from earshot.sources.surveys import PLACES_SQL, STIMULUS_SQL, table
+from earshot.sources.surveys import FRAMES_SQL, PLACES_SQL, STIMULUS_SQL, table
 
 
 def files_of(spark, documents: dict[str, dict]):
@@ -109,3 +110,14 @@ UNION ALL SELECT 'low', 'paper', 'reviewed', 1, (SELECT count(*) FROM places) UN
 def h11_spec_audit(spark, sf_dir):
     """Mappings by what reviewers said, and how many values they carry."""
     return specs.audit(files_of(spark, SPECS), _mapped_rows(spark, sf_dir))
+
+
+CLASSES = {"version": "1", "taxonomy": "events", "groups": {"active": ["interaction", "purchase"], "done": ["purchase", "signup"], "none": []}, "aliases": {"click": "interaction", "view": "interaction"}}
+
+
+@query(f"WITH {FRAMES_SQL}, c AS (SELECT clip, CASE WHEN class_name IN ('click', 'view') THEN 'interaction' ELSE class_name END AS class_name, cents FROM frames) SELECT clip, g AS group_name, coalesce(sum(cents) FILTER (list_contains(m, class_name)), 0)::BIGINT AS cents FROM c, (VALUES ('active', ['interaction', 'purchase']), ('done', ['purchase', 'signup']), ('none', [])) t(g, m) GROUP BY clip, g")
+def s13_class_map(spark, sf_dir):
+    """Shares summed by the groups of a class map that is read from a file."""
+    known = readers.class_map(files_of(spark, {"classes": CLASSES}))
+    named = scores.canonical_class(F.col("class_name"), known.aliases)
+    return records.group_sums(records.class_sums(surveys.frames(spark, sf_dir), named, ["clip"]), known.groups)

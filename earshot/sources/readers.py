@@ -7,9 +7,11 @@ finding, never a failed job.
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -82,6 +84,35 @@ def summary_index(docs: DataFrame) -> DataFrame:
     return both.groupBy("clip_id").agg(F.max_by("summary", "pos").alias("summary"))
 
 
+@dataclass(frozen=True)
+class ClassMap:
+    """Names of classes that mean another one, and the classes of each group."""
+
+    version: str
+    taxonomy: str
+    groups: dict[str, list[str]]
+    aliases: dict[str, str]
+
+
+def class_map(docs: DataFrame) -> ClassMap:
+    """The class map of the one document of docs(value), a configuration of bounded size that plans take as literals.
+
+    Missing members are empty; members of another kind, no document or several, or one that is no JSON object, are an error.
+    """
+    found = docs.select("value").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("no class map, or several")
+    doc = json.loads(found[0]["value"])
+    if not isinstance(doc, dict):
+        raise ValueError("a class map must be an object")
+    groups, aliases = doc.get("groups") or {}, doc.get("aliases") or {}
+    if not isinstance(groups, dict) or not all(isinstance(g, list) and all(isinstance(c, str) for c in g) for g in groups.values()):
+        raise ValueError("groups must hold lists of classes by name")
+    if not isinstance(aliases, dict) or not all(isinstance(c, str) for c in aliases.values()):
+        raise ValueError("aliases must hold classes by name")
+    return ClassMap(str(doc.get("version", "")), str(doc.get("taxonomy", "")), groups, aliases)
+
+
 #: Files of a clip's summary in the order in which they are asked for.
 SUMMARY_FILES = (".summary.json", "_summary.json", ".json", ".summary.csv", "_summary.csv", ".csv")
 

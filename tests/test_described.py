@@ -2,7 +2,10 @@
 
 import json
 
+import pytest
+
 from earshot.operators import descriptors, specs
+from earshot.sources import readers
 
 CELLS = "resource string, row_key long, field string, value string"
 
@@ -48,3 +51,12 @@ def test_specs_of_odd_rows(spark):
     assert clash.record is None and ("", "clashing paths") in map(tuple, clash.errors)
     assert sorted(r.dataset_id for r in specs.unmapped(frame, table).collect()) == ["lost", "none"]
     assert specs.apply_specs(frame.limit(0), table).collect() == [] and specs.apply_specs(frame, table.limit(0)).collect() == []
+
+
+def test_class_maps(spark):
+    docs = lambda *texts: spark.createDataFrame([(t,) for t in texts], "value string")
+    found = readers.class_map(docs('{"version": 2, "groups": {"green": ["tree"]}, "aliases": null}'))
+    assert (found.version, found.groups, found.aliases) == ("2", {"green": ["tree"]}, {})
+    for bad in ([], ["{}", "{}"], ["[]"], ['{"groups": {"a": "b"}}'], ['{"aliases": {"a": 1}}'], ["{broken"]):
+        with pytest.raises(ValueError):
+            readers.class_map(docs(*bad))
