@@ -98,7 +98,9 @@ _MEANS = ", ".join(f"sum(round_even({i} * 10000, 0)::BIGINT)::DOUBLE / (count({i
 def b04_rated_clips(spark, sf_dir):
     """Clips of rated responses, numbers by six digits (A03, P10): no id of a response is needed, so one shuffle."""
     clips = builders.rated_clips(builders.rated_rows(_raw_ratings(spark, sf_dir)))
-    six = {c: builders.six_digits(F.col(c)) for c in (*ITEMS, "loud")}
+    numbers = [*ITEMS, "loud"]  # one expression for all of them
+    clips = clips.withColumn("six", F.transform(F.array(*numbers), builders.six_digits))
+    six = {c: F.get("six", F.lit(i)) for i, c in enumerate(numbers)}
     rounded = {c: scores.half_even(F.col(c), 4) for c in ("iso_pleasant", "iso_eventful")}
     return clips.withColumns(six | rounded).select("clip_id", "n_responses", "n_participants", "n_languages", "recording", "audio_asset", *ITEMS, "loud", "iso_pleasant", "iso_eventful")
 
