@@ -13,7 +13,10 @@ neighbouring suffixes that it owns. Texts are dealt into blocks; anchors are ran
    also starts in a smaller document. What lies on both sides of a bucket's boundary is not equal, and the suffixes of
    one block meet those of another only here: bytes decide throughout, never hashes.
 
-A passage in very many documents is thus one record a block, however often the block has it.
+A passage in very many documents is thus one record a block, however often the block has it. A lead with very many
+anchors (runs of blanks, say) may have as many different records, which no bucket should hold: its records are sent as
+their suffixes, each distinct one once a block, in the order of a hash of all their bytes, and buckets of that order compare
+the bytes.
 """
 
 from __future__ import annotations
@@ -32,7 +35,10 @@ LENGTH, LEAD = 50, 16
 #: Places for an anchor in a suffix, and bytes that a suffix may have before or after its anchor.
 WINDOW = LENGTH - LEAD + 1
 SIDE = LENGTH - LEAD
-BLOCK_BYTES, BUCKET_ROWS = 8 << 20, 500_000
+#: Bytes of a block, rows of a bucket, and anchors from which on the records of a lead are parted by suffix.
+BLOCK_BYTES, BUCKET_ROWS, HOT_ANCHORS = 8 << 20, 500_000, 100_000
+#: Suffixes of an anchor, about; buckets of suffixes are planned by it.
+OWNED = 18
 #: Bytes of text sampled for splitters: per bucket, at least, and at most.
 SAMPLE_BUCKET, SAMPLE_LEAST, SAMPLE_MOST = 40_000, 2 << 20, 64 << 20
 MIX, MIX2 = 0x9E3779B1, 0x85EBCA77
@@ -40,8 +46,10 @@ MIX, MIX2 = 0x9E3779B1, 0x85EBCA77
 PIECE = (1 << 16) - 64
 #: A record: lead, what follows, what precedes (backwards), the lengths of both, in whole tokens.
 RECORD = 88
-CHUNK = "bucket int, block int, first long, keys binary, docs binary, many binary"
-TOLD = "block int, part int, places binary, bits binary"
+#: A suffix of a hot lead: its hash, then all its bytes.
+SUFFIX = 8 + LENGTH
+CHUNK = "bucket int, block int, first long, keys binary, docs binary, counts binary"
+TOLD = "block int, part int, hot long, places binary, bits binary"
 
 
 def tokens(rows: np.ndarray) -> list[np.ndarray]:
@@ -127,6 +135,7 @@ class Block:
         self.doc = ids[self.row] if len(ids) else np.zeros(0, np.int64)
         lead = self.around(0, LEAD, self.place)
         self.leads, self.of, self.low, self.many = grouped(lead, self.doc)
+        self.anchors_of = np.bincount(self.of, minlength=len(self.leads))
 
     def around(self, before: int, after: int, place: np.ndarray) -> np.ndarray:
         """Bytes from `before` ahead of each place to `after` behind it; zeros beyond the block."""
@@ -135,9 +144,9 @@ class Block:
         wide = np.concatenate([np.zeros(before, np.uint8), self.x, np.zeros(after, np.uint8)])
         return np.lib.stride_tricks.sliding_window_view(wide, before + after)[place]
 
-    def records(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors of shared leads: their numbers, the distinct records in order, each anchor's record, and each
-        record's smallest document."""
+    def records(self, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors of shared leads: their numbers, the distinct records in order, each anchor's record, each record's
+        smallest document, and whether its lead is hot, as `hot` says of shared."""
         pick = np.flatnonzero(np.isin(self.of, shared))
         place = self.place[pick]
         bytes_ = self.around(SIDE, LENGTH, place)
@@ -149,7 +158,28 @@ class Block:
         out[:, LENGTH : LENGTH + SIDE] = np.where(side < before[:, None], bytes_[:, SIDE - 1 :: -1], 0)
         out[:, LENGTH + SIDE], out[:, LENGTH + SIDE + 1] = after, before
         distinct, of, low, _ = grouped(out, self.doc[pick])
-        return pick, distinct, of, low
+        heat, is_hot = np.zeros(len(self.leads), bool), np.zeros(len(distinct), bool)
+        heat[shared[hot]] = True
+        is_hot[of] = heat[self.of[pick]]
+        return pick, distinct, of, low, is_hot
+
+
+def suffixes(kinds: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of some records: SUFFIX rows, the record of each and the bytes it has before the anchor."""
+    after, before = kinds[:, LEAD:LENGTH], kinds[:, LENGTH : LENGTH + SIDE]
+    n_after, n_before = kinds[:, LENGTH + SIDE].astype(np.int64), kinds[:, LENGTH + SIDE + 1].astype(np.int64)
+    rows, of, places = [np.zeros((0, LENGTH), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(WINDOW):
+        have = some[(SIDE - n_after[some] <= k) & (k <= n_before[some])]
+        rows.append(np.concatenate([before[have, :k][:, ::-1], kinds[have, :LEAD], after[have, : SIDE - k]], axis=1))
+        of.append(have)
+        places.append(np.full(len(have), k))
+    found = np.concatenate(rows)
+    mixed = np.zeros(len(found), np.uint64)
+    for token in tokens(found):
+        mixed = (mixed ^ token) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.concatenate([mixed.astype(">u8").view(np.uint8).reshape(-1, 8), found], axis=1), np.concatenate(of), np.concatenate(places)
 
 
 def grouped(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,14 +200,23 @@ def strings(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows[:, :LEAD]).view(f"S{LEAD}").ravel()
 
 
-def chunks(block: int, rows: np.ndarray, low: np.ndarray, many: np.ndarray, splitters: np.ndarray) -> pa.Table:
+def lead_buckets(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    return np.searchsorted(splitters, strings(rows), side="right") if len(rows) else np.zeros(0, np.int64)
+
+
+def suffix_buckets(rows: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of SUFFIX rows, below zero: as many ranges of their hashes."""
+    high = np.ascontiguousarray(rows[:, :4]).view(">u4").ravel().astype(np.int64)
+    return -1 - (high * buckets >> 32)
+
+
+def chunks(block: int, rows: np.ndarray, low: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.Table:
     """CHUNK rows, one for each bucket that some of the (sorted) rows of a block belong to."""
-    bucket = np.searchsorted(splitters, strings(rows), side="right") if len(rows) else np.zeros(0, np.int64)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else bucket
     spans = list(zip(first.tolist(), [*first[1:].tolist(), len(rows)]))
     binary = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
     numbers = [pa.array(bucket[first], pa.int32()), pa.array([block] * len(spans), pa.int32()), pa.array(first, pa.int64())]
-    return pa.table([*numbers, binary(rows), binary(low), binary(many)], names=["bucket", "block", "first", "keys", "docs", "many"])
+    return pa.table([*numbers, binary(rows), binary(low), binary(counts)], names=["bucket", "block", "first", "keys", "docs", "counts"])
 
 
 def joined(table: pa.Table, column: str, kind: type, width: int = 1) -> np.ndarray:
@@ -194,18 +233,33 @@ def told(table: pa.Table, width: int, part: int, pick: np.ndarray, bits: np.ndar
     cuts = np.searchsorted(chunk, np.arange(len(sizes) + 1))
     some = [i for i in range(len(sizes)) if cuts[i] < cuts[i + 1]]
     binary = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())
-    return pa.table([table.column("block").take(pa.array(some, pa.int64())).cast(pa.int32()), pa.array([part] * len(some), pa.int32()), binary(number), binary(bits)], names=["block", "part", "places", "bits"])
+    hot = pa.array([int(bits[cuts[i] : cuts[i + 1]].sum()) if part == 0 else 0 for i in some], pa.int64())
+    return pa.table([table.column("block").take(pa.array(some, pa.int64())).cast(pa.int32()), pa.array([part] * len(some), pa.int32()), hot, binary(number), binary(bits)], names=["block", "part", "hot", "places", "bits"])
 
 
-def shared_leads(table: pa.Table) -> pa.Table:
-    """Of the leads of a bucket: those in several documents."""
+def shared_leads(table: pa.Table, hot_anchors: int) -> pa.Table:
+    """Of the leads of a bucket: those in several documents. Where one has over hot_anchors anchors in all, with how many
+    of them are in the block, else with 0. A count below zero says that a block has the lead in several documents."""
     keys = tokens(joined(table, "keys", np.uint8, LEAD))
-    doc, many = joined(table, "docs", np.int64), joined(table, "many", bool)
+    doc, counts = joined(table, "docs", np.int64), joined(table, "counts", np.int64)
     order = multikey_sort(keys)
     starts, ends = runs(keys, order)
-    several = np.logical_or.reduceat(many[order], starts) | (np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts))
+    several = np.logical_or.reduceat(counts[order] < 0, starts) | (np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts))
     pick = np.sort(order[np.repeat(several, ends - starts)])
-    return told(table, LEAD, 0, pick, np.zeros(len(pick), np.uint64))
+    hot = np.empty(len(order), bool)
+    hot[order] = np.repeat(np.add.reduceat(np.abs(counts[order]), starts) > hot_anchors, ends - starts)
+    return told(table, LEAD, 0, pick, np.where(hot, np.abs(counts), 0)[pick].astype(np.uint64))
+
+
+def smaller_elsewhere(table: pa.Table) -> pa.Table:
+    """Of the suffixes of a bucket: those that another block has in a smaller document."""
+    keys, doc = tokens(joined(table, "keys", np.uint8, SUFFIX)), joined(table, "docs", np.int64)
+    order = multikey_sort(keys)
+    starts, ends = runs(keys, order)
+    low = np.empty(len(order), np.int64)
+    low[order] = np.repeat(np.minimum.reduceat(doc[order], starts), ends - starts)
+    pick = np.flatnonzero(low < doc)
+    return told(table, SUFFIX, 2, pick, np.zeros(len(pick), np.uint64))
 
 
 def agreement(rows: np.ndarray, same_run: np.ndarray) -> np.ndarray:
@@ -274,10 +328,17 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def cuts(ids: np.ndarray, texts: list[bytes], answers: pa.Table) -> list[list[tuple[int, int]]]:
     """The spans to remove from each text of a block."""
     block = Block(ids, texts)
-    pick, kinds, of, low = block.records(numbers(answers, 0)[0])
+    shared, heat = numbers(answers, 0)
+    pick, kinds, of, low, hot = block.records(shared, heat > 0)
     bits = np.zeros(len(kinds), np.uint64)
     place, found = numbers(answers, 1)
-    bits[place] = found
+    bits[np.flatnonzero(~hot)[place]] = found
+    rows, record, k = suffixes(kinds, np.flatnonzero(hot))
+    _, suffix, smallest, _ = grouped(rows, low[record])
+    elsewhere = np.zeros(len(smallest), bool)
+    elsewhere[numbers(answers, 2)[0]] = True
+    gone = elsewhere[suffix] | (smallest[suffix] < low[record]) if len(rows) else np.zeros(0, bool)
+    np.bitwise_or.at(bits, record[gone], np.uint64(1) << k[gone].astype(np.uint64))
     begin, end, anchor = block.begin[pick], block.end[pick], block.place[pick]
     later = block.doc[pick] > low[of] if len(pick) else np.zeros(0, bool)
     starts, stops = [begin[later]], [end[later] + LENGTH]
@@ -313,35 +374,45 @@ def splitters_of(texts: DataFrame, size: int, buckets: int) -> np.ndarray:
     return np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
 
 
-def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_rows: int = BUCKET_ROWS, hot_anchors: int = HOT_ANCHORS) -> DataFrame:
     """doc_id, spans (array of start, end in bytes, maximal and in order) and kept (binary, the other bytes) of each row.
 
     A byte goes where LENGTH bytes that cover it also start in a document of smaller doc_id. A null text counts as
     empty; a null doc_id is smaller than none, so its row neither loses bytes nor takes any from others; rows of one
     doc_id, alike or not, take nothing from each other, and each loses what smaller ones hold; an empty table gives an
-    empty table; other columns are ignored. Equal rows go to one block; a text longer than a block is one by itself.
+    empty table; other columns are ignored; a lead of any heat gives the same result. Equal rows go to one block; a text longer than a block is one by itself.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // block_bytes + 1)).cast("int"))
     texts = rows.filter("doc_id IS NOT NULL")
-    splitters = spark.sparkContext.broadcast(splitters_of(texts, size, size // 18 // bucket_rows + 1))  # an anchor has 18 bytes
+    splitters = spark.sparkContext.broadcast(splitters_of(texts, size, size // OWNED // bucket_rows + 1))  # an anchor for OWNED bytes
 
     def send_leads(key: tuple, rows: pa.Table) -> pa.Table:
         block = Block(*ids_and_texts(rows))
-        return chunks(key[0].as_py(), block.leads, block.low, block.many, splitters.value)
+        counts = np.where(block.many, -block.anchors_of, block.anchors_of)
+        return chunks(key[0].as_py(), block.leads, block.low, counts, lead_buckets(block.leads, splitters.value))
 
     leads = texts.groupBy("block").applyInArrow(send_leads, CHUNK)
-    shared = saved(leads.groupBy("bucket").applyInArrow(shared_leads, TOLD))
+    shared = saved(leads.groupBy("bucket").applyInArrow(lambda rows: shared_leads(rows, hot_anchors), TOLD))
+    suffix_ranges = (shared.agg(F.sum("hot")).first()[0] or 0) * OWNED // bucket_rows + 1
 
     def send_records(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(*ids_and_texts(rows))
-        _, kinds, _, low = block.records(numbers(answers, 0)[0])
-        return chunks(key[0].as_py(), kinds, low, np.zeros(len(low), bool), splitters.value)
+        shared, heat = numbers(answers, 0)
+        _, kinds, _, low, hot = block.records(shared, heat > 0)
+        cold, none = np.flatnonzero(~hot), np.zeros(0, np.int64)
+        parted, record, _ = suffixes(kinds, np.flatnonzero(hot))
+        parted, _, smallest, _ = grouped(parted, low[record])
+        whole = chunks(key[0].as_py(), kinds[cold], low[cold], none, lead_buckets(kinds[cold], splitters.value))
+        return pa.concat_tables([whole, chunks(key[0].as_py(), parted, smallest, none, suffix_buckets(parted, suffix_ranges))])
+
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        return smaller_elsewhere(rows) if key[0].as_py() < 0 else repeated_suffixes(rows)
 
     records = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_records, CHUNK)
-    answers = saved(records.groupBy("bucket").applyInArrow(repeated_suffixes, TOLD))
+    answers = saved(records.groupBy("bucket").applyInArrow(answer, TOLD))
 
     def cut(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         named = rows.filter(pc.is_valid(rows.column("doc_id")))

@@ -78,3 +78,38 @@ def test_rows_alike_in_id_and_text_share_their_spans(spark):
     rows = [(5, text), (5, text), (5, text + " and more"), (6, text), (6, text), (None, text), (None, text)]
     got = sorted((tuple(r) for r in suffixes.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == brute(rows)
+
+
+def contexts(documents, each, seed):
+    """Documents in which one lead, whose hash is lower than most, stands in different contexts; some recur."""
+    rng = np.random.default_rng(seed)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    tries = letters[rng.integers(0, 27, 100_000)]
+    place, begin, end = suffixes.anchors(tries, np.array([len(tries)]))
+    best = place[np.argmax(end - begin)]  # it owns as many suffixes as one can
+    lead = bytes(tries[best : best + suffixes.LEAD]).decode()
+    side = lambda: bytes(letters[rng.integers(0, 27, 40)]).decode()
+    known = [side() + lead + side() for _ in range(max(documents // 3, 1))]
+    rows = []
+    for i in range(documents):
+        parts = [side() + lead + side() for _ in range(each)]
+        parts[0] = known[rng.integers(0, len(known))]
+        cut = known[rng.integers(0, len(known))]
+        parts[1] = side()[:20] + cut[rng.integers(5, 30) : rng.integers(66, 90)] + side()[:20]
+        rows.append((int(rng.integers(0, 10 * documents)), "".join(parts)))
+    return rows
+
+
+def test_hot_leads_are_parted_by_suffix(spark):
+    rows = contexts(150, 12, 5) + [(3, None), (None, "x" * 80), (8, " " * 300), (9, " " * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert sum(r[2] for r in want) > 1000
+    for options in ({"hot_anchors": 0}, {"hot_anchors": 0, "bucket_rows": 200, "block_bytes": 20_000}, {"hot_anchors": 30, "bucket_rows": 500, "block_bytes": 50_000}):
+        assert sorted((tuple(r) for r in suffixes.digest(df, **options).collect()), key=repr) == want
+
+
+def test_a_lead_with_many_contexts_agrees_with_the_plain_way(spark):
+    df = spark.createDataFrame(contexts(1000, 100, 6), "doc_id long, text string").repartition(4).cache()
+    rows = lambda **options: sorted(tuple(r) for r in suffixes.digest(df, block_bytes=1 << 20, **options).collect())
+    assert rows(hot_anchors=20_000, bucket_rows=20_000) == rows(hot_anchors=10**9)
