@@ -56,5 +56,7 @@ def filtered_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent
     probed = child.filter(F.col(child_key).isNotNull()).withColumns({"_row": row, "_word": word, "_bits": bits})
     probed = probed.join(F.broadcast(key_filter(parent, parent_key, rows)), "_row")
     maybe = F.get("_words", F.col("_word")).bitwiseAND(F.col("_bits")) == F.col("_bits")
-    lost = orphans(probed.filter(maybe).select(*child.columns), parent, child_key, parent_key)
+    # an outer join, as the optimizer moves an anti join below the filter, where it shuffles all children
+    known = parent.select(F.col(parent_key).alias(child_key)).distinct().withColumn("_known", F.lit(True))
+    lost = probed.filter(maybe).select(*child.columns).join(known, child_key, "left").filter("_known IS NULL")
     return probed.filter(~maybe).select(*child.columns).unionByName(lost.select(*child.columns))
