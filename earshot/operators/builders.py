@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from earshot.functions import scores, texts
 from earshot.functions.scores import ITEMS, eventfulness, half_even, pleasantness
+from earshot.operators.aggregates import with_coordinates
 from earshot.operators.numbering import dense_numbers
+from earshot.operators.tables import saved
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], table: str) -> None:
@@ -106,6 +108,28 @@ def sequential_ids(rows: DataFrame, order: list[str], prefix: str, name: str) ->
     return numbered.withColumn(name, texts.padded_id(prefix, F.col("_number"), 6)).drop("_number")
 
 
+STIMULUS_KEYS = ["fold", "soundscape", "masker", "smr"]
+
+
+def stimulus_tables(responses: DataFrame, people: DataFrame, announced: DataFrame, prefix: str, shared: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Responses with their person's columns, coordinates and clip_id, and one clip for each stimulus that was announced or
+    answered: its keys, n, mean_calm and iso_pleasant, n 0 and no means where nobody answered.
+
+    Both read one table, written once, which stays until the application ends; with shared=False, for a single reader,
+    none is written. Clips are numbered in the order of their keys, nulls last. Coordinates are summed in whole millionths, so that reruns agree.
+    """
+    listed = responses.select(*STIMULUS_KEYS).unionByName(announced.select(*STIMULUS_KEYS)).distinct()
+    clips = sequential_ids(listed, STIMULUS_KEYS, prefix, "clip_id")
+    keys = clips.select(*[F.col(k).alias(f"_{k}") for k in STIMULUS_KEYS], "clip_id")
+    scored = with_coordinates(responses.join(people, "participant", "left"))
+    same = [scored[k].eqNullSafe(keys[f"_{k}"]) for k in STIMULUS_KEYS]
+    placed = scored.join(keys, same, "left").drop(*keys.columns[:-1])
+    placed = saved(placed) if shared else placed
+    micro = F.sum(F.rint(F.col("iso_pleasant") * 1_000_000).cast("long")) / (F.count("iso_pleasant") * 1_000_000)
+    means = placed.groupBy("clip_id").agg(F.count("*").alias("n"), F.avg("calm").alias("mean_calm"), micro.alias("iso_pleasant"))
+    return placed, clips.join(means, "clip_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def rated_rows(rows: DataFrame) -> DataFrame:
     """Raw ratings (text, 0 to 100) as five-point values, nulls for blanks and for ratings out of range; rows of a blank
     recording are left out. One narrow pass."""

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.operators.numbering import shared_folder
+from earshot.operators.tables import shared_folder
 
 
 def declared_nodes(df: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:

@@ -2,54 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.operators.tables import free, saved
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, an error, but in local mode a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not (spark.sparkContext.master or "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-earshot-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
 
+def dense_numbers(df: DataFrame, keys: list[str], name: str = "number", once: bool = True) -> DataFrame:
+    """df with the place of each row (from 1) in the order of keys, nulls last; rows of equal keys in any order, the same
+    in each run over the result.
 
-def dense_numbers(df: DataFrame, keys: list[str], name: str = "number") -> DataFrame:
-    """df with the place of each row (from 1) in the order of keys, nulls last; rows of equal keys in any order.
-
-    Rows are range-sorted and numbered within partitions; a count per partition gives each its first number, so no
-    task sees all rows. An empty table gives an empty table.
+    df is computed once, into a table from which rows are range-sorted into another, which stays until the application
+    ends. With once=False it is read twice, for the ranges and for the rows: cheaper where df only reads a stored table.
+    Counts per range give each its first number, so no task sees all rows; rows of equal keys are parted too, by their
+    place in df. An empty table gives an empty table.
     """
-    order = [F.col(k).asc_nulls_last() for k in keys]
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    dealt = checkpointed(dealt)
-    sizes = dealt.groupBy("_at").agg(F.count("*").alias("n"))  # one row per partition
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.join(F.broadcast(before), "_at").withColumn(name, F.col("before") + local + 1).drop("_at", "_id", "n", "before")
-
-
-def suffix_repeats(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    order = [*[F.col(k).asc_nulls_last() for k in keys], F.col("_row").asc()]
+    placed = df.withColumn("_row", F.monotonically_increasing_id())
+    placed = saved(placed) if once else placed
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_row")
+    table = saved(dealt.withColumns({"_at": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
+    free(placed)
+    sizes = table.groupBy("_at").agg(F.count("*").alias("n"))  # one row per partition
+    before = sizes.select("_at", F.coalesce(F.sum("n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return table.join(F.broadcast(before), "_at", "left").withColumn(name, F.col("_before") + within + 1).select(*df.columns, name)
+
+
+def suffix_repeats(df: DataFrame, key: str, order: list[str], name: str, once: bool = True) -> DataFrame:
     """df with name: the key, followed by _R00, _R01, ... (wider from 100 on) on every row of a key that occurs more than
     once, in order; rows of a null key get null.
 
     A row's place is its number in the order of all rows less the first of its key, so that no task holds all rows of
-    a key; firsts are pre-aggregated, and their join may split a hot key.
+    a key; firsts are pre-aggregated, and their join may split a hot key. once is as in dense_numbers().
     """
-    numbered = dense_numbers(df, [key, *order], "_number")
+    numbered = dense_numbers(df, [key, *order], "_number", once)
     firsts = numbered.groupBy(key).agg(F.min("_number").alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1")
     suffix = F.when(F.col("_first").isNotNull(), F.format_string("_R%02d", F.col("_number") - F.col("_first"))).otherwise("")
     return numbered.join(firsts, key, "left").withColumn(name, F.concat(key, suffix)).select(*df.columns, name)

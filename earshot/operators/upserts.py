@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.operators.numbering import shared_folder
+from earshot.operators.tables import shared_folder
 
 LAYOUT = ["dataset_id", "bucket"]
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from earshot.functions import scores, texts
 from earshot.functions.scores import ITEMS
-from earshot.operators import aggregates, builders, harmonise, numbering, upserts
+from earshot.operators import aggregates, builders, harmonise, numbering, tables, upserts
+from earshot.operators.builders import STIMULUS_KEYS
 from earshot.plans.base import query
 from earshot.plans.registry import COORDINATES, E_SQL, P_SQL, even
 from earshot.sources import surveys
@@ -32,44 +33,53 @@ def b02_site_clips(spark, sf_dir):
 
 
 _STIMULI = f"""{STIMULUS_SQL}, {PARTICIPANTS_SQL}, kept AS (SELECT s.*, language, age, {COORDINATES} FROM stimulus s LEFT JOIN participants USING (participant) WHERE fold BETWEEN -1 AND 7),
-keys AS (SELECT *, printf('STIM_%06d', row_number() OVER (ORDER BY fold NULLS LAST, soundscape NULLS LAST, masker NULLS LAST, smr NULLS LAST)) AS clip_id FROM (SELECT DISTINCT fold, soundscape, masker, smr FROM kept)),
+announced AS (SELECT p_partkey % 9 - 1 AS fold, 'R' || lpad((p_size % 40)::VARCHAR, 4, '0') AS soundscape, CASE WHEN p_partkey % 2 = 0 THEN 'quiet' ELSE 'NO' END AS masker, 0::BIGINT AS smr FROM part),
+keys AS (SELECT *, printf('STIM_%06d', row_number() OVER (ORDER BY fold NULLS LAST, soundscape NULLS LAST, masker NULLS LAST, smr NULLS LAST)) AS clip_id FROM (SELECT fold, soundscape, masker, smr FROM kept UNION SELECT fold, soundscape, masker, smr FROM announced)),
 placed AS (SELECT kept.*, clip_id, printf('STIM_%d_S%02d', participant, line) AS id FROM kept JOIN keys ON kept.fold IS NOT DISTINCT FROM keys.fold AND kept.soundscape IS NOT DISTINCT FROM keys.soundscape AND kept.masker IS NOT DISTINCT FROM keys.masker AND kept.smr IS NOT DISTINCT FROM keys.smr)"""
 _SPLIT = "CASE WHEN fold = -1 THEN 'aux' WHEN fold IN (0, 6, 7) THEN 'test' WHEN fold = 5 THEN 'dev' ELSE 'train' END"
-STIMULUS_KEYS = ["fold", "soundscape", "masker", "smr"]
 
 
-def _stimuli(spark, sf_dir):
-    """Kept responses with demographics, coordinates and the number of their stimulus."""
+def _stimuli(spark, sf_dir, shared=False):
+    """Responses and clips of masked stimuli, from one table if both are read; some announced stimuli have no response."""
     raw = surveys.stimulus_responses(spark, sf_dir).withColumnRenamed("response_key", "source_key")
     builders.require_columns(raw, ["source_key", "line", "participant", *STIMULUS_KEYS, *ITEMS], "responses")
     kept = raw.withColumnsRenamed({"source_key": "response_key"}).filter("fold BETWEEN -1 AND 7")
-    scored = aggregates.with_coordinates(kept.join(surveys.participants(spark, sf_dir), "participant", "left"))
-    numbered = numbering.dense_numbers(kept.select(*STIMULUS_KEYS).distinct(), STIMULUS_KEYS)
-    keys = numbered.select(*[F.col(k).alias(f"_{k}") for k in STIMULUS_KEYS], texts.padded_id("STIM_", F.col("number"), 6).alias("clip_id"))
-    same = [scored[k].eqNullSafe(keys[f"_{k}"]) for k in STIMULUS_KEYS]
-    return scored.join(keys, same, "left").drop(*[f"_{k}" for k in STIMULUS_KEYS])
+    announced = table(spark, sf_dir, "part").selectExpr("p_partkey % 9 - 1 AS fold", "concat('R', lpad(cast(p_size % 40 AS string), 4, '0')) AS soundscape", "CASE WHEN p_partkey % 2 = 0 THEN 'quiet' ELSE 'NO' END AS masker", "0L AS smr")
+    return builders.stimulus_tables(kept, surveys.participants(spark, sf_dir), announced, "STIM_", shared)
 
 
 @query(f"WITH {_STIMULI} SELECT clip_id, response_key, line, part_key, language, age, iso_pleasant, iso_eventful, id || CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN printf('_R%02d', row_number() OVER (PARTITION BY id ORDER BY response_key, part_key, clip_id) - 1) ELSE '' END AS response_id FROM placed")
 def b03_stimulus_responses(spark, sf_dir):
     """Responses to masked stimuli: renamed, filtered, joined to people and stimuli, ids made unique."""
-    rows = _stimuli(spark, sf_dir).withColumn("id", F.format_string("STIM_%d_S%02d", "participant", "line"))
-    named = numbering.suffix_repeats(rows, "id", ["response_key", "part_key", "clip_id"], "response_id")
-    return named.select("clip_id", "response_key", "line", "part_key", "language", "age", "iso_pleasant", "iso_eventful", "response_id")
+    responses, _ = _stimuli(spark, sf_dir)
+    told = responses.select("clip_id", "response_key", "line", "part_key", "language", "age", "iso_pleasant", "iso_eventful", F.format_string("STIM_%d_S%02d", "participant", "line").alias("id"))
+    return numbering.suffix_repeats(told, "id", ["response_key", "part_key", "clip_id"], "response_id").drop("id")
 
 
 _MICRO = lambda c: even(f"sum(round_even({c} * 1000000, 0)::BIGINT)::DOUBLE / (count({c}) * 1000000)", 4)
 
 
-@query(f"WITH {_STIMULI} SELECT k.clip_id, k.fold, k.soundscape, k.masker, k.smr, {_SPLIT} AS split, k.fold = -1 AS is_common, coalesce(n, 0) AS n, mean_calm, p AS iso_pleasant FROM keys k LEFT JOIN (SELECT clip_id, count(*) AS n, {even('avg(calm)', 4)} AS mean_calm, {_MICRO('iso_pleasant')} AS p FROM placed WHERE participant < 250 GROUP BY clip_id) USING (clip_id)")
+@query(f"WITH {_STIMULI} SELECT k.clip_id, k.fold, k.soundscape, k.masker, k.smr, {_SPLIT} AS split, k.fold = -1 AS is_common, coalesce(n, 0) AS n, mean_calm, p AS iso_pleasant FROM keys k LEFT JOIN (SELECT clip_id, count(*) AS n, {even('avg(calm)', 4)} AS mean_calm, {_MICRO('iso_pleasant')} AS p FROM placed GROUP BY clip_id) USING (clip_id)")
 def b03_stimulus_clips(spark, sf_dir):
-    """All stimuli with the aggregates of the responses of half of the people."""
-    placed = _stimuli(spark, sf_dir)
-    clips = placed.select("clip_id", *STIMULUS_KEYS).distinct()
-    micro = F.sum(F.rint(F.col("iso_pleasant") * 1_000_000).cast("long")) / (F.count("iso_pleasant") * 1_000_000)
-    means = placed.filter("participant < 250").groupBy("clip_id").agg(F.count("*").alias("n"), scores.half_even(F.avg("calm"), 4).alias("mean_calm"), scores.half_even(micro, 4).alias("iso_pleasant"))
+    """All stimuli with the aggregates of their responses, none for those only announced."""
+    return _clip_columns(_stimuli(spark, sf_dir)[1])
+
+
+def _clip_columns(clips):
     split = scores.split_of(F.col("fold"), F.lit(5)).alias("split")
-    return clips.join(means, "clip_id", "left").select("clip_id", *STIMULUS_KEYS, split, (F.col("fold") == -1).alias("is_common"), F.coalesce("n", F.lit(0)).alias("n"), "mean_calm", "iso_pleasant")
+    rounded = [scores.half_even(F.col(c), 4).alias(c) for c in ("mean_calm", "iso_pleasant")]
+    return clips.select("clip_id", *STIMULUS_KEYS, split, (F.col("fold") == -1).alias("is_common"), "n", *rounded)
+
+
+@query(f"WITH {_STIMULI}, clips AS (SELECT k.clip_id, {_SPLIT} AS split, coalesce(n, 0) AS n FROM keys k LEFT JOIN (SELECT clip_id, count(*) AS n FROM placed GROUP BY clip_id) USING (clip_id)), "
+       "responses AS (SELECT clip_id, count(*) AS n, count(language) AS known FROM placed GROUP BY clip_id) "
+       "SELECT split, count(*) AS clips, sum(c.n)::BIGINT AS counted, coalesce(sum(r.n), 0)::BIGINT AS responses, coalesce(sum(known), 0)::BIGINT AS known FROM clips c LEFT JOIN responses r USING (clip_id) GROUP BY split")
+def b03_both_outputs(spark, sf_dir):
+    """Clips and responses of one table set against each other by split: what clips count is what responses there are."""
+    responses, clips = _stimuli(spark, sf_dir, shared=True)
+    told = responses.groupBy("clip_id").agg(F.count("*").alias("n"), F.count("language").alias("known")).withColumnsRenamed({"n": "_n"})
+    both = _clip_columns(clips).join(told, "clip_id", "left").groupBy("split")
+    return both.agg(F.count("*").alias("clips"), F.sum("n").alias("counted"), F.coalesce(F.sum("_n"), F.lit(0)).alias("responses"), F.coalesce(F.sum("known"), F.lit(0)).alias("known"))
 
 
 RATED = "SELECT event_id AS row, CASE WHEN event_id % 23 = 0 THEN '  ' ELSE concat(' ', event_type, ' no. ', user_id % 5, ' ') END AS recording, concat(' P', user_id, ' ') AS participant, concat('L', user_id % 18) AS language, " + ", ".join(
@@ -249,7 +259,7 @@ _LAID = FEATURES.replace("SELECT event_id AS pos,", "SELECT event_id AS pos, con
 def u02_upsert_by_folder(spark, sf_dir):
     """A table by dataset and bucket, of which an upsert rewrites what holds its clips, twice over, as after a failure."""
     rows = spark.sql(_LAID.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
-    path, kind = f"{numbering.shared_folder(spark)}/features-{uuid.uuid4().hex}", "pos long, dataset_id string, feature_id string, clip_id string, feature_type string"
+    path, kind = f"{tables.shared_folder(spark)}/features-{uuid.uuid4().hex}", "pos long, dataset_id string, feature_id string, clip_id string, feature_type string"
     upserts.write_table(rows, path, 4)
     new = rows.filter("pos % 2 = 0 AND feature_type = 'visual_clip_embedding' AND clip_id <> '' AND dataset_id = 'd1'")
     for _ in range(2):

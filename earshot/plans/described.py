@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import scores
 from earshot.operators import descriptors, records, specs
-from earshot.operators.numbering import shared_folder
+from earshot.operators.tables import shared_folder
 from earshot.plans import packages
 from earshot.plans.base import query
 from earshot.sources import readers, surveys

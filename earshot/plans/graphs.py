@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from earshot.operators import keyfilters, lineage
-from earshot.operators.numbering import shared_folder
+from earshot.operators.tables import shared_folder
 from earshot.plans.base import query
 from earshot.sources.surveys import table
 from earshot.streaming import repeats

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from earshot.operators import checks
 from earshot.operators.checks import Field, Resource
-from earshot.operators.numbering import shared_folder
+from earshot.operators.tables import shared_folder
 from earshot.plans.base import query
 from earshot.sources.surveys import table
 

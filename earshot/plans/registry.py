@@ -123,7 +123,7 @@ def w01_clip_numbers(spark, sf_dir):
 @query(f"WITH {PLACES_SQL}, i AS (SELECT response_key, coalesce(location, 'none') || '_' || session || '_' || grp AS id FROM places) SELECT response_key, id, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN id || printf('_R%02d', row_number() OVER w - 1) ELSE id END AS unique_id FROM i WINDOW w AS (PARTITION BY id ORDER BY response_key)")
 def w03_repeat_suffixes(spark, sf_dir):
     rows = surveys.place_responses(spark, sf_dir).select("response_key", F.concat_ws("_", F.coalesce("location", F.lit("none")), "session", "grp").alias("id"))
-    return numbering.suffix_repeats(rows, "id", ["response_key"], "unique_id")
+    return numbering.suffix_repeats(rows, "id", ["response_key"], "unique_id", once=False)
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")

@@ -2,13 +2,15 @@
 
 import base64
 import io
+import os
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.operators import builders, checks, numbering, samples
+from earshot.functions.scores import ITEMS
+from earshot.operators import builders, checks, numbering, samples, tables
 from earshot.sources import readers
 
 
@@ -85,6 +87,47 @@ def test_repeats_are_numbered_past_a_hundred(spark):
     assert numbering.suffix_repeats(spark.createDataFrame([], "k long, id string"), "id", ["k"], "unique").collect() == []
 
 
+def test_numbers_match_a_sort_and_compute_their_input_once(spark):
+    kinds, shares = [None, "a", "b", "hot", "é"], [None, 1.5, -2.0, 0.0]
+    rows = [(kinds[3 if i % 3 else i % 5], shares[i * 7 % 4], i) for i in range(2000)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(rows, "a string, b double, i long").mapInPandas(counted, "a string, b double, i long")
+    got = sorted(numbering.dense_numbers(df, ["a", "b"]).collect(), key=lambda r: r.number)
+    place = lambda a, b: (a is None, a or "", b is None, b or 0.0)
+    assert [r.number for r in got] == list(range(1, 2001)) and read.value == 2000
+    assert [place(r.a, r.b) for r in got] == sorted(place(a, b) for a, b, _ in rows)
+    again = numbering.dense_numbers(df, ["a", "b"], once=False)
+    assert sorted(r.number for r in again.collect()) == list(range(1, 2001)) and again.columns == ["a", "b", "i", "number"]
+    assert numbering.dense_numbers(df.limit(0), ["a"]).collect() == []
+
+
+def test_freed_tables_are_gone(spark):
+    table = tables.saved(spark.range(5).toDF("n"))
+    assert table.count() == 5 and os.path.isdir(table._earshot_table.removeprefix("file:"))
+    tables.free(table)
+    tables.free(spark.range(1))
+    assert not os.path.exists(table._earshot_table.removeprefix("file:"))
+
+
+def test_both_outputs_read_one_table(spark):
+    clean = {i: 3.0 for i in ITEMS}
+    made = [{"response_key": k, "line": 1, "participant": p, "fold": f, "soundscape": "R1", "masker": None, "smr": 0, **clean} for k, (p, f) in enumerate([(1, 0), (1, 0), (2, 5), (None, 5)])]
+    kind = "response_key long, line long, participant long, fold long, soundscape string, masker string, smr long, " + ", ".join(f"{i} double" for i in ITEMS)
+    people = spark.createDataFrame([(1, "en")], "participant long, language string")
+    announced = spark.createDataFrame([(0, "R1", None, 0), (7, "R9", "quiet", 0)], "fold long, soundscape string, masker string, smr long")
+    responses, clips = builders.stimulus_tables(spark.createDataFrame(made, kind), people, announced, "S_")
+    assert set(responses.inputFiles()) < set(clips.inputFiles())  # the shared table, and that of numbers
+    assert not any(kind in f._jdf.queryExecution().executedPlan().toString() for f in (responses, clips) for kind in ("LocalTableScan", "ExistingRDD"))
+    assert sorted((r.clip_id, r.fold, r.n) for r in clips.collect()) == [("S_000001", 0, 2), ("S_000002", 5, 2), ("S_000003", 7, 0)]
+    assert sorted((r.response_key, r.clip_id, r.language) for r in responses.collect()) == [(0, "S_000001", "en"), (1, "S_000001", "en"), (2, "S_000002", None), (3, "S_000002", None)]
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="b, c"):
         builders.require_columns(spark.createDataFrame([(1,)], "a int"), ["a", "b", "c"], "t")
