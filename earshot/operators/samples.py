@@ -149,7 +149,7 @@ def opened(cut: DataFrame) -> DataFrame:
     out = cut.withColumns({k: F.map_entries(members(v)) for k, v in maps.items()} | {k: entries(v) for k, v in lists.items()})
     names = {f"{k}_keys": F.transform(k, lambda e: e["key"]) for k in maps}
     ids = F.transform(F.filter("_nodes", is_object), lambda n: F.coalesce(plain(part(n, "id")), F.lit("null")))
-    return out.withColumns(names | {"_told": F.transform("_missing", lambda m: plain(part(m, "field"))), "_ids": ids})
+    return out.withColumns(names | {"_told": F.filter(F.transform("_missing", lambda m: plain(part(m, "field"))), F.isnotnull), "_ids": ids})
 
 
 def sample_rules(framed: tuple[str, ...]) -> list[Rule]:
