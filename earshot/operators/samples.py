@@ -1,8 +1,9 @@
 """Rules of nested sample records, mapping specs, checklists and graph models: one finding for each rule that a part breaks.
 
-Documents are JSON texts, parsed once each into a variant; every rule is a column expression that gives the parts that
-break it, so that a table of documents is one narrow pass. Sections of another kind than their rules expect count as
-empty, never as an error of the job.
+Documents are JSON texts, parsed once each into a variant, which is read once more as a struct of what the rules ask for:
+members that are missing or of another kind are null there, and only those whose kind matters stay variants. Every rule is
+a column expression on the struct that gives the parts that break it, so that a table of documents is one narrow pass.
+Sections of another kind than their rules expect count as empty, never as an error of the job.
 """
 
 from __future__ import annotations
@@ -44,6 +45,22 @@ COORDINATES = ("pleasantness", "eventfulness")
 #: Texts of values that count as not given, unless they are texts themselves.
 EMPTY = ("0", "0.0", "false", "[]", "{}")
 VARIANTS, MAP = "array<variant>", "map<string,variant>"
+#: Kinds that tell objects, keys and lists apart from all else: values are not copied, and what is no object is null at no
+#: cost, where a cast of scalars would make an error for each.
+OBJECT = "struct<_:variant>"
+KEYS, LIST = f"map<string,{OBJECT}>", f"array<{OBJECT}>"
+
+_ASSESSED = "status:string,note:variant"
+#: What the rules of sample records look into; `alignment` and `features` as maps, as their keys count.
+SAMPLE = f"""struct<record_type:string,dataset_id:variant,sample_id:variant,
+harmonisation:struct<scope:string,levels:map<string,struct<{_ASSESSED}>>,checklist:array<struct<item:string,{_ASSESSED}>>>,
+access:struct<status:string>,study:struct<environment_type:string,setting:string>,audio:struct<channel_type:string>,visual:struct<type:string,asset:variant>,alignment:map<string,string>,
+perception:struct<framework:string,iso_12913:struct<paq:map<string,struct<value:variant,original_field:variant,value_type:string>>,derived_coordinates:map<string,struct<method:variant,source:variant,value_type:string>>>>,
+features:map<string,array<struct<name:string,method:variant,provenance:variant>>>,
+knowledge_graph:struct<nodes:array<struct<id:variant,type:variant,label:variant>>,edges:array<struct<source:string,target:string,relation:variant>>>,
+harmonisation_potential:struct<score:variant,components:array<struct<name:variant,score:variant,status:string,reason:variant>>>,
+missingness:array<struct<field:string,status:string>>,provenance:array<struct<source_type:string,note:variant>>,validation:struct<status:string>>"""
+MAPPING = f"struct<dataset_id:string,semantic_framework:string,harmonisation_scope:string,mappings:array<struct<target_field:string,mapping_confidence:string,evidence_type:string,review_status:string,source_column_examples:{LIST}>>>"
 ERROR, WARNING = "error", "warning"
 
 Rule = tuple[str, str, Column]
@@ -70,7 +87,7 @@ def given(v: Column) -> Column:
 
 
 def one_of(v: Column, options: tuple[str, ...]) -> Column:
-    return F.coalesce(plain(v).isin(*options), F.lit(False))
+    return among(plain(v), options)
 
 
 def kind_is(v: Column, kind: str) -> Column:
@@ -79,11 +96,16 @@ def kind_is(v: Column, kind: str) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", MAP).isNotNull()
+    return F.try_variant_get(v, "$", OBJECT).isNotNull()
 
 
 def is_list(v: Column) -> Column:
-    return F.try_variant_get(v, "$", VARIANTS).isNotNull()
+    return F.try_variant_get(v, "$", LIST).isNotNull()
+
+
+def keys_of(v: Column, path: str = "$") -> Column:
+    """The keys of an object; none for anything else."""
+    return F.coalesce(F.map_keys(F.try_variant_get(v, path, KEYS)), no_parts())
 
 
 def members(v: Column) -> Column:
@@ -102,6 +124,10 @@ def share(v: Column) -> Column:
     return F.coalesce(number & F.try_variant_get(v, "$", "double").between(0, 1), F.lit(False))
 
 
+def among(text: Column, options: tuple[str, ...]) -> Column:
+    return F.coalesce(text.isin(*options), F.lit(False))
+
+
 def broken(bad: Column, named: str | Column) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), F.array(F.lit(named) if isinstance(named, str) else named)).otherwise(no_parts())
 
@@ -122,101 +148,104 @@ def beyond(keys: Column, known: tuple[str, ...]) -> Column:
 
 
 def each(items: Column, bad: Callable[[Column], Column], name: Callable[[Column], Column]) -> Column:
-    """The names of the items that are bad; of several alike, one each."""
-    return F.transform(F.filter(items, lambda x: F.coalesce(bad(x), F.lit(False))), lambda x: F.coalesce(name(x), F.lit("?")))
+    """The names of the items that are bad; of several alike, one each. No list has none."""
+    found = F.transform(F.filter(items, lambda x: F.coalesce(bad(x), F.lit(False))), lambda x: F.coalesce(name(x), F.lit("?")))
+    return F.coalesce(found, no_parts())
 
 
 def of_objects(rule: str, items: Column, name: Callable[[Column], Column], value: Callable[[Column], Column], checks: dict[str, Callable[[Column], Column]]) -> list[Rule]:
-    """Items must be objects (rule_object), and objects must pass each check (rule_<its name>)."""
-    out = [(f"{rule}_object", ERROR, each(items, lambda x: ~is_object(value(x)), name))]
-    return out + [(f"{rule}_{k}", ERROR, each(items, lambda x, c=check: is_object(value(x)) & ~c(value(x)), name)) for k, check in checks.items()]
+    """Items must be objects (rule_object), others being null, and objects must pass each check (rule_<its name>)."""
+    out = [(f"{rule}_object", ERROR, each(items, lambda x: value(x).isNull(), name))]
+    return out + [(f"{rule}_{k}", ERROR, each(items, lambda x, c=check: value(x).isNotNull() & ~c(value(x)), name)) for k, check in checks.items()]
 
 
 def by_key(rule: str, pairs: Column, checks: dict[str, Callable[[Column], Column]]) -> list[Rule]:
     return of_objects(rule, pairs, lambda e: e["key"], lambda e: e["value"], checks)
 
 
-def by_name(rule: str, listed: Column, field: str, checks: dict[str, Callable[[Column], Column]]) -> list[Rule]:
-    return of_objects(rule, listed, lambda x: plain(part(x, field)), lambda x: x, checks)
+def by_name(rule: str, listed: Column, name: Callable[[Column], Column], checks: dict[str, Callable[[Column], Column]]) -> list[Rule]:
+    return of_objects(rule, listed, name, lambda x: x, checks)
 
 
-def opened(cut: DataFrame) -> DataFrame:
-    """Sections of sample records with what several rules look into: maps, lists and keys, computed once a record."""
-    iso = part(F.col("perception"), "iso_12913")
-    graph = F.col("knowledge_graph")
-    maps = {"_levels": part(F.col("harmonisation"), "levels"), "_items": part(iso, "paq"), "_derived": part(iso, "derived_coordinates")}
-    lists = {"_nodes": part(graph, "nodes"), "_edges": part(graph, "edges"), "_parts": part(F.col("harmonisation_potential"), "components"), "_missing": F.col("missingness"), "_sources": F.col("provenance")}
-    out = cut.withColumns({k: F.map_entries(members(v)) for k, v in maps.items()} | {k: entries(v) for k, v in lists.items()})
-    names = {f"{k}_keys": F.transform(k, lambda e: e["key"]) for k in maps}
-    ids = F.transform(F.filter("_nodes", is_object), lambda n: F.coalesce(plain(part(n, "id")), F.lit("null")))
-    return out.withColumns(names | {"_told": F.filter(F.transform("_missing", lambda m: plain(part(m, "field"))), F.isnotnull), "_ids": ids})
+def opened(docs: DataFrame) -> DataFrame:
+    """docs(row_key, _doc) with what the rules of sample records look into, computed once a record: the struct _r, keys, and
+    lists that several rules share; lists and maps that are not there are null."""
+    doc, r = F.col("_doc"), F.col("_r")
+    out = docs.withColumns({"_r": F.try_variant_get(doc, "$", SAMPLE), "_keys": F.try_variant_get(doc, "$", KEYS), "_issues": F.try_variant_get(doc, "$.alignment.unresolved_issues", LIST).isNotNull(), "_provenance": given(part(doc, "provenance"))})
+    iso = r["perception"]["iso_12913"]
+    maps = {"_levels": r["harmonisation"]["levels"], "_items": iso["paq"], "_derived": iso["derived_coordinates"]}
+    names = {f"{k}_keys": F.coalesce(F.map_keys(v), no_parts()) for k, v in maps.items()} | {"_top_keys": F.coalesce(F.map_keys("_keys"), no_parts())}
+    told = F.filter(F.transform(r["missingness"], lambda m: m["field"]), F.isnotnull)
+    ids = F.transform(F.filter(r["knowledge_graph"]["nodes"], F.isnotnull), lambda n: F.coalesce(plain(n["id"]), F.lit("null")))
+    return out.withColumns({k: F.map_entries(v) for k, v in maps.items()} | names | {"_told": F.coalesce(told, no_parts()), "_ids": F.coalesce(ids, no_parts())})
 
 
 def sample_rules(framed: tuple[str, ...]) -> list[Rule]:
     """The rules of opened() sample records; records of the datasets in `framed` need the framework."""
-    at = F.col
-    keys, views, study = F.map_keys(at("_top")), at("alignment"), at("study")
+    at, r = F.col, F.col("_r")
+    keys, views, study, visual = at("_top_keys"), r["alignment"], r["study"], r["visual"]
     item_keys, derived_keys, told, node_ids = at("_items_keys"), at("_derived_keys"), at("_told"), at("_ids")
-    derived = part(part(at("perception"), "iso_12913"), "derived_coordinates")
-    graph, potential = at("knowledge_graph"), at("harmonisation_potential")
-    nodes, edges, parts = part(graph, "nodes"), part(graph, "edges"), part(potential, "components")
-    status = {"status": lambda x: one_of(part(x, "status"), LEVEL_STATUSES), "note": lambda x: given(part(x, "note"))}
+    derived = r["perception"]["iso_12913"]["derived_coordinates"]
+    nodes, edges = r["knowledge_graph"]["nodes"], r["knowledge_graph"]["edges"]
+    potential, parts = r["harmonisation_potential"], r["harmonisation_potential"]["components"]
+    status = {"status": lambda x: among(x["status"], LEVEL_STATUSES), "note": lambda x: given(x["note"])}
+    no_entry = lambda listed: F.coalesce(F.size(listed) < 1, F.lit(True))
 
     def ends(e: Column) -> Column:
-        known = lambda side: F.array_contains(node_ids, F.coalesce(plain(part(e, side)), F.lit("null")))
+        known = lambda side: F.array_contains(node_ids, F.coalesce(e[side], F.lit("null")))
         return known("source") & known("target")
 
     def coordinate(name: str) -> list[Rule]:
-        x = part(derived, name)
-        there, whole = F.array_contains(derived_keys, name), given(part(x, "method")) & given(part(x, "source"))
-        return [("R24_object", ERROR, broken(there & ~is_object(x), name)), ("R24_method", ERROR, broken(there & is_object(x) & ~whole, name)),
-                ("R24_type", ERROR, broken(there & is_object(x) & whole & ~one_of(part(x, "value_type"), ("derived_coordinate",)), name))]
+        x = F.try_element_at(derived, F.lit(name))
+        there, whole = F.array_contains(derived_keys, name), given(x["method"]) & given(x["source"])
+        return [("R24_object", ERROR, broken(there & x.isNull(), name)), ("R24_method", ERROR, broken(there & x.isNotNull() & ~whole, name)),
+                ("R24_type", ERROR, broken(there & x.isNotNull() & whole & ~among(x["value_type"], ("derived_coordinate",)), name))]
 
-    unseen = one_of(part(at("visual"), "type"), ("none", "unknown")) | ~given(part(at("visual"), "asset"))
+    unseen = among(visual["type"], ("none", "unknown")) | ~given(visual["asset"])
     rules: list[Rule] = [
         ("R01", ERROR, lacking(SECTIONS, keys)),
-        ("R02", ERROR, broken(~given(at("dataset_id")), "dataset_id")),
-        ("R03", ERROR, broken(~given(at("sample_id")), "sample_id")),
-        ("R04", ERROR, broken(~one_of(part(at("harmonisation"), "scope"), (SCOPE,)), "harmonisation.scope")),
+        ("R02", ERROR, broken(~given(r["dataset_id"]), "dataset_id")),
+        ("R03", ERROR, broken(~given(r["sample_id"]), "sample_id")),
+        ("R04", ERROR, broken(~among(r["harmonisation"]["scope"], (SCOPE,)), "harmonisation.scope")),
         ("R05", ERROR, lacking(LEVELS, at("_levels_keys"))),
         *by_key("R06", at("_levels"), status),
-        *by_name("R07", entries(part(at("harmonisation"), "checklist")), "item", status),
-        ("R08", ERROR, broken(~one_of(part(at("access"), "status"), ACCESS_STATUSES), "access.status")),
-        ("R09", ERROR, broken(~one_of(part(study, "environment_type"), ENVIRONMENTS), "study.environment_type")),
-        ("R10", ERROR, broken(~one_of(part(study, "setting"), SETTINGS), "study.setting")),
-        ("R11", ERROR, broken(~one_of(part(at("audio"), "channel_type"), CHANNELS), "audio.channel_type")),
-        ("R12", ERROR, broken(~one_of(part(at("visual"), "type"), VISUALS), "visual.type")),
-        ("R13", ERROR, lacking(VIEWS, F.map_keys(members(views)))),
-        *[("R14", ERROR, broken(~one_of(part(views, v), VIEW_STATUSES), v)) for v in VIEWS],
-        ("R15", ERROR, broken(~one_of(part(views, "alignment_status"), ALIGNMENT_STATUSES), "alignment_status")),
-        ("R16", ERROR, broken(~is_list(part(views, "unresolved_issues")), "unresolved_issues")),
-        ("R17", ERROR, broken(one_of(at("dataset_id"), framed) & ~one_of(part(at("perception"), "framework"), (FRAMEWORK,)), "perception.framework")),
+        *by_name("R07", r["harmonisation"]["checklist"], lambda x: x["item"], status),
+        ("R08", ERROR, broken(~among(r["access"]["status"], ACCESS_STATUSES), "access.status")),
+        ("R09", ERROR, broken(~among(study["environment_type"], ENVIRONMENTS), "study.environment_type")),
+        ("R10", ERROR, broken(~among(study["setting"], SETTINGS), "study.setting")),
+        ("R11", ERROR, broken(~among(r["audio"]["channel_type"], CHANNELS), "audio.channel_type")),
+        ("R12", ERROR, broken(~among(visual["type"], VISUALS), "visual.type")),
+        ("R13", ERROR, lacking(VIEWS, F.coalesce(F.map_keys(views), no_parts()))),
+        *[("R14", ERROR, broken(~among(F.try_element_at(views, F.lit(v)), VIEW_STATUSES), v)) for v in VIEWS],
+        ("R15", ERROR, broken(~among(F.try_element_at(views, F.lit("alignment_status")), ALIGNMENT_STATUSES), "alignment_status")),
+        ("R16", ERROR, broken(~at("_issues"), "unresolved_issues")),
+        ("R17", ERROR, broken(one_of(r["dataset_id"], framed) & ~among(r["perception"]["framework"], (FRAMEWORK,)), "perception.framework")),
         ("R18", ERROR, beyond(item_keys, ITEMS)),
         ("R19", WARNING, lacking(ITEMS, item_keys)),
-        *by_key("R20", at("_items"), {"value": lambda x: F.map_contains_key(members(x), "value"), "source": lambda x: F.map_contains_key(members(x), "original_field"), "type": lambda x: one_of(part(x, "value_type"), ITEM_TYPES)}),
-        ("R21", WARNING, each(at("_items"), lambda e: is_object(e["value"]) & plain(part(e["value"], "value")).isNull() & ~F.array_contains(told, F.concat(F.lit(ITEM_PATH), e["key"])), lambda e: e["key"])),
+        *by_key("R20", at("_items"), {"value": lambda x: x["value"].isNotNull(), "source": lambda x: x["original_field"].isNotNull(), "type": lambda x: among(x["value_type"], ITEM_TYPES)}),
+        ("R21", WARNING, each(at("_items"), lambda e: e["value"].isNotNull() & plain(e["value"]["value"]).isNull() & ~F.array_contains(told, F.concat(F.lit(ITEM_PATH), e["key"])), lambda e: e["key"])),
         ("R22", ERROR, broken(F.arrays_overlap(item_keys, named(COORDINATES)), "paq")),
         ("R23", ERROR, F.array_sort(F.array_intersect(derived_keys, named(ITEMS)))),
-        *[r for c in COORDINATES for r in coordinate(c)],
-        *by_name("R25", at("_missing"), "field", {"status": lambda x: one_of(part(x, "status"), MISSING_STATUSES)}),
-        *by_name("R26", at("_sources"), "source_type", {"source": lambda x: one_of(part(x, "source_type"), SOURCES), "note": lambda x: given(part(x, "note"))}),
-        ("R27", ERROR, broken(~given(at("provenance")), "provenance")),
-        ("R28", ERROR, broken(~one_of(part(at("validation"), "status"), VALIDATION_STATUSES), "validation.status")),
+        *[x for c in COORDINATES for x in coordinate(c)],
+        *by_name("R25", r["missingness"], lambda x: x["field"], {"status": lambda x: among(x["status"], MISSING_STATUSES)}),
+        *by_name("R26", r["provenance"], lambda x: x["source_type"], {"source": lambda x: among(x["source_type"], SOURCES), "note": lambda x: given(x["note"])}),
+        ("R27", ERROR, broken(~at("_provenance"), "provenance")),
+        ("R28", ERROR, broken(~among(r["validation"]["status"], VALIDATION_STATUSES), "validation.status")),
         ("R29", ERROR, broken(unseen & ~F.arrays_overlap(told, named(("visual", "visual.asset"))), "visual")),
-        *[r for g in FEATURE_GROUPS for r in by_name("R30", entries(part(at("features"), g)), "name", {"method": lambda x: given(part(x, "method")) | given(part(x, "provenance"))})],
-        ("R31_list", ERROR, broken(~is_list(nodes) | ~given(nodes), "nodes")),
-        *by_name("R31", at("_nodes"), "id", {"fields": lambda x: given(part(x, "id")) & given(part(x, "type")) & given(part(x, "label"))}),
-        ("R32_list", ERROR, broken(~is_list(edges) | ~given(edges), "edges")),
-        *by_name("R32", at("_edges"), "target", {"ends": ends, "relation": lambda x: given(part(x, "relation"))}),
-        ("R33", ERROR, broken(~share(part(potential, "score")), "score")),
-        ("R34_list", ERROR, broken(~is_list(parts) | ~given(parts), "components")),
-        *by_name("R34", at("_parts"), "name", {"score": lambda x: share(part(x, "score")), "status": lambda x: one_of(part(x, "status"), LEVEL_STATUSES)}),
+        *[x for g in FEATURE_GROUPS for x in by_name("R30", F.try_element_at(r["features"], F.lit(g)), lambda x: x["name"], {"method": lambda x: given(x["method"]) | given(x["provenance"])})],
+        ("R31_list", ERROR, broken(no_entry(nodes), "nodes")),
+        *by_name("R31", nodes, lambda x: plain(x["id"]), {"fields": lambda x: given(x["id"]) & given(x["type"]) & given(x["label"])}),
+        ("R32_list", ERROR, broken(no_entry(edges), "edges")),
+        *by_name("R32", edges, lambda x: x["target"], {"ends": ends, "relation": lambda x: given(x["relation"])}),
+        ("R33", ERROR, broken(~share(potential["score"]), "score")),
+        ("R34_list", ERROR, broken(no_entry(parts), "components")),
+        *by_name("R34", parts, lambda x: plain(x["name"]), {"score": lambda x: share(x["score"]), "status": lambda x: among(x["status"], LEVEL_STATUSES)}),
         ("R42_keys", ERROR, beyond(keys, SECTIONS)),
         ("R42_levels", ERROR, beyond(at("_levels_keys"), LEVELS)),
-        ("R42_features", ERROR, beyond(F.map_keys(members(at("features"))), FEATURE_GROUPS)),
-        ("R42_node_type", ERROR, each(at("_nodes"), lambda n: given(part(n, "type")) & ~one_of(part(n, "type"), NODE_TYPES), lambda n: plain(part(n, "type")))),
-        ("R42_relation", ERROR, each(at("_edges"), lambda e: given(part(e, "relation")) & ~one_of(part(e, "relation"), RELATIONS), lambda e: plain(part(e, "relation")))),
-        ("R42_component", ERROR, each(at("_parts"), lambda c: is_object(c) & ~(given(part(c, "name")) & given(part(c, "reason"))), lambda c: plain(part(c, "name")))),
+        ("R42_features", ERROR, beyond(F.coalesce(F.map_keys(r["features"]), no_parts()), FEATURE_GROUPS)),
+        ("R42_node_type", ERROR, each(nodes, lambda n: given(n["type"]) & ~one_of(n["type"], NODE_TYPES), lambda n: plain(n["type"]))),
+        ("R42_relation", ERROR, each(edges, lambda e: given(e["relation"]) & ~one_of(e["relation"], RELATIONS), lambda e: plain(e["relation"]))),
+        ("R42_component", ERROR, each(parts, lambda c: c.isNotNull() & ~(given(c["name"]) & given(c["reason"])), lambda c: plain(c["name"]))),
     ]
     return rules
 
@@ -242,34 +271,33 @@ def sample_findings(docs: DataFrame, framed: tuple[str, ...] = ()) -> DataFrame:
     JSON alone, a record of another type than sample R35 alone. A null value is no JSON object; an empty table has no
     findings. JSON with NaN or repeated keys counts as no JSON.
     """
-    top = parsed(docs).withColumn("_top", members(F.col("_doc"))).withColumn("_whole", is_object(F.col("_doc")))
-    cut = top.select("row_key", "_top", "_whole", *[F.try_element_at("_top", F.lit(s)).alias(s) for s in SECTIONS])
-    sample = F.col("_whole") & one_of(F.col("record_type"), ("sample",))
-    label = F.coalesce(*[F.when(given(F.col(c)), plain(F.col(c))) for c in ("sample_id", "dataset_id")], F.lit("<unknown>"))
-    rules = [(r, s, F.when(sample, parts).otherwise(no_parts())) for r, s, parts in sample_rules(framed)]
-    rules += [("JSON", ERROR, broken(~F.col("_whole"), "record")), ("R35", ERROR, broken(F.col("_whole") & ~sample, "record_type"))]
-    return exploded(opened(cut.withColumn("record_id", label)), rules)
+    r, whole = F.col("_r"), F.col("_r").isNotNull()
+    sample = whole & among(r["record_type"], ("sample",))
+    label = F.coalesce(*[F.when(given(r[c]), plain(r[c])) for c in ("sample_id", "dataset_id")], F.lit("<unknown>"))
+    rules = [(rule, s, F.when(sample, parts).otherwise(no_parts())) for rule, s, parts in sample_rules(framed)]
+    rules += [("JSON", ERROR, broken(~whole, "record")), ("R35", ERROR, broken(whole & ~sample, "record_type"))]
+    return exploded(opened(parsed(docs)).withColumn("record_id", label), rules)
 
 
 def mapping_findings(docs: DataFrame) -> DataFrame:
     """Findings of mapping specs docs(row_key, value), as of sample_findings(); parts of mappings are numbered from 1."""
-    doc = F.col("_doc")
-    listed = part(doc, "mappings")
-    rows = F.transform(entries(listed), lambda m, i: F.struct((i + 1).cast("string").alias("n"), m.alias("m")))
-    targets = F.transform(entries(listed), lambda m: plain(part(m, "target_field")))
-    gone = lambda m: F.array_sort(F.array_except(named(MAPPING_FIELDS), F.map_keys(members(m))))
+    r, listed = F.col("_r"), F.col("_r")["mappings"]
+    opened_docs = parsed(docs).select("row_key", F.try_variant_get("_doc", "$", MAPPING).alias("_r"), F.try_variant_get("_doc", "$.mappings", f"array<{KEYS}>").alias("_keys"))
+    numbered = F.transform(listed, lambda m, i: F.struct((i + 1).cast("string").alias("n"), m.alias("m")))
+    gone = F.transform("_keys", lambda k, i: F.struct((i + 1).cast("string").alias("n"), F.array_except(named(MAPPING_FIELDS), F.coalesce(F.map_keys(k), no_parts())).alias("gone")))
     checks = {"confidence": ("mapping_confidence", CONFIDENCES), "evidence": ("evidence_type", EVIDENCE), "review": ("review_status", REVIEWS)}
+    rows = F.col("_rows")
     rules: list[Rule] = [
-        ("R36_framework", ERROR, broken(~one_of(part(doc, "semantic_framework"), (FRAMEWORK,)), "semantic_framework")),
-        ("R36_scope", ERROR, broken(~one_of(part(doc, "harmonisation_scope"), (SCOPE,)), "harmonisation_scope")),
-        ("R36_list", ERROR, broken(~is_list(listed) | ~given(listed), "mappings")),
-        ("R37_fields", ERROR, each(rows, lambda r: F.size(gone(r["m"])) > 0, lambda r: F.concat(r["n"], F.lit(":"), F.array_join(gone(r["m"]), ",")))),
-        *[(f"R37_{k}", ERROR, each(rows, lambda r, f=field, o=options: ~one_of(part(r["m"], f), o), lambda r: r["n"])) for k, (field, options) in checks.items()],
-        ("R37_examples", ERROR, each(rows, lambda r: ~is_list(part(r["m"], "source_column_examples")), lambda r: r["n"])),
-        ("R38", WARNING, F.when(given(listed) & is_list(listed), F.filter(named(ITEMS), lambda i: ~F.coalesce(F.array_contains(targets, F.concat(F.lit(ITEM_PATH), i)), F.lit(False)))).otherwise(no_parts())),
+        ("R36_framework", ERROR, broken(~among(r["semantic_framework"], (FRAMEWORK,)), "semantic_framework")),
+        ("R36_scope", ERROR, broken(~among(r["harmonisation_scope"], (SCOPE,)), "harmonisation_scope")),
+        ("R36_list", ERROR, broken(F.coalesce(F.size(listed) < 1, F.lit(True)), "mappings")),
+        ("R37_fields", ERROR, each(F.col("_gone"), lambda x: F.size(x["gone"]) > 0, lambda x: F.concat(x["n"], F.lit(":"), F.array_join(F.array_sort(x["gone"]), ",")))),
+        *[(f"R37_{k}", ERROR, each(rows, lambda x, f=field, o=options: ~among(x["m"][f], o), lambda x: x["n"])) for k, (field, options) in checks.items()],
+        ("R37_examples", ERROR, each(rows, lambda x: x["m"]["source_column_examples"].isNull(), lambda x: x["n"])),
+        ("R38", WARNING, F.when(F.size(listed) > 0, F.filter(named(ITEMS), lambda i: ~F.coalesce(F.array_contains(listed["target_field"], F.concat(F.lit(ITEM_PATH), i)), F.lit(False)))).otherwise(no_parts())),
     ]
-    label = F.coalesce(plain(part(doc, "dataset_id")), F.col("row_key").cast("string"))
-    return exploded(parsed(docs).withColumn("record_id", label), rules)
+    label = F.coalesce(r["dataset_id"], F.col("row_key").cast("string"))
+    return exploded(opened_docs.withColumns({"_rows": numbered, "_gone": gone, "record_id": label}), rules)
 
 
 def checklist_findings(docs: DataFrame) -> DataFrame:

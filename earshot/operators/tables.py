@@ -43,3 +43,10 @@ def free(df: DataFrame) -> None:
     if path:
         system, at = _place(df.sparkSession, path)
         system.delete(at, True)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to several tasks a core: a small file is read by one task, however dear what is made of its rows.
+    They are shuffled once, so that it pays for narrow rows before they grow."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
