@@ -39,3 +39,9 @@ def test_odd_mapping_specs(spark):
     assert got[1, "1"] == [("R36_list", "mappings")]
     assert sorted(got[2, "2"]) == sorted(got[3, "3"]) == [("R36_framework", "semantic_framework"), ("R36_list", "mappings"), ("R36_scope", "harmonisation_scope")]
     assert ("R37_examples", "1") in got[4, "4"] and ("R37_confidence", "1") in got[4, "4"]
+
+
+def test_sample_records_are_read_once_and_not_copied_into_maps(spark):
+    plan = plan_of(QUERIES["r01_sample_findings"](spark, SF))
+    assert plan.count("RoundRobinPartitioning") == 1 and plan.count("parseJson") == 1
+    assert "MapType(StringType,VariantType" not in plan
