@@ -33,10 +33,11 @@ def lost_paths(docs: DataFrame) -> DataFrame:
 
 
 def sound(docs: DataFrame) -> DataFrame:
-    """The variants _doc of docs that have all required paths."""
+    """The variants _doc of docs that have all required paths. They are exploded out of a list of one, as a filter of a plain
+    column would move below it and parse the text once for each path."""
     doc = F.col("_doc")
     there = reduce(Column.__and__, [at(doc, p).isNotNull() for p in (*REQUIRED.values(), *SECTIONS)], is_object(doc))
-    return docs.select(F.try_parse_json("value").alias("_doc")).filter(there)
+    return docs.select(F.explode(F.array(F.try_parse_json("value"))).alias("_doc")).filter(there)
 
 
 def typed(doc: Column, name: str, path: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earshot.operators import catalogue
+from earshot.operators.tables import dealt
 from earshot.plans.base import query
 from earshot.sources.surveys import table
 
@@ -62,7 +63,7 @@ coalesce(json_type(d, '$."Acoustic Data"'), 'NULL') <> 'NULL' AS acoustic_data_a
 @query(CATALOGUE_SQL)
 def b07_catalogue(spark, sf_dir):
     """JSON objects of datasets as 32 columns."""
-    docs = spark.sql(CATALOGUE.replace("{", "{{").replace("}", "}}").replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    docs = spark.sql(CATALOGUE.replace("{", "{{").replace("}", "}}").replace("FROM part", "FROM {part}"), part=dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")))
     return catalogue.flattened(docs)
 
 

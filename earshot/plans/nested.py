@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earshot.operators import nested
+from earshot.operators.tables import dealt
 from earshot.plans.base import query
 from earshot.sources.surveys import table
 
@@ -15,7 +16,7 @@ RECORDS = """SELECT o_orderkey AS row_key, CASE o_orderkey % 13 WHEN 0 THEN '{br
 
 
 def _docs(spark, sf_dir):
-    return spark.sql(RECORDS.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    return spark.sql(RECORDS.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")))
 
 
 _KEPT = "FROM orders WHERE o_orderkey % 13 NOT IN (0, 1, 2, 4)"
