@@ -54,10 +54,11 @@ def scan(text: str, inside: bool, on: Callable[[str, int, str | None], None]) ->
 
 
 def segments_of(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """file, start (of the range) and value: texts up to and with the next closing brace, in order within a range."""
+    """file, start (of the range), alone (whether the range is the whole file) and value: texts up to and with the next closing
+    brace, in order within a range."""
     reader = spark.read.option("lineSep", "}")
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.concat("value", F.lit("}")).alias("value"))
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.expr("_metadata.file_block_length = _metadata.file_size").alias("alone"), F.concat("value", F.lit("}")).alias("value"))
 
 
 def keyed_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bool, pa.RecordBatch]]:
@@ -169,10 +170,12 @@ def packed_entries(spark: SparkSession, path: str, glob: str | None = "*.json")
 
     key is null for entries of lists. Entries that are no objects are left out, as are members beside a list of summaries.
     Documents are not checked as a whole: of a broken one, entries count that can be cut out. Files must not change
-    meanwhile: they are read twice.
+    meanwhile: those of several ranges are read twice. A file of one range starts as any file does and needs no first pass.
     """
     segments = segments_of(spark, path, glob)
-    starts = chained(effects(segments)).cache()
+    starts = chained(effects(segments.filter("NOT alone"))).cache()
+    placed = segments.join(F.broadcast(starts), ["file", "start"], "left")  # a row for each range of files of several
+    placed = placed.withColumns({"inside": F.coalesce("inside", F.lit(False)), "stack": F.coalesce("stack", F.lit(""))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = None
@@ -189,7 +192,7 @@ def packed_entries(spark: SparkSession, path: str, glob: str | None = "*.json")
             reader.end()
             yield reader.taken()
 
-    pieces = segments.join(F.broadcast(starts), ["file", "start"]).mapInArrow(run, PIECE)  # a row for each range
+    pieces = placed.mapInArrow(run, PIECE)
     whole = pieces.filter(F.col("kind") == WHOLE).drop("kind")
     order = Window.partitionBy("file").orderBy("start", "seq")  # fragments: two a range at most
     told = pieces.filter(F.col("kind").isin(TAIL, MIDDLE, HEAD)).withColumn("entry", F.sum(F.when(F.col("kind") == TAIL, 1).otherwise(0)).over(order))

@@ -60,6 +60,16 @@ def test_ranges_give_the_index_of_whole_documents(spark, tmp_path, small_ranges)
     assert got == index_of(docs)
 
 
+def test_files_of_one_range_skip_the_first_pass(spark, tmp_path, monkeypatch):
+    docs = {f"d{i:02d}.json": document(i) for i in range(6)}
+    for name, doc in docs.items():
+        (tmp_path / name).write_text(json.dumps(doc))
+    seen, effects = [], packed.effects
+    monkeypatch.setattr(packed, "effects", lambda s: seen.append(s.count()) or effects(s))
+    got = {r.clip_id: json.loads(str(r.s)) for r in packed.packed_index(spark, str(tmp_path)).selectExpr("clip_id", "to_json(summary) AS s").collect()}
+    assert seen == [0] and got == index_of(docs)
+
+
 def test_one_entry_over_many_ranges(spark, tmp_path, small_ranges):
     doc = {"a": {"long": ["}" * 30] * 40, "deep": [[{"x": {"y": i}} for i in range(60)]]}, "b": {"c": 1}}
     (tmp_path / "a.json").write_text(json.dumps(doc))
