@@ -251,12 +251,17 @@ def sample_rules(framed: tuple[str, ...]) -> list[Rule]:
 
 
 def exploded(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """row_key, record_id, severity, rule and part of every finding of df(row_key, record_id, ...)."""
+    """row_key, record_id, severity, rule and part of every finding of df(row_key, record_id, ...).
+
+    Rules are a projection of their own, which is compiled; inside the explode they would be interpreted. It is an outer
+    one, as an inner one makes a filter of the same rules, which is moved below and looks at them a second time.
+    """
 
     def marked(rule: str, severity: str, parts: Column) -> Column:
         return F.transform(parts, lambda p: F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), p.alias("part")))
 
-    return df.select("row_key", "record_id", F.explode(F.flatten(F.array(*[marked(*r) for r in rules]))).alias("f")).select("row_key", "record_id", "f.severity", "f.rule", "f.part")
+    found = df.select("row_key", "record_id", F.flatten(F.array(*[marked(*r) for r in rules])).alias("_found"))
+    return found.select("row_key", "record_id", F.explode_outer("_found").alias("f")).filter("f IS NOT NULL").select("row_key", "record_id", "f.severity", "f.rule", "f.part")
 
 
 def parsed(docs: DataFrame) -> DataFrame:

@@ -51,3 +51,10 @@ def test_sample_records_are_read_once_and_not_copied_into_maps(spark):
 @pytest.mark.parametrize("name", ["b08_flattened_ratings", "b08_flattened_clips"])
 def test_nested_records_are_parsed_once(spark, name):
     assert plan_of(QUERIES[name](spark, SF)).count("parseJson") == 1
+
+
+@pytest.mark.parametrize("name", ["r01_sample_findings", "r36_mapping_findings", "b13_validation_totals"])
+def test_rules_are_computed_once_before_the_explode(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF))
+    assert "explode(_found" in plan and "explode(flatten" not in plan
+    assert not [line for line in plan.split("\n") if "Filter" in line and "flatten" in line]
