@@ -53,6 +53,17 @@ def test_specs_of_odd_rows(spark):
     assert specs.apply_specs(frame.limit(0), table).collect() == [] and specs.apply_specs(frame, table.limit(0)).collect() == []
 
 
+def test_records_are_laid_out_once_a_spec(spark):
+    docs = [{"dataset_id": "a", "mappings": [mapping("x", "b.c"), mapping("t", "d"), mapping("n", "b.e.f"), mapping(None, "b.\"g"), mapping("x", "h", transformation="none")]}, {"dataset_id": "odd", "mappings": [mapping("x", "h", transformation="none")]}]
+    table = spark.createDataFrame([(json.dumps(d),) for d in docs], "value string")
+    frame = spark.createDataFrame([(d, "1", {"x": "}}", "t": '"}', "n": "\u00e9/\t"}, {}) for d in ("a", "odd")], "dataset_id string, row_key string, cells map<string,string>, kinds map<string,string>")
+    out = specs.apply_specs(frame, table)
+    got = {r.dataset_id: r.record for r in out.collect()}
+    assert got == {"a": '{"b":{"c":"}}","e":{"f":"\u00e9/\\t"},"\\"g":null},"d":"\\"}"}', "odd": "{}"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") > plan.index("Join")
+
+
 def test_class_maps(spark):
     docs = lambda *texts: spark.createDataFrame([(t,) for t in texts], "value string")
     found = readers.class_map(docs('{"version": 2, "groups": {"green": ["tree"]}, "aliases": null}'))
