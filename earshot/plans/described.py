@@ -102,7 +102,8 @@ def h02_spec_missingness(spark, sf_dir):
     """What is missing or wrong by the rules of each spec."""
     out = specs.apply_specs(_mapped_rows(spark, sf_dir), files_of(spark, SPECS))
     wrong = F.transform("errors", lambda e: F.struct(e["field"].alias("field"), F.lit("error").alias("status"), e["reason"].alias("reason")))
-    return out.select("dataset_id", "row_key", F.explode(F.concat("missing", wrong)).alias("m")).select("dataset_id", "row_key", "m.*")
+    noted = out.select("dataset_id", "row_key", F.concat("missing", wrong).alias("noted"))
+    return noted.select("dataset_id", "row_key", F.explode_outer("noted").alias("m")).filter("m IS NOT NULL").select("dataset_id", "row_key", "m.*")
 
 
 @query(f"""WITH {PLACES_SQL}, {STIMULUS_SQL} SELECT 'high' AS mapping_confidence, 'metadata_file' AS evidence_type, 'proposed' AS review_status, 6::BIGINT AS mappings, (SELECT 2 * count(*) + count(location) FROM places) + (SELECT 2 * count(*) + count(calm) FROM stimulus) AS values
