@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.operators.tables import saved
+
 
 def nested(spec: Sequence[tuple[str, str]]) -> list[Column]:
     """Columns that place source columns at dotted target paths: one struct for each first part of a path.
@@ -54,10 +56,19 @@ def graph(df: DataFrame, links: Sequence[tuple[str, str, str, str, str]]) -> tup
 
 
 def loose_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with an end that is no node; `side` says which."""
-    known = nodes.select("id").distinct()
-    sides = [edges.join(known, edges[side] == known["id"], "left_anti").withColumn("side", F.lit(side)) for side in ("source", "target")]
-    return sides[0].unionByName(sides[1])
+    """Edges with an end that is no node; `side` says which. A null end is none.
+
+    Distinct ends, far fewer than edges, are looked up among the nodes, and those that are none are saved, so that their
+    size is known: edges are only shuffled to them where they are too many to broadcast.
+    """
+    sides = ("source", "target")
+    ends = [edges.select(F.col(side).alias("id")).distinct().select(F.lit(side).alias("side"), "id") for side in sides]
+    loose = saved(ends[0].unionByName(ends[1]).join(nodes.select("id"), "id", "left_anti"))
+    found = []
+    for side in sides:
+        lost = loose.filter(F.col("side") == side).select(F.col("id").alias("_end"))
+        found.append(edges.join(lost, edges[side].eqNullSafe(lost["_end"]), "left_semi").withColumn("side", F.lit(side)))
+    return found[0].unionByName(found[1])
 
 
 def uncovered(wanted: DataFrame, spec: DataFrame, column: str) -> DataFrame:

@@ -47,3 +47,20 @@ def test_stream_parts_good_rows_from_findings(spark, tmp_path):
     checked_stream(stream, "k", fields, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "at")).awaitTermination(120)
     assert [r["k"] for r in spark.read.parquet(str(tmp_path / "good")).collect()] == [1]
     assert sorted((r["row_key"], r["rule"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [(2, "maximum"), (3, "required")]
+
+
+def test_loose_edges_of_nulls_repeats_and_empty_tables(spark):
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B"), ("b", "C"), (None, "A")], "id string, type string")
+    edges = spark.createDataFrame([("a", "r", "b"), ("a", "r", "x"), ("a", "r", "x"), (None, "r", "b"), ("y", "r", None), ("z", "s", "z")], "source string, relation string, target string")
+    got = sorted(map(str, (tuple(r) for r in harmonise.loose_edges(nodes, edges).collect())))
+    want = [("a", "r", "x", "target")] * 2 + [(None, "r", "b", "source"), ("y", "r", None, "source"), ("y", "r", None, "target"), ("z", "s", "z", "source"), ("z", "s", "z", "target")]
+    assert got == sorted(map(str, want))
+    assert harmonise.loose_edges(nodes.limit(0), edges).count() == 12 and harmonise.loose_edges(nodes, edges.limit(0)).count() == 0
+
+
+def test_only_loose_edges_are_shuffled(spark):
+    nodes, edges = harmonise.graph(spark.range(90).selectExpr("id AS a", "id % 9 AS b"), [("A", "a", "r", "B", "b")])
+    plan = harmonise.loose_edges(nodes.filter("id <> 'B:3'"), edges)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" in plan  # edges meet the few loose ends, not all nodes
+    side = plan[: plan.index("LeftSemi")]
+    assert "Exchange" in side and plan.count("Exchange hashpartitioning") == 2
